@@ -1,0 +1,414 @@
+"""Long strings of symbols that occur more than once in a corpus, found through anchors.
+
+Used by the two dedup operators: over bytes (`suffix_dedup`) and over words (`substring_dedup`). A window is
+`length` consecutive symbols of one document. The steps, each of which moves packed columns by bucket:
+
+1. `anchors`: of the `seed`-symbol strings in every window, those with the least rolling hash are anchors, so
+   that every window holds one and equal windows hold the same ones. An anchor's context is all that windows
+   through it can reach. Where one task has an anchor in one context only, the record goes to the anchor's
+   bucket; where it has several, they are known to branch and each is noted for its document straight away.
+2. `meet`: what all tasks know of an anchor. Records with a context that an earlier document has are wholly
+   repeated; where contexts differ, windows have to be compared one by one.
+3. `windows`: the documents' texts meet their records; the windows to compare are fingerprinted (96 bits).
+4. `compare`: of equal windows the first stays, the others are repeats.
+5. `finish`: the texts meet what was found of them.
+
+No step has more than one record of a key from one task (several only where one document repeats itself), so
+a frequent line or a large group of copies never fills a bucket. The order of a task's input doesn't matter
+for the result, so that tasks can run again.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from typing import NamedTuple
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+
+from . import exchange as X
+from . import text as t
+
+_WINDOW, _PASS, _TEXT, _NOTE, _SOLE, _BRANCH = range(6)
+#: What a note says: all windows through an anchor repeat; they have to be compared; one window repeats.
+_WHOLE, _COMPARE, _ONE = 1, 2, 3
+_LAST_ID = np.iinfo(np.int64).max
+
+
+@dataclass(frozen=True)
+class Rule:
+    """length: symbols of a window. seed: symbols of an anchor. over_words: symbols are words, not bytes.
+    across: only a window of another document with a smaller id makes a window a repeat; else also an earlier one
+    of the same document."""
+
+    length: int
+    seed: int
+    over_words: bool
+    across: bool
+    chunk: int = 1_000_000
+
+    def symbols(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if not self.over_words:
+            return t.byte_values()[data], offs
+        found = t.words(data, offs)
+        return t.word_values(data, found), found.offs
+
+
+class Docs(NamedTuple):
+    ids: np.ndarray
+    id_null: np.ndarray
+    tags: np.ndarray
+    offs: np.ndarray
+    data: np.ndarray
+
+
+def _keys(block: t.Block) -> np.ndarray:
+    """Ids to sort by; null comes last."""
+    return np.where(block.id_null, _LAST_ID, block.ids)
+
+
+def _tags(block: t.Block, ids: np.ndarray) -> np.ndarray:
+    """Which document it is: of its id and text. Rows with both the same are the same document."""
+    data = memoryview(np.ascontiguousarray(block.data))
+    return np.array([xxhash.xxh3_64_intdigest(data[a:b], seed=int(i) & (2**64 - 1)) for a, b, i in zip(block.offs[:-1].tolist(), block.offs[1:].tolist(), ids.tolist(), strict=True)], np.uint64)
+
+
+def _of_id(ids: np.ndarray, n: int) -> np.ndarray:
+    return (t.mix(ids.view(np.uint64)) % np.uint64(n)).astype(np.int32)
+
+
+def _of_hash(h: np.ndarray, n: int) -> np.ndarray:
+    return ((h >> np.uint64(32)) % np.uint64(n)).astype(np.int32)
+
+
+def _anchors(rolling: t.Rolling, offs: np.ndarray, rule: Rule) -> tuple[np.ndarray, ...]:
+    """(document's place, position, hash, context) of a block's anchors."""
+    length, seed = rule.length, rule.seed
+    reach = length - seed
+    every = rolling.every(seed)
+    if len(every) <= reach:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+    order = (every >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+    least = t.sliding(order, reach + 1, True)
+    across = np.zeros(len(least) + 1, np.int32)
+    ends = offs[1:]
+    first = np.clip(np.maximum(ends - length + 1, offs[:-1]), 0, len(least))
+    np.add.at(across, first, 1)
+    np.add.at(across, np.clip(ends, 0, len(least)), -1)
+    least[np.cumsum(across[:-1]) > 0] = 0
+    padded = np.zeros(len(least) + 2 * reach, np.uint32)
+    padded[reach : reach + len(least)] = least
+    at = np.flatnonzero(t.sliding(padded, reach + 1, False) == order)
+    doc = np.searchsorted(offs, at, "right") - 1
+    lo, hi = np.maximum(at - reach, offs[doc]), np.minimum(at + length, offs[doc + 1])
+    context = t.mix(rolling.of(lo, hi) + ((at - lo) * 65599 + (hi - at)).astype(np.uint64))
+    return doc, at - offs[doc], every[at], context
+
+
+def _firsts(new_class: np.ndarray, ids: np.ndarray, tags: np.ndarray, pos: np.ndarray, across: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Of rows sorted by class, id, tag and position: those that no other row of the class precedes, and those that one does."""
+    lead = np.maximum.accumulate(np.where(new_class, np.arange(len(ids)), 0))
+    if across:
+        late = ids > ids[lead]
+        return ~late, late
+    same = (ids == ids[lead]) & (tags == tags[lead]) & (pos == pos[lead])
+    return new_class, ~same
+
+
+def _settle(h, context, ids, tags, pos, across: bool, branches: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Places of the records whose anchor has one context here, of those to compare, of those wholly repeated; anchors that branch."""
+    order = np.argsort(h, kind="stable")
+    new = t.runs(h[order])
+    sizes = np.diff(np.append(np.flatnonzero(new), len(h)))
+    alone = np.repeat(sizes == 1, sizes)
+    if branches is not None and len(branches):
+        alone &= ~np.isin(h[order], branches)
+    sole, rest = order[alone], order[~alone]
+    if not len(rest):
+        return sole, rest, rest, h[rest]
+    rest = rest[np.lexsort((pos[rest], tags[rest], ids[rest], context[rest], h[rest]))]
+    new_h, new_c = t.runs(h[rest]), t.runs(h[rest], context[rest])
+    first, late = _firsts(new_c, ids[rest], tags[rest], pos[rest], across)
+    group = np.cumsum(new_h) - 1
+    many = np.bincount(group[new_c]) > 1
+    if branches is not None and len(branches):
+        many |= np.isin(h[rest][new_h], branches)
+    many = many[group]
+    return np.concatenate([sole, rest[first & ~many]]), rest[first & many], rest[late], h[rest][new_h & many]
+
+
+def _notes(n: int, ids, tags, pos, code: int, kind: int = _PASS) -> Iterator[tuple[int, int, bytes]]:
+    for b, cols in X.split(_of_id(ids, n), tags, pos.astype(np.int32)):
+        yield b, kind, X.pack((*cols, np.full(len(cols[0]), code, np.int8)))
+
+
+def _anchor_rows(rule: Rule, n: int) -> Callable:
+    def work(batches):
+        held: list[tuple] = []
+        size = 0
+
+        def flush():
+            doc, pos, h, context, ids, tags = (np.concatenate(c) for c in zip(*held, strict=True))
+            sole, compare, whole, branch = _settle(h, context, ids, tags, pos, rule.across)
+            for b, cols in X.split(_of_hash(h[sole], n), *(c[sole] for c in (h, context, ids, tags, pos.astype(np.int32)))):
+                _, at, back = np.unique(cols[3], return_index=True, return_inverse=True)
+                yield b, _SOLE, X.pack((cols[0], cols[1], cols[2][at], cols[3][at], back.astype(np.int32), cols[4]))
+            for b, (cols,) in X.split(_of_hash(branch, n), branch):
+                yield b, _BRANCH, X.pack(cols)
+            yield from _notes(n, ids[compare], tags[compare], pos[compare], _COMPARE)
+            yield from _notes(n, ids[whole], tags[whole], pos[whole], _WHOLE)
+
+        def found():
+            nonlocal held, size
+            for block in t.blocks(batches):
+                values, offs = rule.symbols(block.data, block.offs)
+                doc, pos, h, context = _anchors(t.Rolling(values), offs, rule)
+                if not len(doc):
+                    continue
+                ids = _keys(block)
+                tags = _tags(block, ids)
+                held.append((doc, pos, h, context, ids[doc], tags[doc]))
+                size += len(doc)
+                if size >= rule.chunk:
+                    yield from flush()
+                    held, size = [], 0
+            if held:
+                yield from flush()
+
+        yield from X.rows(found())
+
+    return work
+
+
+def _text_rows(n: int, limit: int = 16 << 20) -> Callable:
+    """Texts by the bucket of their ids."""
+
+    def work(batches):
+        held: list[tuple] = []
+        size = 0
+
+        def flush():
+            ids, null, tags, lens = (np.concatenate(c) for c in zip(*(x[:4] for x in held), strict=True))
+            data = np.concatenate([x[4] for x in held])
+            offs = np.zeros(len(ids) + 1, np.int64)
+            np.cumsum(lens, out=offs[1:])
+            for b, (at,) in X.split(_of_id(ids, n), np.arange(len(ids))):
+                own = np.concatenate([data[offs[i] : offs[i + 1]] for i in at.tolist()])
+                yield b, _TEXT, X.pack((ids[at], null[at], tags[at], lens[at], own))
+
+        def found():
+            nonlocal held, size
+            for block in t.blocks(batches):
+                ids = _keys(block)
+                held.append((ids, block.id_null, _tags(block, ids), np.diff(block.offs), block.data.copy()))
+                size += len(block.data)
+                if size >= limit:
+                    yield from flush()
+                    held, size = [], 0
+            if held:
+                yield from flush()
+
+        yield from X.rows(found(), 1)
+
+    return work
+
+
+def _documents(group: pa.Table) -> Iterator[Docs]:
+    """A bucket's texts, in blocks; the ids' order, not the blobs', decides."""
+    for ids, null, tags, lens, data in X.blobs(group, _TEXT):
+        offs = np.zeros(len(ids) + 1, np.int64)
+        np.cumsum(lens, out=offs[1:])
+        i = 0
+        while i < len(ids):
+            j = min(len(ids), max(i + 1, int(np.searchsorted(offs, offs[i] + t.BLOCK_BYTES, "right")) - 1))
+            yield Docs(ids[i:j], null[i:j], tags[i:j], offs[i : j + 1] - offs[i], data[offs[i] : offs[j]])
+            i = j
+
+
+def _own(sorted_tags: np.ndarray, tags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each of `tags`, where its records begin and end."""
+    return np.searchsorted(sorted_tags, tags), np.searchsorted(sorted_tags, tags, "right")
+
+
+def _pick(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(which range, place) of all places in ranges."""
+    sizes = hi - lo
+    which = np.repeat(np.arange(len(lo)), sizes)
+    return which, np.arange(len(which)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(lo, sizes)
+
+
+def _cover(n: int, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    edges = np.zeros(n + 1, np.int64)
+    np.add.at(edges, lo, 1)
+    np.add.at(edges, hi, -1)
+    return np.cumsum(edges[:-1]) > 0
+
+
+def _meet(rule: Rule, n: int) -> Callable:
+    def work(group: pa.Table) -> pa.Table:
+        kinds = group.column("kind").to_pylist()
+        out = [(b, k, x) for b, k, x in zip(group.column("bucket").to_pylist(), kinds, group.column("blob").to_pylist(), strict=True) if k == _PASS]
+        parts = [(h, c, ids[at], tags[at], pos) for h, c, ids, tags, at, pos in X.blobs(group, _SOLE)]
+        if parts:
+            h, context, ids, tags, pos = (np.concatenate(c) for c in zip(*parts, strict=True))
+            branches = np.unique(np.concatenate([np.zeros(0, np.uint64), *X.blobs(group, _BRANCH)]))
+            _, compare, whole, _ = _settle(h, context, ids, tags, pos, rule.across, branches)
+            out += _notes(n, ids[compare], tags[compare], pos[compare], _COMPARE)
+            out += _notes(n, ids[whole], tags[whole], pos[whole], _WHOLE)
+        return X.table(out)
+
+    return work
+
+
+def _duplicates(key: np.ndarray, more: np.ndarray, ids, tags, pos, across: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Places of windows that may be the first of their kind, and of those that aren't."""
+    order = np.argsort(key, kind="stable")
+    new = t.runs(key[order])
+    sizes = np.diff(np.append(np.flatnonzero(new), len(key)))
+    alone = np.repeat(sizes == 1, sizes)
+    rest = order[~alone]
+    rest = rest[np.lexsort((pos[rest], tags[rest], ids[rest], more[rest], key[rest]))]
+    first, late = _firsts(t.runs(key[rest], more[rest]), ids[rest], tags[rest], pos[rest], across)
+    return np.concatenate([order[alone], rest[first]]), rest[late]
+
+
+def _windows(rule: Rule, n: int) -> Callable:
+    """Texts and notes in; windows to compare, and notes for `finish`, out."""
+    reach = rule.length - rule.seed
+
+    def work(texts: pa.Table, notes: pa.Table) -> pa.Table:
+        tags, pos, code = X.columns(X.blobs(notes, _PASS), [np.uint64, np.int32, np.int8])
+        if not len(tags):
+            return X.table([])
+        order = np.argsort(tags, kind="stable")
+        tags, pos, code = tags[order], pos[order].astype(np.int64), code[order]
+        bucket = notes.column("bucket")[0].as_py()
+        whole = code == _WHOLE
+        out = [(bucket, _PASS, X.pack((tags[whole], pos[whole].astype(np.int32), code[whole])))] if whole.any() else []
+        wanted = np.unique(tags[~whole])
+        made = []
+        for docs in _documents(texts):
+            mine = np.flatnonzero(np.isin(docs.tags, wanted))
+            if not len(mine):
+                continue
+            _, at = np.unique(docs.tags[mine], return_index=True)
+            mine = mine[np.sort(at)]
+            which, where = _pick(docs.offs[mine], docs.offs[mine + 1])
+            offs = np.zeros(len(mine) + 1, np.int64)
+            np.cumsum(docs.offs[mine + 1] - docs.offs[mine], out=offs[1:])
+            values, offs = rule.symbols(docs.data[where], offs)
+            rolling = t.Rolling(values)
+            lo, hi = _own(tags, docs.tags[mine])
+            which, where = _pick(lo, hi)
+            begin, at = offs[which], offs[which] + pos[where]
+            last = np.maximum(offs[which + 1] - rule.length + 1, begin)
+            lo, hi = np.maximum(at - reach, begin), np.minimum(at + 1, last)
+            hi = np.maximum(hi, lo)
+            known = code[where] == _WHOLE
+            start = np.flatnonzero(_cover(len(values), lo[~known], hi[~known]) & ~_cover(len(values), lo[known], hi[known]))
+            doc = np.searchsorted(offs, start, "right") - 1
+            key = rolling.of(start, start + rule.length)
+            more = (rolling.of(start + 1, start + rule.length) ^ (rolling.of(start, start + rule.seed) << np.uint64(7))) >> np.uint64(32)
+            made.append((key, more.astype(np.uint32), docs.ids[mine][doc], docs.tags[mine][doc], (start - offs[doc]).astype(np.int32)))
+        if made:
+            key, more, ids, own, at = (np.concatenate(c) for c in zip(*made, strict=True))
+            may, late = _duplicates(key, more, ids, own, at, rule.across)
+            out += _notes(n, ids[late], own[late], at[late], _ONE)
+            for b, cols in X.split(_of_hash(key[may], n), *(c[may] for c in (key, more, ids, own, at))):
+                _, first, back = np.unique(cols[3], return_index=True, return_inverse=True)
+                out.append((b, _WINDOW, X.pack((cols[0], cols[1], cols[2][first], cols[3][first], back.astype(np.int32), cols[4]))))
+        return X.table(out)
+
+    return work
+
+
+def _compare(rule: Rule, n: int) -> Callable:
+    def work(group: pa.Table) -> pa.Table:
+        kinds = group.column("kind").to_pylist()
+        out = [(b, k, x) for b, k, x in zip(group.column("bucket").to_pylist(), kinds, group.column("blob").to_pylist(), strict=True) if k == _PASS]
+        parts = [(key, more, ids[at], tags[at], pos) for key, more, ids, tags, at, pos in X.blobs(group, _WINDOW)]
+        if parts:
+            key, more, ids, tags, pos = (np.concatenate(c) for c in zip(*parts, strict=True))
+            _, late = _duplicates(key, more, ids, tags, pos, rule.across)
+            out += _notes(n, ids[late], tags[late], pos[late], _ONE)
+        return X.table(out)
+
+    return work
+
+
+OUT = "doc_id long, n_symbols long, n_removed long, spans array<struct<start:long,end:long>>, kept binary"
+_SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+
+
+def _finish(rule: Rule) -> Callable:
+    reach = rule.length - rule.seed
+
+    def work(texts: pa.Table, notes: pa.Table) -> pa.Table:
+        tags, pos, code = X.columns(X.blobs(notes, _PASS), [np.uint64, np.int32, np.int8])
+        order = np.argsort(tags, kind="stable")
+        tags, pos, code = tags[order], pos[order].astype(np.int64), code[order]
+        parts = []
+        for docs in _documents(texts):
+            if rule.over_words:
+                found = t.words(docs.data, docs.offs)
+                offs = found.offs
+            else:
+                offs = docs.offs
+            which, where = _pick(*_own(tags, docs.tags))
+            begin, end = offs[which], offs[which + 1]
+            at, one = begin + pos[where], code[where] == _ONE
+            lo = np.where(one, at, np.maximum(at - reach, begin))
+            hi = np.minimum(at + rule.length, end)
+            gone = _cover(int(offs[-1]), lo, hi)
+            total = np.zeros(len(gone) + 1, np.int64)
+            np.cumsum(gone, out=total[1:])
+            removed = total[offs[1:]] - total[offs[:-1]]
+            edge = np.zeros(len(gone) + 1, bool)
+            edge[:-1] = gone
+            edge[1:-1] &= ~gone[:-1]
+            inner = offs[1:-1][offs[1:-1] < len(gone)]
+            edge[inner] = gone[inner]
+            starts = np.flatnonzero(edge[:-1])
+            final = gone.copy()
+            final[:-1] &= ~gone[1:]
+            inner = offs[1:-1][offs[1:-1] > 0]
+            final[inner - 1] = gone[inner - 1]
+            ends = np.flatnonzero(final) + 1
+            per = np.searchsorted(starts, offs)
+            base = np.repeat(offs[:-1], np.diff(per))
+            if rule.over_words:
+                data = docs.data.tobytes()
+                kept = []
+                for i, (a, b) in enumerate(zip(docs.offs[:-1].tolist(), docs.offs[1:].tolist(), strict=True)):
+                    own = data[a:b].split()
+                    if removed[i]:
+                        stay = ~gone[offs[i] : offs[i + 1]]
+                        own = [w for w, s in zip(own, stay.tolist(), strict=True) if s]
+                    kept.append(b" ".join(own))
+            else:
+                stay = docs.data[~gone].tobytes()
+                cuts = (offs - total[offs]).tolist()
+                kept = [stay[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+            spans = pa.ListArray.from_arrays(pa.array(per, pa.int32()), pa.StructArray.from_arrays([pa.array(starts - base), pa.array(ends - base)], ["start", "end"]))
+            ids = pa.array(docs.ids, pa.int64(), mask=docs.id_null)
+            parts.append(pa.table([ids, pa.array(np.diff(offs)), pa.array(removed), spans.cast(_SPANS), pa.array(kept, pa.binary())], names=["doc_id", "n_symbols", "n_removed", "spans", "kept"]))
+        if parts:
+            return pa.concat_tables(parts)
+        return pa.table([pa.array([], x) for x in (pa.int64(), pa.int64(), pa.int64(), _SPANS, pa.binary())], names=["doc_id", "n_symbols", "n_removed", "spans", "kept"])
+
+    return work
+
+
+def remove_repeats(docs: DataFrame, rule: Rule, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row a row of docs: doc_id, n_symbols, n_removed, spans (of removed symbols, end exclusive), kept (bytes)."""
+    n = X.buckets(docs.sparkSession)
+    docs = t.id_text(docs, id_col, text_col)
+    texts = docs.mapInArrow(_text_rows(n), X.SCHEMA)
+    found = docs.mapInArrow(_anchor_rows(rule, n), X.SCHEMA)
+    found = X.by_bucket(found, _meet(rule, n))
+    found = X.with_bucket(texts, found, _windows(rule, n))
+    found = X.by_bucket(found, _compare(rule, n))
+    return X.with_bucket(texts, found, _finish(rule), OUT)
