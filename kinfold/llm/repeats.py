@@ -8,9 +8,11 @@ Used by the two dedup operators: over bytes (`suffix_dedup`) and over words (`su
    through it can reach. Where one task has an anchor in one context only, the record goes to the anchor's
    bucket; where it has several, they are known to branch and each is noted for its document straight away.
 2. `meet`: what all tasks know of an anchor. Records with a context that an earlier document has are wholly
-   repeated; where contexts differ, windows have to be compared one by one.
-3. `windows`: the documents' texts meet their records; the windows to compare are fingerprinted (96 bits).
-4. `compare`: of equal windows the first stays, the others are repeats.
+   repeated; where contexts differ, windows have to be compared.
+3. `blocks`: the texts meet what was noted of them. About the square root of a context's windows, next to one
+   another, are a block; its key is what all of them share, its context what they reach together. Blocks `meet`
+   like anchors, so that single windows are left only where a repeat begins or ends.
+4. `windows`: these are fingerprinted (96 bits); `compare`: of equal ones the first stays.
 5. `finish`: the texts meet what was found of them.
 
 No step has more than one record of a key from one task (several only where one document repeats itself), so
@@ -33,8 +35,9 @@ from . import exchange as X
 from . import text as t
 
 _WINDOW, _PASS, _TEXT, _NOTE, _SOLE, _BRANCH = range(6)
-#: What a note says: all windows through an anchor repeat; they have to be compared; one window repeats.
-_WHOLE, _COMPARE, _ONE = 1, 2, 3
+#: What a note says: all windows through an anchor repeat; they have to be compared. With a block's number of
+#: windows added: these repeat; these have to be compared.
+_WHOLE, _COMPARE, _REPEAT, _EACH = 1, 2, 16, 64
 _LAST_ID = np.iinfo(np.int64).max
 
 
@@ -50,6 +53,15 @@ class Rule:
     across: bool
     chunk: int = 1_000_000
 
+    @property
+    def reach(self) -> int:
+        """A window starts this far before an anchor at most."""
+        return self.length - self.seed
+
+    @property
+    def block(self) -> int:
+        return min(40, max(1, round((self.reach + 1) ** 0.5)))
+
     def symbols(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if not self.over_words:
             return t.byte_values()[data], offs
@@ -86,8 +98,7 @@ def _of_hash(h: np.ndarray, n: int) -> np.ndarray:
 
 def _anchors(rolling: t.Rolling, offs: np.ndarray, rule: Rule) -> tuple[np.ndarray, ...]:
     """(document's place, position, hash, context) of a block's anchors."""
-    length, seed = rule.length, rule.seed
-    reach = length - seed
+    length, seed, reach = rule.length, rule.seed, rule.reach
     every = rolling.every(seed)
     if len(every) <= reach:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
@@ -140,9 +151,37 @@ def _settle(h, context, ids, tags, pos, across: bool, branches: np.ndarray | Non
     return np.concatenate([sole, rest[first & ~many]]), rest[first & many], rest[late], h[rest][new_h & many]
 
 
-def _notes(n: int, ids, tags, pos, code: int, kind: int = _PASS) -> Iterator[tuple[int, int, bytes]]:
-    for b, cols in X.split(_of_id(ids, n), tags, pos.astype(np.int32)):
-        yield b, kind, X.pack((*cols, np.full(len(cols[0]), code, np.int8)))
+def _notes(n: int, ids, tags, pos, code) -> Iterator[tuple[int, int, bytes]]:
+    code = np.broadcast_to(np.asarray(code, np.int8), ids.shape)
+    for b, cols in X.split(_of_id(ids, n), tags, pos.astype(np.int32), code):
+        yield b, _PASS, X.pack(cols)
+
+
+def _records(kind: int, n: int, *cols: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
+    """cols: first the hash that gives the bucket, last ids and tags, which are packed once a document."""
+    for b, own in X.split(_of_hash(cols[0], n), *cols):
+        *own, ids, tags = own
+        _, at, back = np.unique(tags, return_index=True, return_inverse=True)
+        yield b, kind, X.pack((*own, ids[at], tags[at], back.astype(np.int32)))
+
+
+def _unrecord(group: pa.Table, kind: int) -> list[np.ndarray] | None:
+    parts = [(*own, ids[back], tags[back]) for *own, ids, tags, back in X.blobs(group, kind)]
+    return [np.concatenate(c) for c in zip(*parts, strict=True)] if parts else None
+
+
+def _settled(n: int, h, context, pos, size, ids, tags, across: bool) -> Iterator[tuple[int, int, bytes]]:
+    """What a task tells of the anchors or blocks that it has seen."""
+    sole, compare, whole, branch = _settle(h, context, ids, tags, pos, across)
+    yield from _records(_SOLE, n, *(c[sole] for c in (h, context, pos, size, ids, tags)))
+    for b, (cols,) in X.split(_of_hash(branch, n), branch):
+        yield b, _BRANCH, X.pack(cols)
+    yield from _noted(n, pos, size, ids, tags, compare, whole)
+
+
+def _noted(n: int, pos, size, ids, tags, compare, whole) -> Iterator[tuple[int, int, bytes]]:
+    for at, anchor, block in ((compare, _COMPARE, _EACH), (whole, _WHOLE, _REPEAT)):
+        yield from _notes(n, ids[at], tags[at], pos[at], np.where(size[at] > 0, size[at] + block, anchor))
 
 
 def _anchor_rows(rule: Rule, n: int) -> Callable:
@@ -151,15 +190,8 @@ def _anchor_rows(rule: Rule, n: int) -> Callable:
         size = 0
 
         def flush():
-            doc, pos, h, context, ids, tags = (np.concatenate(c) for c in zip(*held, strict=True))
-            sole, compare, whole, branch = _settle(h, context, ids, tags, pos, rule.across)
-            for b, cols in X.split(_of_hash(h[sole], n), *(c[sole] for c in (h, context, ids, tags, pos.astype(np.int32)))):
-                _, at, back = np.unique(cols[3], return_index=True, return_inverse=True)
-                yield b, _SOLE, X.pack((cols[0], cols[1], cols[2][at], cols[3][at], back.astype(np.int32), cols[4]))
-            for b, (cols,) in X.split(_of_hash(branch, n), branch):
-                yield b, _BRANCH, X.pack(cols)
-            yield from _notes(n, ids[compare], tags[compare], pos[compare], _COMPARE)
-            yield from _notes(n, ids[whole], tags[whole], pos[whole], _WHOLE)
+            pos, h, context, ids, tags = (np.concatenate(c) for c in zip(*held, strict=True))
+            yield from _settled(n, h, context, pos.astype(np.int32), np.zeros(len(h), np.int8), ids, tags, rule.across)
 
         def found():
             nonlocal held, size
@@ -170,7 +202,7 @@ def _anchor_rows(rule: Rule, n: int) -> Callable:
                     continue
                 ids = _keys(block)
                 tags = _tags(block, ids)
-                held.append((doc, pos, h, context, ids[doc], tags[doc]))
+                held.append((pos, h, context, ids[doc], tags[doc]))
                 size += len(doc)
                 if size >= rule.chunk:
                     yield from flush()
@@ -247,17 +279,113 @@ def _cover(n: int, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     return np.cumsum(edges[:-1]) > 0
 
 
+def _passed(group: pa.Table) -> list[tuple[int, int, bytes]]:
+    rows = zip(*(group.column(c).to_pylist() for c in ("bucket", "kind", "blob")), strict=True)
+    return [row for row in rows if row[1] == _PASS]
+
+
 def _meet(rule: Rule, n: int) -> Callable:
     def work(group: pa.Table) -> pa.Table:
-        kinds = group.column("kind").to_pylist()
-        out = [(b, k, x) for b, k, x in zip(group.column("bucket").to_pylist(), kinds, group.column("blob").to_pylist(), strict=True) if k == _PASS]
-        parts = [(h, c, ids[at], tags[at], pos) for h, c, ids, tags, at, pos in X.blobs(group, _SOLE)]
-        if parts:
-            h, context, ids, tags, pos = (np.concatenate(c) for c in zip(*parts, strict=True))
+        out = _passed(group)
+        if found := _unrecord(group, _SOLE):
+            h, context, pos, size, ids, tags = found
             branches = np.unique(np.concatenate([np.zeros(0, np.uint64), *X.blobs(group, _BRANCH)]))
             _, compare, whole, _ = _settle(h, context, ids, tags, pos, rule.across, branches)
-            out += _notes(n, ids[compare], tags[compare], pos[compare], _COMPARE)
-            out += _notes(n, ids[whole], tags[whole], pos[whole], _WHOLE)
+            out += _noted(n, pos, size, ids, tags, compare, whole)
+        return X.table(out)
+
+    return work
+
+
+class Notes(NamedTuple):
+    """Sorted by tag."""
+
+    tags: np.ndarray
+    pos: np.ndarray
+    code: np.ndarray
+
+    @classmethod
+    def of(cls, group: pa.Table) -> Notes:
+        tags, pos, code = X.columns(X.blobs(group, _PASS), [np.uint64, np.int32, np.int8])
+        order = np.argsort(tags, kind="stable")
+        return cls(tags[order], pos[order].astype(np.int64), code[order])
+
+    def pick(self, which: np.ndarray) -> Notes:
+        return Notes(self.tags[which], self.pos[which], self.code[which])
+
+    @property
+    def repeats(self) -> np.ndarray:
+        return (self.code == _WHOLE) | (self.code > _REPEAT) & (self.code <= _EACH)
+
+
+class Met(NamedTuple):
+    """Documents with their notes. begin, last: of a note's document, in symbols; last: after its last window's start."""
+
+    docs: Docs
+    offs: np.ndarray
+    values: np.ndarray
+    notes: Notes
+    begin: np.ndarray
+    last: np.ndarray
+
+    def starts(self, rule: Rule) -> tuple[np.ndarray, np.ndarray]:
+        """The windows that each note is about, from the first one's start to after the last one's."""
+        at, code = self.begin + self.notes.pos, self.notes.code
+        anchor = code <= _COMPARE
+        lo = np.where(anchor, np.maximum(at - rule.reach, self.begin), at)
+        hi = np.where(anchor, at + 1, at + np.where(code > _EACH, code - _EACH, code - _REPEAT))
+        return lo, np.maximum(np.minimum(hi, self.last), lo)
+
+
+def _met(rule: Rule, texts: pa.Table, notes: Notes, wanted: np.ndarray) -> Iterator[Met]:
+    """The documents whose tags are wanted, each once."""
+    for docs in _documents(texts):
+        mine = np.flatnonzero(np.isin(docs.tags, wanted))
+        if not len(mine):
+            continue
+        mine = mine[np.sort(np.unique(docs.tags[mine], return_index=True)[1])]
+        _, where = _pick(docs.offs[mine], docs.offs[mine + 1])
+        offs = np.zeros(len(mine) + 1, np.int64)
+        np.cumsum(docs.offs[mine + 1] - docs.offs[mine], out=offs[1:])
+        docs = Docs(docs.ids[mine], docs.id_null[mine], docs.tags[mine], offs, docs.data[where])
+        values, offs = rule.symbols(docs.data, offs)
+        which, where = _pick(*_own(notes.tags, docs.tags))
+        begin = offs[which]
+        yield Met(docs, offs, values, notes.pick(where), begin, np.maximum(offs[which + 1] - rule.length + 1, begin))
+
+
+def _blocks(rule: Rule, n: int) -> Callable:
+    """Texts and notes in; for anchors that branch, their windows' blocks out."""
+
+    def work(texts: pa.Table, noted: pa.Table) -> pa.Table:
+        notes = Notes.of(noted)
+        if not len(notes.tags):
+            return X.table([])
+        bucket = noted.column("bucket")[0].as_py()
+        whole = notes.repeats
+        out = [(bucket, _PASS, X.pack((notes.tags[whole], notes.pos[whole].astype(np.int32), notes.code[whole])))] if whole.any() else []
+        made = []
+        for met in _met(rule, texts, notes, np.unique(notes.tags[~whole])):
+            lo, hi = met.starts(rule)
+            known = met.notes.repeats
+            clear = np.zeros(len(met.values) + 1, np.int64)
+            np.cumsum(_cover(len(met.values), lo[~known], hi[~known]) & ~_cover(len(met.values), lo[known], hi[known]), out=clear[1:])
+            rolling = t.Rolling(met.values)
+            anchor = (met.begin + met.notes.pos)[~known]
+            begin, last = met.begin[~known], met.last[~known]
+            for k in range(-(-(rule.reach + 1) // rule.block)):
+                first = anchor - rule.reach + k * rule.block
+                after = np.minimum(first + rule.block, anchor + 1)
+                a, b = np.maximum(first, begin), np.minimum(after, last)
+                use = np.flatnonzero(a < b)
+                use = use[clear[b[use]] > clear[a[use]]]
+                a, b, first, after = a[use], b[use], first[use], after[use]
+                key = t.mix(rolling.of(after - 1, first + rule.length) + np.uint64(k))
+                context = t.mix(rolling.of(a, b - 1 + rule.length) + ((a - first) * 257 + (b - a)).astype(np.uint64))
+                doc = np.searchsorted(met.offs, a, "right") - 1
+                made.append((key, context, (a - met.offs[doc]).astype(np.int32), (b - a).astype(np.int8), met.docs.ids[doc], met.docs.tags[doc]))
+        if made:
+            out += _settled(n, *(np.concatenate(c) for c in zip(*made, strict=True)), rule.across)
         return X.table(out)
 
     return work
@@ -277,49 +405,29 @@ def _duplicates(key: np.ndarray, more: np.ndarray, ids, tags, pos, across: bool)
 
 def _windows(rule: Rule, n: int) -> Callable:
     """Texts and notes in; windows to compare, and notes for `finish`, out."""
-    reach = rule.length - rule.seed
 
-    def work(texts: pa.Table, notes: pa.Table) -> pa.Table:
-        tags, pos, code = X.columns(X.blobs(notes, _PASS), [np.uint64, np.int32, np.int8])
-        if not len(tags):
+    def work(texts: pa.Table, noted: pa.Table) -> pa.Table:
+        notes = Notes.of(noted)
+        if not len(notes.tags):
             return X.table([])
-        order = np.argsort(tags, kind="stable")
-        tags, pos, code = tags[order], pos[order].astype(np.int64), code[order]
-        bucket = notes.column("bucket")[0].as_py()
-        whole = code == _WHOLE
-        out = [(bucket, _PASS, X.pack((tags[whole], pos[whole].astype(np.int32), code[whole])))] if whole.any() else []
-        wanted = np.unique(tags[~whole])
+        bucket = noted.column("bucket")[0].as_py()
+        whole = notes.repeats
+        out = [(bucket, _PASS, X.pack((notes.tags[whole], notes.pos[whole].astype(np.int32), notes.code[whole])))] if whole.any() else []
         made = []
-        for docs in _documents(texts):
-            mine = np.flatnonzero(np.isin(docs.tags, wanted))
-            if not len(mine):
-                continue
-            _, at = np.unique(docs.tags[mine], return_index=True)
-            mine = mine[np.sort(at)]
-            which, where = _pick(docs.offs[mine], docs.offs[mine + 1])
-            offs = np.zeros(len(mine) + 1, np.int64)
-            np.cumsum(docs.offs[mine + 1] - docs.offs[mine], out=offs[1:])
-            values, offs = rule.symbols(docs.data[where], offs)
-            rolling = t.Rolling(values)
-            lo, hi = _own(tags, docs.tags[mine])
-            which, where = _pick(lo, hi)
-            begin, at = offs[which], offs[which] + pos[where]
-            last = np.maximum(offs[which + 1] - rule.length + 1, begin)
-            lo, hi = np.maximum(at - reach, begin), np.minimum(at + 1, last)
-            hi = np.maximum(hi, lo)
-            known = code[where] == _WHOLE
-            start = np.flatnonzero(_cover(len(values), lo[~known], hi[~known]) & ~_cover(len(values), lo[known], hi[known]))
-            doc = np.searchsorted(offs, start, "right") - 1
+        for met in _met(rule, texts, notes, np.unique(notes.tags[~whole])):
+            lo, hi = met.starts(rule)
+            known = met.notes.repeats
+            start = np.flatnonzero(_cover(len(met.values), lo[~known], hi[~known]) & ~_cover(len(met.values), lo[known], hi[known]))
+            doc = np.searchsorted(met.offs, start, "right") - 1
+            rolling = t.Rolling(met.values)
             key = rolling.of(start, start + rule.length)
             more = (rolling.of(start + 1, start + rule.length) ^ (rolling.of(start, start + rule.seed) << np.uint64(7))) >> np.uint64(32)
-            made.append((key, more.astype(np.uint32), docs.ids[mine][doc], docs.tags[mine][doc], (start - offs[doc]).astype(np.int32)))
+            made.append((key, more.astype(np.uint32), (start - met.offs[doc]).astype(np.int32), met.docs.ids[doc], met.docs.tags[doc]))
         if made:
-            key, more, ids, own, at = (np.concatenate(c) for c in zip(*made, strict=True))
-            may, late = _duplicates(key, more, ids, own, at, rule.across)
-            out += _notes(n, ids[late], own[late], at[late], _ONE)
-            for b, cols in X.split(_of_hash(key[may], n), *(c[may] for c in (key, more, ids, own, at))):
-                _, first, back = np.unique(cols[3], return_index=True, return_inverse=True)
-                out.append((b, _WINDOW, X.pack((cols[0], cols[1], cols[2][first], cols[3][first], back.astype(np.int32), cols[4]))))
+            key, more, pos, ids, tags = (np.concatenate(c) for c in zip(*made, strict=True))
+            may, late = _duplicates(key, more, ids, tags, pos, rule.across)
+            out += _notes(n, ids[late], tags[late], pos[late], _REPEAT + 1)
+            out += _records(_WINDOW, n, *(c[may] for c in (key, more, pos, ids, tags)))
         return X.table(out)
 
     return work
@@ -327,13 +435,11 @@ def _windows(rule: Rule, n: int) -> Callable:
 
 def _compare(rule: Rule, n: int) -> Callable:
     def work(group: pa.Table) -> pa.Table:
-        kinds = group.column("kind").to_pylist()
-        out = [(b, k, x) for b, k, x in zip(group.column("bucket").to_pylist(), kinds, group.column("blob").to_pylist(), strict=True) if k == _PASS]
-        parts = [(key, more, ids[at], tags[at], pos) for key, more, ids, tags, at, pos in X.blobs(group, _WINDOW)]
-        if parts:
-            key, more, ids, tags, pos = (np.concatenate(c) for c in zip(*parts, strict=True))
+        out = _passed(group)
+        if found := _unrecord(group, _WINDOW):
+            key, more, pos, ids, tags = found
             _, late = _duplicates(key, more, ids, tags, pos, rule.across)
-            out += _notes(n, ids[late], tags[late], pos[late], _ONE)
+            out += _notes(n, ids[late], tags[late], pos[late], _REPEAT + 1)
         return X.table(out)
 
     return work
@@ -344,12 +450,8 @@ _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
 def _finish(rule: Rule) -> Callable:
-    reach = rule.length - rule.seed
-
-    def work(texts: pa.Table, notes: pa.Table) -> pa.Table:
-        tags, pos, code = X.columns(X.blobs(notes, _PASS), [np.uint64, np.int32, np.int8])
-        order = np.argsort(tags, kind="stable")
-        tags, pos, code = tags[order], pos[order].astype(np.int64), code[order]
+    def work(texts: pa.Table, noted: pa.Table) -> pa.Table:
+        notes = Notes.of(noted)
         parts = []
         for docs in _documents(texts):
             if rule.over_words:
@@ -357,12 +459,11 @@ def _finish(rule: Rule) -> Callable:
                 offs = found.offs
             else:
                 offs = docs.offs
-            which, where = _pick(*_own(tags, docs.tags))
-            begin, end = offs[which], offs[which + 1]
-            at, one = begin + pos[where], code[where] == _ONE
-            lo = np.where(one, at, np.maximum(at - reach, begin))
-            hi = np.minimum(at + rule.length, end)
-            gone = _cover(int(offs[-1]), lo, hi)
+            which, where = _pick(*_own(notes.tags, docs.tags))
+            begin = offs[which]
+            lo, hi = Met(docs, offs, offs, notes.pick(where), begin, np.maximum(offs[which + 1] - rule.length + 1, begin)).starts(rule)
+            lo, hi = lo[hi > lo], hi[hi > lo]
+            gone = _cover(int(offs[-1]), lo, hi - 1 + rule.length)
             total = np.zeros(len(gone) + 1, np.int64)
             np.cumsum(gone, out=total[1:])
             removed = total[offs[1:]] - total[offs[:-1]]
@@ -409,6 +510,8 @@ def remove_repeats(docs: DataFrame, rule: Rule, id_col: str = "doc_id", text_col
     texts = docs.mapInArrow(_text_rows(n), X.SCHEMA)
     found = docs.mapInArrow(_anchor_rows(rule, n), X.SCHEMA)
     found = X.by_bucket(found, _meet(rule, n))
+    found = X.with_bucket(texts, found, _blocks(rule, n))
+    found = X.by_bucket(found, _meet(rule, n))
     found = X.with_bucket(texts, found, _windows(rule, n))
     found = X.by_bucket(found, _compare(rule, n))
     return X.with_bucket(texts, found, _finish(rule), OUT)
