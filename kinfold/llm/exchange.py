@@ -10,6 +10,7 @@ from __future__ import annotations
 import os
 import pickle
 import tempfile
+import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -39,6 +40,15 @@ def kept(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """df as a Parquet table in the shared folder, read again."""
+    spark = df.sparkSession
+    shared(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.parquet(path)
+
+
 def pack(columns) -> bytes:
     return zstandard.compress(pickle.dumps(columns, protocol=5), 1)
 

@@ -6,7 +6,7 @@ single text, never the size of a partition.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 from typing import NamedTuple
 
@@ -15,6 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Bytes of text that are looked at together.
 BLOCK_BYTES = 2 << 20
@@ -63,6 +64,40 @@ def blocks(batches: Iterable[pa.RecordBatch], limit: int = BLOCK_BYTES) -> Itera
             i = j
 
 
+def beside(docs: DataFrame, work: Callable, schema: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with further columns: those that `work`, a function of batches of (id, text) with a row for each row, gives after the id.
+
+    schema: of all that `work` gives, the id first. Rows meet what was made of them in the task itself, without a join.
+    """
+    own = docs.columns
+    made = StructType.fromDDL(schema)
+    fed = docs.select("*", F.col(f"`{id_col}`").cast("long").alias("_id"), F.col(f"`{text_col}`").cast("string").alias("_text"))
+    out = StructType([*docs.schema.fields, *made.fields[1:]])
+
+    def run(batches):
+        waiting: list[pa.RecordBatch] = []
+
+        def feed():
+            for batch in batches:
+                if batch.num_rows:
+                    waiting.append(batch)
+                    yield batch.select(["_id", "_text"])
+
+        parts, have = [], 0
+        for part in work(feed()):
+            parts.append(part)
+            have += part.num_rows
+            if have == waiting[0].num_rows:
+                batch = waiting.pop(0)
+                new = pa.Table.from_batches(parts).combine_chunks()
+                columns = [batch.column(c) for c in own] + [new.column(c).combine_chunks() for c in new.column_names[1:]]
+                columns = [c.chunk(0) if isinstance(c, pa.ChunkedArray) else c for c in columns]
+                yield pa.RecordBatch.from_arrays(columns, names=out.names)
+                parts, have = [], 0
+
+    return fed.mapInArrow(run, out)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Spreads the bits of 64-bit values; one to one."""
     x = x ^ (x >> np.uint64(31))
