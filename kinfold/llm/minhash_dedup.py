@@ -9,8 +9,9 @@
    Those who share a key are not paired with each other but with the key's smallest id, first within a task,
    then over all tasks.
 3. `confirm`: pairs meet the two whole sets.
-4. Components of confirmed links. Pairs that share a key but ended up in different components were perhaps never
-   compared: these, and only these, are then paired with each other and confirmed in turn.
+4. Components of confirmed links. Those that share a key but ended up in different components were perhaps never
+   compared: `missed` pairs them, once each, where their signatures are within the distance, and these pairs are
+   confirmed in turn. A key with many such members sends its pairs to several tasks.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from . import exchange as X
 from . import text as t
 from .components import components
 
-_KEY, _PAIR, _NEED, _SET = 10, 11, 12, 13
+_KEY, _PAIR, _NEED, _SET, _OWN = 10, 11, 12, 13, 14
 
 
 @dataclass(frozen=True)
@@ -144,18 +145,18 @@ def _key_rows(rule: Rule, n: int, chunk: int = 20_000) -> Callable:
             def flush():
                 ids, sig = (np.concatenate(c) for c in zip(*held, strict=True))
                 own, hub = [], []
+                made: dict[int, list] = {}
                 for key in _keys(sig, rule):
                     at, a, b = _hubs(key, ids)
                     own.append(a)
                     hub.append(b)
                     for bucket, cols in X.split(_of_key(key[at], n), key[at], ids[at]):
-                        held_out.setdefault(bucket, []).append(cols)
+                        made.setdefault(bucket, []).append(cols)
                 yield from _pairs(n, np.concatenate(own), np.concatenate(hub))
-                for bucket, cols in held_out.items():
+                for bucket, cols in made.items():
                     yield bucket, _KEY, X.pack(tuple(np.concatenate(c) for c in zip(*cols, strict=True)))
 
             for batch in batches:
-                held_out: dict = {}
                 if batch.num_rows:
                     held.append(_sigs(batch, rule))
                     size += batch.num_rows
@@ -163,7 +164,6 @@ def _key_rows(rule: Rule, n: int, chunk: int = 20_000) -> Callable:
                     yield from flush()
                     held, size = [], 0
             if held:
-                held_out = {}
                 yield from flush()
 
         yield from X.rows(found())
@@ -304,39 +304,121 @@ def _confirmed(docs: DataFrame, pairs: DataFrame, rule: Rule, n: int) -> DataFra
     return X.by_bucket(sent, _confirm(rule), LINKS)
 
 
-def _parted_keys(rule: Rule, n: int) -> Callable:
-    """(doc_id, component, sig) to keys."""
+def _pair_ids(batches):
+    for batch in batches:
+        for blob in batch.column("blob"):
+            ids = np.unique(np.concatenate(X.unpack(blob.as_py())))
+            yield pa.RecordBatch.from_arrays([pa.array(ids)], names=["doc_id"])
+
+
+def _parts(batch: pa.RecordBatch, rule: Rule) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    ids, sig = _sigs(batch, rule)
+    return ids, batch.column("component").to_numpy(zero_copy_only=False).astype(np.int64), sig
+
+
+def _own_rows(rule: Rule, n: int) -> Callable:
+    """(doc_id, component, sig) by the bucket of the ids."""
+
+    def work(batches):
+        yield from X.rows((b, _OWN, X.pack(cols)) for batch in batches if batch.num_rows for ids, part, sig in [_parts(batch, rule)] for b, cols in X.split(_bucket(ids, n), ids, part, sig))
+
+    return work
+
+
+def _member_rows(rule: Rule, n: int) -> Callable:
+    """(doc_id, component, sig) to (key, component, id)."""
 
     def work(batches):
         def found():
             for batch in batches:
                 if not batch.num_rows:
                     continue
-                ids, sig = _sigs(batch, rule)
-                part = batch.column("component").to_numpy(zero_copy_only=False).astype(np.int64)
+                ids, part, sig = _parts(batch, rule)
                 made: dict[int, list] = {}
                 for key in _keys(sig, rule):
-                    for bucket, at in X.split(_of_key(key, n), key, part):
-                        made.setdefault(bucket, []).append(at)
+                    for bucket, cols in X.split(_of_key(key, n), key, part, ids):
+                        made.setdefault(bucket, []).append(cols)
                 for bucket, cols in made.items():
-                    key, own = (np.concatenate(c) for c in zip(*cols, strict=True))
-                    both = np.unique(np.stack([key, own.view(np.uint64)], 1), axis=0)
-                    yield bucket, _KEY, X.pack((both[:, 0].copy(), both[:, 1].copy()))
+                    yield bucket, _KEY, X.pack(tuple(np.concatenate(c) for c in zip(*cols, strict=True)))
 
         yield from X.rows(found())
 
     return work
 
 
-def _parted(group: pa.Table) -> pa.Table:
-    """Keys that hold several components, and the components."""
-    keys = X.blobs(group, _KEY)
-    key, part = (np.concatenate(c) for c in zip(*keys, strict=True))
-    both = np.unique(np.stack([key, part], 1), axis=0)
-    new = t.runs(both[:, 0])
-    many = np.bincount(np.cumsum(new) - 1)[np.cumsum(new) - 1] > 1
-    out = both[many]
-    return pa.table([pa.array(out[:, 0].copy().view(np.int64)), pa.array(out[:, 1].copy().view(np.int64))], names=["key", "component"])
+def _mixed(n: int) -> Callable:
+    """Of keys that several components have, each member's (id, key) to the bucket of the id."""
+
+    def work(group: pa.Table) -> pa.Table:
+        key, part, ids = (np.concatenate(c) for c in zip(*X.blobs(group, _KEY), strict=True))
+        order = np.lexsort((part, key))
+        key, part, ids = key[order], part[order], ids[order]
+        which = np.cumsum(t.runs(key)) - 1
+        many = (np.bincount(which[t.runs(key, part)]) > 1)[which]
+        return X.table((b, _NEED, X.pack(cols)) for b, cols in X.split(_bucket(ids[many], n), ids[many], key[many]))
+
+    return work
+
+
+def _with_signatures(rule: Rule, n: int) -> Callable:
+    def work(own: pa.Table, noted: pa.Table) -> pa.Table:
+        wanted, key = X.columns(X.blobs(noted, _NEED), [np.int64, np.uint64])
+        if not len(wanted):
+            return X.table([])
+        ids, part, sig = (np.concatenate(c) for c in zip(*X.blobs(own, _OWN), strict=True))
+        order = np.argsort(ids)
+        at = order[np.searchsorted(ids[order], wanted)]
+        return X.table((b, _SET, X.pack(cols)) for b, cols in X.split(_of_key(key, n), key, part[at], wanted, sig[at]))
+
+    return work
+
+
+def _first_key(equal: np.ndarray, chunk: int) -> np.ndarray:
+    """The place of the first key that rows of equal values share, as `_keys` counts them; -1 if none."""
+    off = ~equal.reshape(len(equal), equal.shape[1] // chunk, chunk)
+    few = off.sum(2) <= 1
+    c = few.argmax(1)
+    own = off[np.arange(len(off)), c]
+    return np.where(few.any(1), c * chunk + own.argmax(1), -1)
+
+
+def _cross(rule: Rule, n: int, side: int = 256) -> Callable:
+    """Pairs of a key's members from different components, within the distance; each pair at the first key it shares."""
+
+    def work(group: pa.Table) -> pa.Table:
+        key, part, ids, sig = (np.concatenate(c) for c in zip(*X.blobs(group, _SET), strict=True))
+        order = np.lexsort((ids, key))
+        key, part, ids, sig = key[order], part[order], ids[order], sig[order]
+        cuts = [*np.flatnonzero(t.runs(key)).tolist(), len(key)]
+        made: dict[int, list] = {}
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            salts = np.uint64(max(1, (b - a) // 256))
+            hub = ids[a]
+            place = next(k for k, own in enumerate(_keys(sig[a : a + 1], rule)) if own[0] == key[a])
+            for i in range(a, b, side):
+                for j in range(i, b, side):
+                    x, y = slice(i, min(i + side, b)), slice(j, min(j + side, b))
+                    equal = sig[x][:, None] == sig[y][None]
+                    far = rule.values - equal.sum(2) > rule.distance
+                    p, q = np.nonzero(~far & (part[x][:, None] != part[y][None]) & (ids[x][:, None] < ids[y][None]))
+                    own = _first_key(equal[p, q], rule.chunk) == place
+                    low, high = ids[x][p[own]], ids[y][q[own]]
+                    to = (t.mix(t.mix(np.array([hub]).view(np.uint64)) + t.mix(high.view(np.uint64)) % salts) % np.uint64(n)).astype(np.int32)
+                    for bucket, cols in X.split(to, high, low):
+                        made.setdefault(bucket, []).append(cols)
+        return X.table((bucket, _PAIR, X.pack(tuple(np.concatenate(c) for c in zip(*cols, strict=True)))) for bucket, cols in made.items())
+
+    return work
+
+
+def _missed(sigs: DataFrame, pairs: DataFrame, parts: DataFrame, rule: Rule, n: int) -> DataFrame:
+    """Packed pairs of the same key and different components, no further apart than signatures may be."""
+    some = pairs.mapInArrow(_pair_ids, "doc_id long").distinct()
+    own = sigs.join(some, "doc_id", "left_semi").join(parts, sigs.doc_id == parts.node, "left").select("doc_id", F.coalesce("component", "doc_id").alias("component"), "sig")
+    own = X.kept(own)
+    mixed = X.by_bucket(own.mapInArrow(_member_rows(rule, n), X.SCHEMA), _mixed(n))
+    full = X.with_bucket(own.mapInArrow(_own_rows(rule, n), X.SCHEMA), mixed, _with_signatures(rule, n))
+    return X.kept(X.by_bucket(full, _cross(rule, n)))
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -359,57 +441,14 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     reps = some.groupBy("one", "two", "n_shingles").agg(F.min("doc_id").alias("rep"), F.min("sig").alias("sig"))
     reps = X.kept(reps)
     sigs = reps.select(F.col("rep").alias("doc_id"), "sig")
-    pairs = X.by_bucket(sigs.mapInArrow(_key_rows(rule, n), X.SCHEMA), _meet(n))
+    pairs = X.kept(X.by_bucket(sigs.mapInArrow(_key_rows(rule, n), X.SCHEMA), _meet(n)))
     links = X.kept(_confirmed(docs, pairs, rule, n))
     parts = X.kept(components(links))
-    more = _missed(sigs, parts, rule, n)
-    if not more.isEmpty():
-        own = more.mapInArrow(_pair_rows(n), X.SCHEMA)
-        links = X.kept(links.union(_confirmed(docs, own, rule, n)))
+    missed = _missed(sigs, pairs, parts, rule, n)
+    if not missed.isEmpty():
+        links = links.union(_confirmed(docs, missed, rule, n))
         parts = X.kept(components(links))
     named = reps.join(parts, reps.rep == parts.node, "left").select("one", "two", "n_shingles", F.coalesce("component", "rep").alias("component"))
     out = made.select("doc_id", "n_shingles", "one", "two").join(named, ["one", "two", "n_shingles"], "left")
     part = F.when(F.col("doc_id").isNotNull(), F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id")))
     return out.select("doc_id", "n_shingles", part.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
-
-
-def _missed(sigs: DataFrame, parts: DataFrame, rule: Rule, n: int) -> DataFrame:
-    """Pairs (a, b), a > b, of the same key and different components, no further apart than signatures may be."""
-    own = sigs.join(parts, sigs.doc_id == parts.node, "left").select("doc_id", F.coalesce("component", "doc_id").alias("component"), "sig")
-    own = X.kept(own)
-    mixed = X.kept(X.by_bucket(own.mapInArrow(_parted_keys(rule, n), X.SCHEMA), _parted, "key long, component long"))
-    members = own.join(mixed.select("component").distinct(), "component", "left_semi")
-
-    def keyed(batches):
-        for batch in batches:
-            if batch.num_rows:
-                ids, sig = _sigs(batch, rule)
-                part = batch.column("component").to_numpy(zero_copy_only=False).astype(np.int64)
-                for key in _keys(sig, rule):
-                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(part), pa.array(ids), batch.column("sig")], names=["key", "component", "doc_id", "sig"])
-
-    keys = members.mapInArrow(keyed, "key long, component long, doc_id long, sig binary").join(mixed, ["key", "component"], "left_semi")
-    x = keys.select("key", F.col("component").alias("p"), F.col("doc_id").alias("a"), F.col("sig").alias("x"))
-    y = keys.select("key", F.col("component").alias("q"), F.col("doc_id").alias("b"), F.col("sig").alias("y"))
-    both = x.join(y, "key").where("p > q").select("a", "b", "x", "y")
-
-    def near(batches):
-        for batch in batches:
-            if batch.num_rows:
-                x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, rule.values) for c in ("x", "y"))
-                at = np.flatnonzero((x != y).sum(1) <= rule.distance)
-                yield pa.RecordBatch.from_arrays([batch.column("a").take(pa.array(at)), batch.column("b").take(pa.array(at))], names=["a", "b"])
-
-    return X.kept(both.mapInArrow(near, "a long, b long").distinct())
-
-
-def _pair_rows(n: int) -> Callable:
-    def work(batches):
-        def found():
-            for batch in batches:
-                if batch.num_rows:
-                    yield from _pairs(n, *(batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("a", "b")))
-
-        yield from X.rows(found())
-
-    return work
