@@ -391,10 +391,12 @@ def _cross(rule: Rule, n: int, side: int = 256) -> Callable:
         key, part, ids, sig = key[order], part[order], ids[order], sig[order]
         cuts = [*np.flatnonzero(t.runs(key)).tolist(), len(key)]
         made: dict[int, list] = {}
-        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        places = np.zeros(len(cuts) - 1, np.int64)
+        for k, own in enumerate(_keys(sig[cuts[:-1]], rule)):
+            places[own == key[cuts[:-1]]] = k
+        for a, b, place in zip(cuts[:-1], cuts[1:], places.tolist(), strict=True):
             salts = np.uint64(max(1, (b - a) // 256))
             hub = ids[a]
-            place = next(k for k, own in enumerate(_keys(sig[a : a + 1], rule)) if own[0] == key[a])
             for i in range(a, b, side):
                 for j in range(i, b, side):
                     x, y = slice(i, min(i + side, b)), slice(j, min(j + side, b))
