@@ -15,10 +15,14 @@ from kinfold.llm.minhash_dedup import near_duplicates
 from kinfold.llm.sampling import texts_of
 
 
+#: Of columns that are only there within a stage; documents may have further columns of any other name.
+_P = "_kinfold_"
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of a known language stay; those that the models reject (none, or unlike any of them) go."""
-    out = language_id.judged(docs, language_id.learned(docs))
-    return out.where("NOT rejected").select(docs.columns)
+    out = language_id.judged(docs, language_id.learned(docs), prefix=_P)
+    return out.where(~F.col(f"{_P}rejected")).select(docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,16 +35,16 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Documents with a benchmark item go."""
     out = docs
     for work in decontamination.passes(spark.read.parquet(f"{sf_dir}/benchmark.parquet")):
-        out = t.beside(out, work, f"doc_id long, found {decontamination.FOUND}").where(F.size("found") == 0).select(docs.columns)
+        out = t.beside(out, work, f"doc_id long, found {decontamination.FOUND}", prefix=_P).where(F.size(f"{_P}found") == 0).select(docs.columns)
     return out
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents stay; secrets in them are replaced by what kind they are, and n_chars follows."""
     model = secret_scan.fit([x[2] for x in texts_of(t.id_text(docs), 1500)])
-    out = secret_scan.cleaned(docs, model)
-    changed = F.size("spans") > 0
-    own = {"text": F.col("redacted"), "n_chars": F.when(changed, F.length("redacted").cast("long")).otherwise(F.col("n_chars"))}
+    out = secret_scan.cleaned(docs, model, prefix=_P)
+    changed = F.size(f"{_P}spans") > 0
+    own = {"text": F.col(f"{_P}redacted"), "n_chars": F.when(changed, F.length(f"{_P}redacted").cast("long")).otherwise(F.col("n_chars"))}
     return out.select(*(own[c].alias(c) if c in own else c for c in docs.columns))
 
 

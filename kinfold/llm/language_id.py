@@ -227,9 +227,9 @@ def learned(docs: DataFrame, learn: Column | None = None, rows: int = 300, id_co
     return train(samples)
 
 
-def judged(docs: DataFrame, models: Models, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def judged(docs: DataFrame, models: Models, id_col: str = "doc_id", text_col: str = "text", prefix: str = "") -> DataFrame:
     """docs with lang_pred, score, cross_entropy and rejected beside each row."""
-    return t.beside(docs, _work(models), OUT, id_col, text_col)
+    return t.beside(docs, _work(models), OUT, id_col, text_col, prefix)
 
 
 def identify(docs: DataFrame, learn: Column | None = None, rows: int = 300, models: Models | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:

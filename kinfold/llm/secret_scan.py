@@ -2,8 +2,8 @@
 
 Both models are chains over character pairs, fitted on labelled samples: random strings are the values that the
 fixed patterns find in a bounded sample of texts, with seeded draws from the usual alphabets; ordinary
-identifiers are the sample's other tokens. A long token with letters and digits is a secret where the mean
-log-likelihood ratio of its pairs is above a threshold, set so that no ordinary token of the sample passes.
+identifiers are a fixed list and the sample's other tokens but those that the models are to judge. A long token with letters and digits is a secret where the mean
+log-likelihood ratio of its pairs is above a threshold, set so that 99 in 100 ordinary tokens with digits don't pass.
 """
 
 from __future__ import annotations
@@ -61,6 +61,11 @@ def _chain(tokens: Iterable[str]) -> np.ndarray:
     return np.log(counts / counts.sum(1, keepdims=True))
 
 
+def candidate(token: str) -> bool:
+    """Long, with letters and digits: what the models judge, and so no label by itself."""
+    return len(token) >= LEAST and any(c.isdigit() for c in token) and any(c.isalpha() for c in token)
+
+
 @dataclass(frozen=True)
 class Model:
     """ratio: log-likelihood ratio of each pair; threshold: of a token's mean."""
@@ -75,10 +80,8 @@ class Model:
     def random_spans(self, text: str) -> list[tuple[int, int]]:
         out = []
         for m in _TOKEN.finditer(text):
-            if m.end() - m.start() >= LEAST:
-                token = m.group()
-                if any(c.isdigit() for c in token) and any(c.isalpha() for c in token) and self.score(token) > self.threshold:
-                    out.append(m.span())
+            if m.end() - m.start() >= LEAST and candidate(m.group()) and self.score(m.group()) > self.threshold:
+                out.append(m.span())
         return out
 
 
@@ -105,10 +108,11 @@ def fit(texts: Iterable[str], seed: int = 7, drawn: int = 600) -> Model:
             secret.append(ASSIGN.search(own).group(2) if kind == 0 else own)
         cut = [0, *[x for s in spans for x in (s[0], s[2])], len(text)]
         for a, b in zip(cut[::2], cut[1::2], strict=True):
-            plain += _TOKEN.findall(text[a:b])
+            plain += [x for x in _TOKEN.findall(text[a:b]) if not candidate(x)]
     ratio = _chain(secret) - _chain(plain)
     free = Model(ratio, 0.0)
-    most = max((free.score(x) for x in set(plain) if len(x) >= 12 and any(c.isdigit() for c in x)), default=0.0)
+    scores = sorted(free.score(x) for x in set(plain) if len(x) >= 12 and any(c.isdigit() for c in x))
+    most = scores[int(0.99 * (len(scores) - 1))]  # the few above may be secrets that no pattern knows
     drawn_scores = sorted(free.score(x) for x in secret if len(x) >= LEAST)
     low = drawn_scores[len(drawn_scores) // 50] if drawn_scores else 1.0
     return Model(ratio, max(0.2, min(most, low)))
@@ -169,9 +173,9 @@ def redacted(text: str, found: list[tuple[int, int, int]]) -> str:
     return "".join([*out, text[at:]])
 
 
-def cleaned(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def cleaned(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", prefix: str = "") -> DataFrame:
     """docs with spans and the redacted text beside each row."""
-    return t.beside(docs, _work(model, True), OUT, id_col, text_col)
+    return t.beside(docs, _work(model, True), OUT, id_col, text_col, prefix)
 
 
 def secret_scan(docs: DataFrame, sample_rows: int = 1500, redact: bool = True, model: Model | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -15,7 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StructField, StructType
 
 #: Bytes of text that are looked at together.
 BLOCK_BYTES = 2 << 20
@@ -64,15 +64,15 @@ def blocks(batches: Iterable[pa.RecordBatch], limit: int = BLOCK_BYTES) -> Itera
             i = j
 
 
-def beside(docs: DataFrame, work: Callable, schema: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def beside(docs: DataFrame, work: Callable, schema: str, id_col: str = "doc_id", text_col: str = "text", prefix: str = "") -> DataFrame:
     """docs with further columns: those that `work`, a function of batches of (id, text) with a row for each row, gives after the id.
 
-    schema: of all that `work` gives, the id first. Rows meet what was made of them in the task itself, without a join.
+    schema: of all that `work` gives, the id first. prefix: of the new columns' names, where docs may have them. Rows meet what was made of them in the task itself, without a join.
     """
-    own = docs.columns
-    made = StructType.fromDDL(schema)
-    fed = docs.select("*", F.col(f"`{id_col}`").cast("long").alias("_id"), F.col(f"`{text_col}`").cast("string").alias("_text"))
-    out = StructType([*docs.schema.fields, *made.fields[1:]])
+    own = len(docs.columns)
+    made = [StructField(prefix + f.name, f.dataType) for f in StructType.fromDDL(schema).fields[1:]]
+    fed = docs.select("*", F.col(f"`{id_col}`").cast("long").alias("_kinfold_id"), F.col(f"`{text_col}`").cast("string").alias("_kinfold_text"))
+    out = StructType([*docs.schema.fields, *made])
 
     def run(batches):
         waiting: list[pa.RecordBatch] = []
@@ -81,7 +81,7 @@ def beside(docs: DataFrame, work: Callable, schema: str, id_col: str = "doc_id",
             for batch in batches:
                 if batch.num_rows:
                     waiting.append(batch)
-                    yield batch.select(["_id", "_text"])
+                    yield pa.RecordBatch.from_arrays(batch.columns[own:], names=["doc_id", "text"])
 
         parts, have = [], 0
         for part in work(feed()):
@@ -90,7 +90,7 @@ def beside(docs: DataFrame, work: Callable, schema: str, id_col: str = "doc_id",
             if have == waiting[0].num_rows:
                 batch = waiting.pop(0)
                 new = pa.Table.from_batches(parts).combine_chunks()
-                columns = [batch.column(c) for c in own] + [new.column(c).combine_chunks() for c in new.column_names[1:]]
+                columns = batch.columns[:own] + [new.column(c).combine_chunks() for c in new.column_names[1:]]
                 columns = [c.chunk(0) if isinstance(c, pa.ChunkedArray) else c for c in columns]
                 yield pa.RecordBatch.from_arrays(columns, names=out.names)
                 parts, have = [], 0
