@@ -81,7 +81,7 @@ def _search(k: int, projections: int, share: float, threshold: float) -> Callabl
     return work
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, projections: int = 64, share: float = 0.04, threshold: float = 0.72, block_rows: int = 8192, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, projections: int = 64, share: float = 0.04, threshold: float = 0.72, block_rows: int = 16_384, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """Each query's k nearest rows by inner product, in double precision: query_id, rank (from 1), vec_id, score.
 
     share: of a block that has to collide before the search stops, at least; it sets the recall, which the tests
