@@ -101,7 +101,7 @@ def dnm_trio_indel(spark, folder):
 
 def dnm_pair(spark, folder):
     sites = _likelihoods(spark, folder, 10).withColumnsRenamed({"child_pl": "tumor_pl", "mom_pl": "normal_pl", "child_dp": "tumor_dp", "mom_dp": "normal_dp"})
-    return denovo.pair_snps(sites, cutoff=-1.0).select("vec_id", F.round("pp_dnm", 6).alias("pp"), F.round(F.log10("null_like"), 4).alias("null_like"))
+    return denovo.pair_snps(sites, cutoff=-1.0).select("vec_id", F.round("pp_dnm", 6).alias("pp"), F.round("null_like", 6).alias("null_like"))
 
 
 def _dnm_sql(rows: list[tuple], who: tuple[str, ...], by_ref: bool, told: str = "round(log10({}), 4)") -> str:
@@ -111,7 +111,7 @@ def _dnm_sql(rows: list[tuple], who: tuple[str, ...], by_ref: bool, told: str =
     on = "substr('ACGT', CAST(vec_id % 4 + 1 AS INT), 1) = ref" if by_ref else "true"
     return f"""WITH w(ref, {', '.join(who)}, weight, denovo) AS (VALUES {values}),
 x AS (SELECT vec_id, denovo, weight * pow(10, -({pick}) / 10) AS v FROM embeddings JOIN w ON {on} WHERE embedding IS NOT NULL AND len(embedding) >= 30)
-SELECT vec_id, {told.format("max(CASE WHEN denovo THEN v ELSE 0 END) / sum(v)")} AS pp, round(log10(max(CASE WHEN denovo THEN 0 ELSE v END)), 4) AS null_like FROM x GROUP BY vec_id"""
+SELECT vec_id, {told.format("max(CASE WHEN denovo THEN v ELSE 0 END) / sum(v)")} AS pp, {told.format("max(CASE WHEN denovo THEN 0 ELSE v END)")} AS null_like FROM x GROUP BY vec_id"""
 
 
 def _snp_rows(model: str) -> list[tuple]:
