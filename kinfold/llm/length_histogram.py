@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import exchange as X
 from .bpe import token_counts
 
 #: Lengths that are summed together before the sums over blocks.
@@ -24,9 +25,10 @@ def suffix_sums(histogram: DataFrame) -> DataFrame:
     truncated_total: tokens left if every document is cut at the limit.
 
     Sums go block by block: within a block of lengths, then over the blocks, of which there are as many as the
-    longest document has tokens over 512.
+    longest document has tokens over 512. The histogram, a row for each length, is kept in the shared folder first, as the
+    two kinds of sums each read it and the texts are to be encoded once.
     """
-    rows = histogram.withColumn("block", F.floor(F.col("n_tokens") / _BLOCK)).withColumn("tokens", F.col("n_tokens") * F.col("n_docs"))
+    rows = X.kept(histogram).withColumn("block", F.floor(F.col("n_tokens") / _BLOCK)).withColumn("tokens", F.col("n_tokens") * F.col("n_docs"))
     per = rows.groupBy("block").agg(F.sum("n_docs").alias("bd"), F.sum("tokens").alias("bt"))
     after = Window.orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, -1)
     everything = Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
