@@ -20,11 +20,11 @@ _SIZES = {"A": 1, "c": 1, "C": 1, "s": 2, "S": 2, "i": 4, "I": 4, "f": 4}
 
 
 def read_sam(spark: SparkSession, path: str) -> DataFrame:
-    """Columns of SCHEMA; pos is 1-based."""
+    """Columns of SCHEMA; pos is 1-based; numbers that are none are null."""
     rows = spark.read.text(path).where(~F.col("value").startswith("@") & (F.col("value") != ""))
-    c = lambda i: F.split("value", "\t")[i]
+    c = lambda i: F.get(F.split("value", "\t"), F.lit(i))
     tag = lambda t: F.nullif(F.regexp_extract("value", f"\t{t}:[AZ]:([^\t\r]*)", 1), F.lit(""))
-    return rows.select(c(0).alias("qname"), c(1).cast("int").alias("flag"), c(2).alias("contig"), c(3).cast("int").alias("pos"), c(4).cast("int").alias("mapq"), c(5).alias("cigar"), c(9).alias("seq"), c(10).alias("qual"), tag("RG").alias("rg"), tag("XT").alias("xt"))
+    return rows.select(c(0).alias("qname"), c(1).try_cast("int").alias("flag"), c(2).alias("contig"), c(3).try_cast("int").alias("pos"), c(4).try_cast("int").alias("mapq"), c(5).alias("cigar"), c(9).alias("seq"), c(10).alias("qual"), tag("RG").alias("rg"), tag("XT").alias("xt"))
 
 
 def blocks(path: str) -> Iterator[bytes]:

@@ -19,7 +19,7 @@ def vcf_samples(spark: SparkSession, path: str) -> list[str]:
 
 
 def read_vcf(spark: SparkSession, path: str) -> DataFrame:
-    """contig, pos, id, ref, alts, alleles, qual, filter, info (map), format, cells (one array of texts a sample)."""
+    """contig, pos (null if it is no number), id, ref, alts, alleles, qual, filter, info (map), format, cells (texts of each sample)."""
     kind = file_type(path)[1].lower()
     if kind in ("bcf", "cram"):
         raise ValueError(f"file type '{kind}' is not supported; convert it to vcf")
@@ -34,7 +34,7 @@ def read_vcf(spark: SparkSession, path: str) -> DataFrame:
     info = F.map_from_entries(F.transform(keys, lambda k: F.struct(k, first(k).substr(F.length(k) + 2, F.length(first(k))))))
     return out.select(
         "contig",
-        F.col("pos").cast("int").alias("pos"),
+        F.col("pos").try_cast("int").alias("pos"),
         "id",
         F.upper("ref").alias("ref"),
         alts.alias("alts"),
