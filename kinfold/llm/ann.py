@@ -2,19 +2,36 @@
 
 A block of vectors is projected on `projections` directions, and the places are sorted along each. A query
 looks at a window centred on its own projection in every one of the sorted arrays; vectors that are in many
-windows collide often. Virtual rehashing widens the windows, which only adds places at both ends, until enough
-vectors collide more often than the threshold; these are verified with the exact inner product.
+windows collide often. Virtual rehashing widens the windows, which only adds places at both ends; vectors that
+collide more often than the threshold are verified with the exact inner product. The search stops once the windows
+are so wide that a vector as near as the k-th best one verified reaches the threshold with the probability CERTAIN.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
+from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+#: The chance that a vector as near as the k-th best is verified, at least.
+CERTAIN = 0.97
+
+
+def reach(count: int, least: int) -> float:
+    """Half a window's width, in distances of a vector, from which the vector is in `least` of `count` windows with CERTAIN."""
+    lo, hi = 0.0, 10.0
+    for _ in range(50):
+        mid = (lo + hi) / 2
+        p = 2 * NormalDist().cdf(mid) - 1
+        enough = sum(math.comb(count, i) * p**i * (1 - p) ** (count - i) for i in range(least, count + 1)) >= CERTAIN
+        lo, hi = (lo, mid) if enough else (mid, hi)
+    return hi
+
 
 def directions(dim: int, count: int, seed: int = 11) -> np.ndarray:
     """Random directions, orthogonal to one another as far as the dimension goes; unit variance of a unit step is dim."""
@@ -35,13 +52,14 @@ class Index:
         low, high = np.quantile(self.sorted, (0.16, 0.84), axis=1)
         self.scale = float(np.mean(high - low)) / 2 or 1.0
 
-    def candidates(self, query: np.ndarray, share: float, wanted: int, threshold: float, width: float = 1.05, step: float = 1.12) -> np.ndarray:
-        """Places whose collisions reach the threshold, once there are enough."""
+    def candidates(self, query: np.ndarray, other: np.ndarray, share: float, k: int, threshold: float, reach: float, width: float = 1.05, step: float = 1.12) -> tuple[np.ndarray, np.ndarray]:
+        """Places whose collisions reach the threshold, once the k best are among them, and exact products; other: places that count."""
         n, m = len(self.vectors), len(self.order)
-        need = min(n, max(wanted, int(share * n)))
+        need = min(n, max(4 * k, int(share * n)))
         least = int(np.ceil(threshold * m))
         center = query @ self.along
-        counts = np.zeros(n, np.int64)
+        counts, score = np.zeros(n, np.int64), np.full(n, -np.inf)
+        seen = ~other
         lo = hi = None
         half = width * self.scale
         while True:
@@ -53,22 +71,30 @@ class Index:
                 parts = [o[i:j] for o, i, j in zip(self.order, a.tolist(), lo.tolist(), strict=True)] + [o[i:j] for o, i, j in zip(self.order, hi.tolist(), b.tolist(), strict=True)]
             counts += np.bincount(np.concatenate(parts), minlength=n)
             lo, hi = a, b
-            found = np.flatnonzero(counts >= least)
-            if len(found) >= need or (hi - lo).sum() == n * m:
-                return found
+            enough = counts >= least
+            new = np.flatnonzero(enough & ~seen)
+            seen[new] = True
+            score[new] = (self.vectors[new] * query).sum(1)
+            found = np.flatnonzero(enough & other)
+            if (hi - lo).sum() == n * m:
+                return found, score[found]
+            if np.count_nonzero(enough) >= need and len(found) >= k:
+                far = np.sqrt(np.partition(((self.vectors[found] - query) ** 2).sum(1), k - 1)[k - 1])
+                if half >= reach * far:
+                    return found, score[found]
             half *= step
 
 
 def _search(k: int, projections: int, share: float, threshold: float) -> Callable:
+    wide = reach(projections, int(np.ceil(threshold * projections)))
+
     def work(data: pa.Table, queries: pa.Table) -> pa.Table:
         out: list[tuple] = []
         if data.num_rows and queries.num_rows:
             ids = data.column("vec_id").to_numpy()
             index = Index(np.array(data.column("vec").to_pylist(), np.float64), projections)
             for own, vector in zip(queries.column("vec_id").to_pylist(), np.array(queries.column("vec").to_pylist(), np.float64), strict=True):
-                found = index.candidates(vector, share, 4 * k, threshold)
-                found = found[ids[found] != own]
-                score = (index.vectors[found] * vector).sum(1)
+                found, score = index.candidates(vector, ids != own, share, k, threshold, wide)
                 if len(found) > 8 * k:
                     cut = np.partition(score, len(score) - k)[len(score) - k]
                     near = score >= cut
@@ -84,9 +110,9 @@ def _search(k: int, projections: int, share: float, threshold: float) -> Callabl
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, projections: int = 64, share: float = 0.04, threshold: float = 0.72, block_rows: int = 16_384, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """Each query's k nearest rows by inner product, in double precision: query_id, rank (from 1), vec_id, score.
 
-    share: of a block that has to collide before the search stops, at least; it sets the recall, which the tests
-    measure. Every row is indexed, in blocks of about block_rows by a hash of the id, so that a task's memory is
-    bounded; queries meet every block in groups of about block_rows. A query's own row (same id) is no candidate.
+    share: of a block that has to collide before the search stops, at least; the recall is set by CERTAIN, in blocks
+    of any size, and the tests measure it. Every row is indexed, in blocks of about block_rows by a hash of the id, so
+    that a task's memory is bounded; queries meet every block in groups of about block_rows. A query's own row (same id) is no candidate.
     Nearest first, ties to the smaller id; a query with fewer candidates has fewer rows.
 
     Vectors that are null, empty or zero or hold null or non-finite components take no part, nor do null ids; vectors of

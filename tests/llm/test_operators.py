@@ -204,6 +204,42 @@ def test_nearest(spark):
     assert hit >= 0.9 * 20 * len(got)
 
 
+def _recall(own, got, k=20):
+    hit = 0
+    for q, found in got.items():
+        score = own @ own[q]
+        score[q] = -np.inf
+        hit += len(set(np.argsort(-score, kind="stable")[:k].tolist()) & found)
+    return hit / k / len(got)
+
+
+def _found(rows):
+    got = defaultdict(set)
+    for r in rows:
+        got[r.query_id].add(r.vec_id)
+    return got
+
+
+def _stored(spark, path, own):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    pq.write_table(pa.table({"vec_id": np.arange(len(own)), "embedding": pa.array(list(own.astype(np.float64)))}), path)
+    return spark.read.parquet(path)
+
+
+def test_nearest_recall_at_own_parameters(spark, tmp_path):
+    folder = "/root/testdata/sf0.1"
+    table = spark.read.parquet(f"{folder}/embeddings.parquet").orderBy("vec_id").collect()
+    place = {r.vec_id: i for i, r in enumerate(table)}
+    got = {place[q]: {place[i] for i in found} for q, found in _found(queries()["op2_nearest"](spark, folder).collect()).items()}
+    assert got and _recall(np.array([r.embedding for r in table], float), got) >= 0.9
+    own = np.random.default_rng(5).normal(size=(40_000, 64))
+    own /= np.sqrt((own**2).sum(1))[:, None]
+    vectors = _stored(spark, f"{tmp_path}/full.parquet", own)
+    assert _recall(own, _found(ann.nearest(vectors, vectors.where("vec_id % 1000 = 0")).collect())) >= 0.9
+
+
 def test_language(spark, docs):
     table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
