@@ -5,6 +5,10 @@ looks at a window centred on its own projection in every one of the sorted array
 windows collide often. Virtual rehashing widens the windows, which only adds places at both ends; vectors that
 collide more often than the threshold are verified with the exact inner product. The search stops once the windows
 are so wide that a vector as near as the k-th best one verified reaches the threshold with the probability CERTAIN.
+
+Windows find what is near in distance. So that this is what has the largest inner product, vectors get a further
+component that makes them all as long as the longest one of the block, and queries that length and a zero; both
+are projected in units of that length.
 """
 
 from __future__ import annotations
@@ -40,13 +44,22 @@ def directions(dim: int, count: int, seed: int = 11) -> np.ndarray:
     return np.concatenate(parts, 1)[:, :count] * np.sqrt(dim)
 
 
+def lengths(vectors: np.ndarray) -> np.ndarray:
+    """Of vectors that aren't zero; squares neither overflow nor vanish."""
+    largest = np.abs(vectors).max(1)
+    return largest * np.sqrt(((vectors / largest[:, None]) ** 2).sum(1))
+
+
 class Index:
-    """Sorted projections of a block of vectors."""
+    """Sorted projections of a block of vectors, made equally long by a further component."""
 
     def __init__(self, vectors: np.ndarray, projections: int):
         self.vectors = vectors
-        self.along = directions(vectors.shape[1], projections)
-        at = vectors @ self.along
+        self.longest = float(lengths(vectors).max())
+        unit = vectors / self.longest
+        rest = np.sqrt(np.maximum(1 - (unit**2).sum(1), 0))
+        self.along = directions(vectors.shape[1] + 1, projections)
+        at = np.column_stack([unit, rest]) @ self.along
         self.order = np.argsort(at, axis=0, kind="stable").T.copy()
         self.sorted = np.take_along_axis(at, self.order.T, 0).T.copy()
         low, high = np.quantile(self.sorted, (0.16, 0.84), axis=1)
@@ -57,7 +70,8 @@ class Index:
         n, m = len(self.vectors), len(self.order)
         need = min(n, max(4 * k, int(share * n)))
         least = int(np.ceil(threshold * m))
-        center = query @ self.along
+        norm = float(lengths(query[None])[0])
+        center = (query / norm) @ self.along[:-1]
         counts, score = np.zeros(n, np.int64), np.full(n, -np.inf)
         seen = ~other
         lo = hi = None
@@ -79,7 +93,8 @@ class Index:
             if (hi - lo).sum() == n * m:
                 return found, score[found]
             if np.count_nonzero(enough) >= need and len(found) >= k:
-                far = np.sqrt(np.partition(((self.vectors[found] - query) ** 2).sum(1), k - 1)[k - 1])
+                best = np.partition(score[found], len(found) - k)[len(found) - k]
+                far = np.sqrt(max(2 - 2 * (best / self.longest / norm), 0))
                 if half >= reach * far:
                     return found, score[found]
             half *= step
@@ -110,9 +125,9 @@ def _search(k: int, projections: int, share: float, threshold: float) -> Callabl
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, projections: int = 64, share: float = 0.04, threshold: float = 0.72, block_rows: int = 16_384, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """Each query's k nearest rows by inner product, in double precision: query_id, rank (from 1), vec_id, score.
 
-    share: of a block that has to collide before the search stops, at least; the recall is set by CERTAIN, in blocks
-    of any size, and the tests measure it. Every row is indexed, in blocks of about block_rows by a hash of the id, so
-    that a task's memory is bounded; queries meet every block in groups of about block_rows. A query's own row (same id) is no candidate.
+    share: of a block that has to collide before the search stops, at least; the recall is set by CERTAIN, for vectors
+    of any lengths and blocks of any size, and the tests measure it. Every row is indexed, in blocks of about block_rows
+    by a hash of the id, so that a task's memory is bounded; queries meet every block in groups of about block_rows. A query's own row (same id) is no candidate.
     Nearest first, ties to the smaller id; a query with fewer candidates has fewer rows.
 
     Vectors that are null, empty or zero or hold null or non-finite components take no part, nor do null ids; vectors of

@@ -240,6 +240,15 @@ def test_nearest_recall_at_own_parameters(spark, tmp_path):
     assert _recall(own, _found(ann.nearest(vectors, vectors.where("vec_id % 1000 = 0")).collect())) >= 0.9
 
 
+def test_nearest_of_unequal_lengths(spark, tmp_path):
+    rng = np.random.default_rng(6)
+    own = np.array([r.embedding for r in spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").orderBy("vec_id").collect()], float)
+    for sigma in (0.3, 0.6):
+        scaled = own * np.exp(rng.normal(0, sigma, len(own)))[:, None]
+        vectors = _stored(spark, f"{tmp_path}/{sigma}.parquet", scaled)
+        assert _recall(scaled, _found(ann.nearest(vectors, vectors.where("vec_id % 20 = 0")).collect())) >= 0.9
+
+
 def test_language(spark, docs):
     table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
