@@ -6,6 +6,10 @@ aligned with it. What the placeholders stand for has to be consistent along the
 always meets the same value of the document and the other way around, so that a question with other numbers or names
 is caught and a chance run of placeholders isn't.
 
+A capital at the start of a sentence or line may be a name's or the sentence's, so texts are read in two forms: in
+the first such words are words, in the second they are names. A window counts that is found in either form.
+Scripts without capitals have no names.
+
 Benchmark items go to the tasks in slices of a bounded number of items; a larger benchmark takes more passes.
 """
 
@@ -29,7 +33,8 @@ UNITS = (
 ).split()
 _NUMBER, _NAME, _UNIT = np.uint64(1), np.uint64(2), np.uint64(3)
 _DIGIT = t.lut("0123456789")
-_UPPER = t.lut("ABCDEFGHIJKLMNOPQRSTUVWXYZ")
+#: Code points of capitals.
+_UPPER = np.array([chr(c).istitle() for c in range(0x20000)])
 _SMALL = t.lut("abcdefghijklmnopqrstuvwxyz")
 _SMALL[128:] = True
 _STOP = t.lut(".!?\n:")
@@ -37,35 +42,50 @@ _STOP = t.lut(".!?\n:")
 
 @dataclass(frozen=True)
 class Template:
-    """found: words; value: of words as they are, lower-cased; kind: 0 or what a placeholder stands for; token: what windows hash."""
+    """found: words; value: of words as they are, lower-cased; of each form, kind: 0 or what a placeholder stands for; token: what windows hash."""
 
     found: t.Words
     value: np.ndarray
-    kind: np.ndarray
-    token: np.ndarray
+    kind: list[np.ndarray]
+    token: list[np.ndarray]
+
+
+#: Forms of a text: names are within sentences only, or may begin them.
+FORMS = (0, 1)
+
+
+def _first(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(is it a capital, its bytes) of the first character of words."""
+    a, b, c, d = (data[np.minimum(starts + i, len(data) - 1)].astype(np.int64) for i in range(4))
+    size = 1 + (a >= 0xC0) + (a >= 0xE0) + (a >= 0xF0)
+    b, c, d = b & 63, c & 63, d & 63
+    point = np.select([size == 1, size == 2, size == 3], [a, (a & 31) << 6 | b, (a & 15) << 12 | b << 6 | c], (a & 7) << 18 | b << 12 | c << 6 | d)
+    return (point < len(_UPPER)) & _UPPER[np.minimum(point, len(_UPPER) - 1)], size
 
 
 def canonical(data: np.ndarray, offs: np.ndarray) -> Template:
     low = t.LOWER[data]
     found = t.words(data, offs, t.ALNUM)
     value = t.word_values(low, found)
-    kind = np.zeros(len(value), np.uint64)
+    kind = [np.zeros(len(value), np.uint64) for _ in FORMS]
     if len(value):
         stops = np.zeros(len(data) + 1, np.int64)
         np.cumsum(_STOP[data], out=stops[1:])
         initial = np.ones(len(value), bool)
         initial[1:] = stops[found.starts[1:]] > stops[found.ends[:-1]]
         initial[found.offs[:-1][found.offs[:-1] < len(value)]] = True
-        second = np.minimum(found.starts + 1, len(data) - 1)
-        titled = _UPPER[data[found.starts]] & _SMALL[data[second]] & (found.ends - found.starts > 1)
-        kind[titled & ~initial] = _NAME
+        capital, size = _first(data, found.starts)
+        second = np.minimum(found.starts + size, len(data) - 1)
+        titled = capital & _SMALL[data[second]] & (found.ends - found.starts > size)
         number = _DIGIT[data[found.starts]]
-        kind[number] = _NUMBER
         unit = np.isin(value, _unit_values())
         unit[0] = False
         unit[1:] &= number[:-1]
-        kind[unit] = _UNIT
-    return Template(found, value, kind, np.where(kind > 0, kind, value))
+        for k, name in zip(kind, (titled & ~initial, titled), strict=True):
+            k[name] = _NAME
+            k[number] = _NUMBER
+            k[unit] = _UNIT
+    return Template(found, value, kind, [np.where(k > 0, k, value) for k in kind])
 
 
 def _unit_values() -> np.ndarray:
@@ -75,12 +95,12 @@ def _unit_values() -> np.ndarray:
 
 @dataclass(frozen=True)
 class Items:
-    """Sorted windows of benchmark items, by window size. windows[size]: (hash, item's place, word)."""
+    """Sorted windows of benchmark items, by form and window size. windows[form, size]: (hash, item's place, word)."""
 
     ids: np.ndarray
     value: list[np.ndarray]
-    kind: list[np.ndarray]
-    windows: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]
+    kind: list[list[np.ndarray]]
+    windows: dict[tuple[int, int], tuple[np.ndarray, np.ndarray, np.ndarray]]
     count: np.ndarray
 
 
@@ -95,25 +115,26 @@ def _windows(token: np.ndarray, offs: np.ndarray, size: int) -> tuple[np.ndarray
 
 def index_items(rows: list[tuple[int, str]], window: int, least: int) -> Items:
     ids, value, kind, count = [], [], [], []
-    found: dict[int, list] = {}
+    found: dict[tuple[int, int], list] = {}
     for item, text in rows:
         data = np.frombuffer((text or "").encode("utf-8"), np.uint8)
         own = canonical(data, np.array([0, len(data)]))
-        n = len(own.token)
+        n = len(own.value)
         if n < least:
             continue
         size = min(window, n)
-        hashes, at = _windows(own.token, np.array([0, n]), size)
-        found.setdefault(size, []).append((hashes, np.full(len(at), len(ids)), at))
+        for form in FORMS:
+            hashes, at = _windows(own.token[form], np.array([0, n]), size)
+            found.setdefault((form, size), []).append((hashes, np.full(len(at), len(ids)), at))
         ids.append(item)
         value.append(own.value)
         kind.append(own.kind)
         count.append(len(at))
     windows = {}
-    for size, parts in found.items():
+    for key, parts in found.items():
         h, item, at = (np.concatenate(c) for c in zip(*parts, strict=True))
         order = np.argsort(h, kind="stable")
-        windows[size] = h[order], item[order], at[order]
+        windows[key] = h[order], item[order], at[order]
     return Items(np.array(ids, np.int64), value, kind, windows, np.array(count, np.int64))
 
 
@@ -135,8 +156,8 @@ def _work(items: Items, share: float) -> Callable:
         for block in t.blocks(batches):
             own = canonical(block.data, block.offs)
             hits = []
-            for size, (hashes, item, word) in items.windows.items():
-                every, at = _windows(own.token, own.found.offs, size)
+            for (form, size), (hashes, item, word) in items.windows.items():
+                every, at = _windows(own.token[form], own.found.offs, size)
                 lo = np.searchsorted(hashes, every)
                 some = np.flatnonzero((lo < len(hashes)) & (hashes[np.minimum(lo, len(hashes) - 1)] == every))
                 if not len(some):
@@ -146,19 +167,19 @@ def _work(items: Items, share: float) -> Callable:
                 row = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
                 place = np.repeat(at, n)
                 doc = np.searchsorted(own.found.offs, place, "right") - 1
-                hits.append((doc, item[row], place - word[row], word[row], np.full(len(row), size)))
+                hits.append((doc, item[row], place - word[row], word[row], np.full(len(row), size), np.full(len(row), form)))
             told: list[list] = [[] for _ in range(len(block.ids))]
             if hits:
-                doc, item, shift, word, size = (np.concatenate(c) for c in zip(*hits, strict=True))
-                order = np.lexsort((word, shift, item, doc))
-                doc, item, shift, word, size = doc[order], item[order], shift[order], word[order], size[order]
-                begin = np.flatnonzero(t.runs(doc, item, shift))
+                doc, item, shift, word, size, form = (np.concatenate(c) for c in zip(*hits, strict=True))
+                order = np.lexsort((word, form, shift, item, doc))
+                doc, item, shift, word, size, form = doc[order], item[order], shift[order], word[order], size[order], form[order]
+                begin = np.flatnonzero(t.runs(doc, item, shift, form))
                 seen: dict[tuple[int, int], set] = {}
                 same: dict[tuple[int, int], bool] = {}
                 for a, b in zip(begin.tolist(), [*begin[1:].tolist(), len(doc)], strict=True):
                     i, d, s = int(item[a]), int(doc[a]), int(shift[a])
                     covered = np.unique(np.concatenate([np.arange(w, w + z) for w, z in zip(word[a:b].tolist(), size[a:b].tolist(), strict=True)]))
-                    kind = items.kind[i][covered]
+                    kind = items.kind[i][form[a]][covered]
                     mine, other = own.value[covered + s], items.value[i][covered]
                     slot = kind > 0
                     if not _consistent(other[slot], mine[slot], kind[slot]):

@@ -320,6 +320,22 @@ def test_decontamination(spark):
         assert set(got) == {(0, 5), (1, 5)} and got[0, 5].same_wording and not got[1, 5].same_wording
 
 
+def _contaminated(spark, item, texts):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame([(5, item)], "item_id long, text string")
+    return {r.doc_id: r for r in decontamination.contaminated(docs, bench).collect()}
+
+
+def test_decontamination_of_names_that_begin_sentences(spark):
+    item = "Alice has 5 apples. Bob gives her 3 more. Alice eats 2 of them. How many are left?"
+    moved = item.replace("Alice", "Maria").replace("Bob", "Peter")
+    got = _contaminated(spark, item, [moved, moved.replace("Maria", "Élodie").replace("Peter", "Жанна"), "Before. " + item.replace("her 3", "her\n3"), "Carol has no time. Dave gives up. Nobody eats any of that. How sad they are now!"])
+    assert set(got) == {0, 1, 2} and got[0].coverage == got[1].coverage == 1 and got[2].same_wording and not got[0].same_wording
+    item = "the old farmer Alice sold red apples to her neighbour Bob at the market near town"
+    got = _contaminated(spark, item, [item.replace(" Alice", "\nAlice"), item.replace("Alice", "Özlem").replace("Bob", "Ágnes")])
+    assert set(got) == {0, 1} and got[0].coverage == got[1].coverage == 1
+
+
 @pytest.mark.parametrize("name", sorted(queries()))
 def test_empty_tables(spark, tmp_path, name):
     for table in ("documents", "benchmark", "embeddings"):
