@@ -2,9 +2,11 @@
 
 Numbers, names and units of both sides become typed placeholders, other words their lower-cased selves. Windows of
 `window` such words are hashed; an item whose windows a document has in a row (same distance between their places) is
-aligned with it. What the placeholders stand for has to be consistent along the alignment: the same value of the item
-always meets the same value of the document and the other way around, so that a question with other numbers or names
-is caught and a chance run of placeholders isn't.
+aligned with it. Where placeholders are consistent along the alignment, that is the same value of the item always meets
+the same value of the document and the other way around, all its windows count. So they do where at least half of its
+words are no placeholders and at least half of the placeholders are a number or meet the value that their item's value
+meets most often. Of other alignments, windows with the same wording count. An alignment that makes two names one is
+another question, and none of its windows count.
 
 A capital at the start of a sentence or line may be a name's or the sentence's, so texts are read in two forms: in
 the first such words are words, in the second they are names. A window counts that is found in either form.
@@ -147,6 +149,28 @@ def _consistent(a: np.ndarray, b: np.ndarray, kind: np.ndarray) -> bool:
     return True
 
 
+def _majority(a: np.ndarray, b: np.ndarray, kind: np.ndarray) -> dict[tuple[int, int], int]:
+    """The other side's value that each placeholder's value meets most often; of equally many its own, then the first one."""
+    met: dict[tuple[int, int], dict[int, int]] = {}
+    for k, x, y in zip(kind.tolist(), a.tolist(), b.tolist(), strict=True):
+        own = met.setdefault((k, x), {})
+        own[y] = own.get(y, 0) + 1
+    return {key: max(own, key=lambda y: (own[y], y == key[1])) for key, own in met.items()}
+
+
+def _counted(a: np.ndarray, b: np.ndarray, kind: np.ndarray, name: np.ndarray) -> str:
+    """Which windows of an alignment count: all, same (those with the same wording) or none. name: is it one wherever it stands?"""
+    slot = kind > 0
+    if _consistent(a[slot], b[slot], kind[slot]):
+        return "all"
+    to = _majority(a[slot], b[slot], kind[slot])
+    names = [to[int(_NAME), x] for x in set(a[name].tolist())]
+    if len(set(names)) < len(names):
+        return "none"
+    agree = sum(k == _NUMBER or to[k, x] == y for k, x, y in zip(kind[slot].tolist(), a[slot].tolist(), b[slot].tolist(), strict=True))
+    return "all" if 2 * slot.sum() <= len(slot) and 2 * agree >= slot.sum() else "same"
+
+
 FOUND = "array<struct<item_id:long,n_windows:long,coverage:double,same_wording:boolean>>"
 _FOUND = pa.list_(pa.struct([("item_id", pa.int64()), ("n_windows", pa.int64()), ("coverage", pa.float64()), ("same_wording", pa.bool_())]))
 
@@ -181,10 +205,16 @@ def _work(items: Items, share: float) -> Callable:
                     covered = np.unique(np.concatenate([np.arange(w, w + z) for w, z in zip(word[a:b].tolist(), size[a:b].tolist(), strict=True)]))
                     kind = items.kind[i][form[a]][covered]
                     mine, other = own.value[covered + s], items.value[i][covered]
-                    slot = kind > 0
-                    if not _consistent(other[slot], mine[slot], kind[slot]):
+                    counted = _counted(other, mine, kind, items.kind[i][0][covered] == _NAME)
+                    at = word[a:b]
+                    if counted == "same":
+                        alike = np.zeros(len(items.value[i]) + 1, np.int64)
+                        alike[covered + 1] = mine == other
+                        alike = np.cumsum(alike)
+                        at = at[alike[at + size[a:b]] - alike[at] == size[a:b]]
+                    if counted == "none" or not len(at):
                         continue
-                    seen.setdefault((d, i), set()).update(word[a:b].tolist())
+                    seen.setdefault((d, i), set()).update(at.tolist())
                     same[d, i] = same.get((d, i), True) and bool((mine == other).all())
                 for (d, i), at in seen.items():
                     part = len(at) / items.count[i]

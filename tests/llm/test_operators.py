@@ -336,6 +336,22 @@ def test_decontamination_of_names_that_begin_sentences(spark):
     assert set(got) == {0, 1} and got[0].coverage == got[1].coverage == 1
 
 
+def test_decontamination_of_conflicting_slots(spark):
+    item = "so the old farmer Alice sold 3 baskets of red apples to the buyer Bob and later that day the farmer Alice gave 3 more baskets away for free at the old market"
+    one = item[::-1].replace("Alice"[::-1], "Carol"[::-1], 1)[::-1]
+    split = item.replace("3 more", "7 more").replace("sold 3", "sold 5")
+    other = "one two three four five six seven eight nine"
+    got = _contaminated(spark, item, [one, item.replace("sold 3", "sold 8"), split, item.replace("Alice", "Bob"), other])
+    assert set(got) == {0, 1, 2} and all(r.coverage == 1 and not r.same_wording for r in got.values())
+    item = "a train takes 12 hours to reach the far town and another one takes 30 minutes for the way back"
+    got = _contaminated(spark, item, [item.replace("12", "5").replace("30", "5"), "12 30 1 2 5 5 5 5 5 1 2 3"])
+    assert set(got) == {0} and got[0].coverage == 1
+    item = "we saw Anna and Boris and Clara and Anna and Boris and Clara and Anna and Boris and Clara then all of us went home by the last train at night and slept until the late morning of a cold and rainy day"
+    copy = "we saw Dora and Emil and Fritz and Gerd and Hans and Ilse and Jan and Karl and Lena then all of us went home by the last train at night and slept until the late morning of a cold and rainy day"
+    got = _contaminated(spark, item, [copy])
+    assert 0.3 <= got[0].coverage <= 1 and not got[0].same_wording
+
+
 @pytest.mark.parametrize("name", sorted(queries()))
 def test_empty_tables(spark, tmp_path, name):
     for table in ("documents", "benchmark", "embeddings"):
