@@ -65,6 +65,16 @@ def overlap_count(spark, folder):
     all_ = views.ranges(spark, folder)
     left = all_.where("contig < 5").withColumnRenamed("id", "left_id")
     right = all_.where("contig < 5 AND id % 3 = 0").withColumnRenamed("id", "right_id")
+    return _counted(left, right)
+
+
+def overlap_count_whole(spark, folder):
+    """All ranges with all ranges."""
+    all_ = views.ranges(spark, folder)
+    return _counted(all_.withColumnRenamed("id", "left_id"), all_.withColumnRenamed("id", "right_id"))
+
+
+def _counted(left: DataFrame, right: DataFrame) -> DataFrame:
     hits = regions.overlaps(left, right, 64).groupBy("left_id").agg(F.count("*").alias("n"), F.sum("shared").alias("shared"))
     return left.select("left_id").join(hits, "left_id", "left").select("left_id", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("shared", F.lit(0)).alias("shared"))
 
@@ -92,7 +102,7 @@ def sample_distance(spark, folder):
     return out
 
 
-_QUERIES = (read_filter, pileup_ad, allele_rank, strand_counts, rms_mapq, depth_stats, trio_call, loglike_total, region_merge, overlap_count, loc_codec, gt_codec, sample_distance, *derived.QUERIES)
+_QUERIES = (read_filter, pileup_ad, allele_rank, strand_counts, rms_mapq, depth_stats, trio_call, loglike_total, region_merge, overlap_count, overlap_count_whole, loc_codec, gt_codec, sample_distance, *derived.QUERIES)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -141,13 +141,18 @@ def region_semi_join(spark, folder):
     return regions.within(g.where("id % 3 = 1").select("contig", F.col("beg").alias("pos"), "id"), g.where("id % 3 = 0"), 256).select("id")
 
 
-def _annotated(mode: str):
+_MODES = ("any", "count", "fraction", "reciprocal", "point")
+
+
+def _annotated(mode: str, whole: bool = False):
     def query(spark, folder):
-        g = views.ranges(spark, folder).where("contig < 5")
-        out = regions.annotate(g, g.where("id % 3 = 0"), mode, 0.3, 256)
+        g = views.ranges(spark, folder)
+        if not whole:
+            g = g.where("contig < 5")
+        out = regions.annotate(g, g if whole else g.where("id % 3 = 0"), mode, 0.3, 256)
         return out.select("id", F.round("value", 6).alias("value"))
 
-    query.__name__ = f"bed_overlap_{mode}"
+    query.__name__ = f"bed_overlap_{mode}" + "_whole" * whole
     return query
 
 
@@ -187,7 +192,7 @@ def lineage_search(spark, folder):
     return out.select("start", "tree", F.round("score", 3).alias("score"))
 
 
-QUERIES = (pedigree_call, pedigree_call_xlinked, pedigree_loglike, genotype_ll_diploid, genotype_ll_haploid, dnm_trio_snp, dnm_trio_snp_xs, dnm_trio_indel, dnm_pair, phase_range_join, region_semi_join, *map(_annotated, ("any", "count", "fraction", "reciprocal", "point")), percent_decode, qc_and_depth, two_alleles, ten_genotypes, lineage_search)
+QUERIES = (pedigree_call, pedigree_call_xlinked, pedigree_loglike, genotype_ll_diploid, genotype_ll_haploid, dnm_trio_snp, dnm_trio_snp_xs, dnm_trio_indel, dnm_pair, phase_range_join, region_semi_join, *map(_annotated, _MODES), *(_annotated(mode, whole=True) for mode in _MODES), percent_decode, qc_and_depth, two_alleles, ten_genotypes, lineage_search)
 
 
 def oracle_sql(with_f: str, depths: str, trio: str) -> dict[str, str]:

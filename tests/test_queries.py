@@ -27,6 +27,28 @@ def test_same_as_sql(spark, con, name):
     assert rows(catalog.queries()[name](spark, FOLDER).toPandas()) == rows(con.sql(catalog.oracle_sql()[name]).df())
 
 
+def test_whole_overlaps(spark, con):
+    """Against brute force over all ranges, contigs and ids."""
+    import numpy as np
+
+    from kinfold.plans import views
+
+    g = con.sql(views.RANGES_SQL).df()
+    contig, beg, end, ids = (g[c].to_numpy() for c in ("contig", "beg", "end", "id"))
+    assert len(set(contig)) > 5
+    shared = np.minimum(end[:, None], end) - np.maximum(beg[:, None], beg)
+    hit = (contig[:, None] == contig) & (shared > 0)
+    size = (end - beg).astype(float)
+    got = {r.left_id: (r.n, r.shared) for r in catalog.queries()["overlap_count_whole"](spark, FOLDER).collect()}
+    assert got == {int(i): (int(h.sum()), int(s[h].sum())) for i, h, s in zip(ids, hit, shared)}
+    both = hit & (shared >= 0.3 * size[:, None]) & (shared >= 0.3 * size)
+    at = (contig[:, None] == contig) & (beg[:, None] >= beg) & (beg[:, None] < end)
+    part = [len({p for j in np.flatnonzero(h) for p in range(max(b, beg[j]), min(e, end[j]))}) / (e - b) for h, b, e in zip(hit, beg, end)]
+    for mode, value in {"any": hit.any(1), "count": hit.sum(1), "fraction": part, "reciprocal": both.sum(1), "point": at.any(1)}.items():
+        got = {r.id: r.value for r in catalog.queries()[f"bed_overlap_{mode}_whole"](spark, FOLDER).collect()}
+        assert got == {int(i): round(float(v), 6) for i, v in zip(ids, value)}
+
+
 def test_entry_imports():
     import __spark_entry__ as entry
 
