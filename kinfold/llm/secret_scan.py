@@ -4,6 +4,8 @@ Both models are chains over character pairs, fitted on labelled samples: random
 fixed patterns find in a bounded sample of texts, with seeded draws from the usual alphabets; ordinary
 identifiers are a fixed list and the sample's other tokens but those that the models are to judge. A long token with letters and digits is a secret where the mean
 log-likelihood ratio of its pairs is above a threshold, set so that 99 in 100 ordinary tokens with digits don't pass.
+Shorter tokens, from SHORT characters, have a higher threshold for each length, which 98 in 100 random strings pass.
+Where a token doesn't pass as a whole, its parts between / and = are judged.
 """
 
 from __future__ import annotations
@@ -28,8 +30,10 @@ KINDS = ("assign", "access", "hex", "random")
 TOKEN_CHARS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 _TOKEN = re.compile(r"[A-Za-z0-9+/_=-]+")
 _INSIDE = t.lut(TOKEN_CHARS + ".")
+_DIGIT = t.lut("0123456789")
 _HINTS = ("passw", "secret", "token", "api")
-LEAST = 20
+LEAST, SHORT = 20, 12
+_PART = re.compile(r"[^/=]+")
 
 
 def base_spans(text: str, low: str | None = None) -> list[tuple[int, int, int]]:
@@ -63,15 +67,20 @@ def _chain(tokens: Iterable[str]) -> np.ndarray:
 
 def candidate(token: str) -> bool:
     """Long, with letters and digits: what the models judge, and so no label by itself."""
-    return len(token) >= LEAST and any(c.isdigit() for c in token) and any(c.isalpha() for c in token)
+    return len(token) >= LEAST and _mixed(token)
+
+
+def _mixed(token: str) -> bool:
+    return any(c.isdigit() for c in token) and any(c.isalpha() for c in token)
 
 
 @dataclass(frozen=True)
 class Model:
-    """ratio: log-likelihood ratio of each pair; threshold: of a token's mean."""
+    """ratio: log-likelihood ratio of each pair; threshold: of a token's mean; short: of tokens of SHORT characters, SHORT + 1 and so on below LEAST."""
 
     ratio: np.ndarray
     threshold: float
+    short: tuple[float, ...] = ()
 
     def score(self, token: str) -> float:
         at = _PLACES[np.frombuffer(token.encode("latin-1"), np.uint8)]
@@ -80,10 +89,20 @@ class Model:
     def random_spans(self, text: str) -> list[tuple[int, int]]:
         out = []
         for m in _TOKEN.finditer(text):
-            if m.end() - m.start() >= LEAST and candidate(m.group()) and self.score(m.group()) > self.threshold:
+            if m.end() - m.start() < SHORT or not _mixed(m.group()):
+                continue
+            if self.random(m.group()):
                 out.append(m.span())
+            else:
+                out += [p.span() for p in _PART.finditer(text, *m.span()) if p.end() - p.start() < m.end() - m.start() and self.random(p.group())]
         return out
 
+    def random(self, token: str) -> bool:
+        n = len(token) - SHORT
+        if n < 0 or not _mixed(token):
+            return False
+        return self.score(token) > (self.short[n] if n < len(self.short) else self.threshold)
+
 
 _PLACES = np.zeros(256, np.int64)
 _PLACES[np.frombuffer(TOKEN_CHARS.encode(), np.uint8)] = np.arange(len(TOKEN_CHARS))
@@ -115,7 +134,17 @@ def fit(texts: Iterable[str], seed: int = 7, drawn: int = 600) -> Model:
     most = scores[int(0.99 * (len(scores) - 1))]  # the few above may be secrets that no pattern knows
     drawn_scores = sorted(free.score(x) for x in secret if len(x) >= LEAST)
     low = drawn_scores[len(drawn_scores) // 50] if drawn_scores else 1.0
-    return Model(ratio, max(0.2, min(most, low)))
+    threshold = max(0.2, min(most, low))
+    return Model(ratio, threshold, tuple(max(threshold, _passed(free, n, alphabets, seed)) for n in range(SHORT, LEAST)))
+
+
+def _passed(model: Model, n: int, alphabets: tuple[str, ...], seed: int, drawn: int = 300) -> float:
+    """The score that 98 in 100 random strings of n characters reach, of the alphabet that scores least."""
+    rnd, least = random.Random(seed * 1000 + n), []
+    for a in alphabets:
+        scores = sorted(model.score(x) for x in ("".join(rnd.choice(a) for _ in range(n)) for _ in range(drawn)) if _mixed(x))
+        least.append(scores[len(scores) // 50])
+    return min(least)
 
 
 def spans(text: str, model: Model, candidates: bool = True, low: str | None = None) -> list[tuple[int, int, int]]:
@@ -136,7 +165,9 @@ def _work(model: Model, redact: bool) -> Callable:
     def work(batches):
         for block in t.blocks(batches):
             found = t.words(block.data, block.offs, _INSIDE)
-            long = np.flatnonzero(found.ends - found.starts >= LEAST)
+            digits = np.concatenate([[0], np.cumsum(_DIGIT[block.data])])
+            size = found.ends - found.starts
+            long = np.flatnonzero((size >= LEAST) | ((size >= SHORT) & (digits[found.ends] > digits[found.starts])))
             has_long = np.zeros(len(block.ids), bool)
             has_long[np.searchsorted(found.offs, long, "right") - 1] = True
             data = block.data.tobytes()

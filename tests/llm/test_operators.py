@@ -280,6 +280,18 @@ def test_secrets(spark):
     assert kinds(10) == [("random", 4, 28)] and kinds(11) == []
 
 
+def test_short_secrets_and_parts(spark):
+    short = ["q7Zp0Xk29LmN", "x8Kf2mQz7Wp4Rt6B", "9f3a7c1e5b2d8064", "k3v9zq0x7m2w8jtr"]
+    plain = ["internationalization", "customer_address_line2", "section12paragraph4", "2023-Q4-report", "covid19pandemic", "2024-01-15T10"]
+    path = "https://example.com/ordinary/documents/account/settings/" + short[1] + "/ordinary/documents/overview/section"
+    docs = spark.createDataFrame(list(enumerate([f"é the {x} end" for x in short + plain] + [path])), "doc_id long, text string")
+    model = secret_scan.fit([r.text for r in spark.read.parquet(f"{FOLDER}/documents.parquet").collect()])
+    got = {r.doc_id: r for r in secret_scan.secret_scan(docs, model=model).collect()}
+    assert [got[i].redacted for i in range(len(short))] == ["é the <random> end"] * len(short)
+    assert all(not got[len(short) + i].spans for i in range(len(plain)))
+    assert got[len(short) + len(plain)].redacted == path.replace(short[1], "<random>")
+
+
 def test_secret_query(spark):
     for r in op3_secret_scan(spark, FOLDER).limit(50).collect():
         own = [s for s in r.spans.split(",") if s and not s.startswith("random")]
