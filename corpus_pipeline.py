@@ -26,9 +26,15 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents linked by a similarity of 0.8 in five-word shingles, the one with the smallest id stays."""
-    gone = near_duplicates(docs, words=5, percent=80).where("NOT kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """Of each group of documents linked by a similarity of 0.8 in five-word shingles, the one with the smallest id stays.
+
+    Where ids are null or repeated, rows go by their place in the order of ids (null ones last) and texts instead.
+    """
+    rows, key = docs, "doc_id"
+    if docs.where(F.col(key).isNull()).limit(1).count() or docs.groupBy(key).count().where("count > 1").limit(1).count():
+        rows, key = X.written(docs.orderBy(F.asc_nulls_last("doc_id"), "text").withColumn(f"{_P}row", F.monotonically_increasing_id())), f"{_P}row"
+    gone = near_duplicates(rows, words=5, percent=80, id_col=key).where("NOT kept").select(F.col("doc_id").alias(key)).distinct()
+    return rows.join(gone, key, "left_anti").select(docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -25,6 +25,16 @@ def test_stages(spark):
     assert {r.doc_id for r in corpus_pipeline.run(spark, FOLDER).collect()} == ids[-1]
 
 
+def test_near_dedup_of_repeated_and_null_ids(spark):
+    copied, clean, lone = (" ".join(f"{w}{i}" for i in range(40)) for w in ("copied", "clean", "lone"))
+    rows = [(1, copied), (7, copied + " more"), (7, clean), (8, lone), (8, lone), (None, copied), (None, "too short"), (None, "too short"), (None, None)]
+    docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, source string")
+    got = corpus_pipeline.near_dedup(spark, docs, FOLDER)
+    assert got.columns == docs.columns
+    want = [(1, copied), (7, clean), (8, lone), (None, "too short"), (None, None)]
+    assert sorted(map(repr, ((r.doc_id, r.text) for r in got.collect()))) == sorted(map(repr, want))
+
+
 @pytest.mark.parametrize("name", sorted(sql.ORACLES))
 def test_same_as_sql(spark, name):
     con = duckdb.connect()
