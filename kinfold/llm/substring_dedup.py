@@ -1,11 +1,11 @@
 """Substring dedup: long spans of words that an earlier document has are removed.
 
-A de Bruijn graph in which token k-mers of `length` words are edges. The graph is kept sparse: of its nodes,
-the `seed`-word strings, only minimizers are written down, at least one on every edge. A node that has the
-same surroundings wherever it occurs doesn't branch; the path through it is compacted to its one context,
-and occurrences beyond the first follow by their coordinates. At nodes that branch, edges are compared one
-by one. The joins run bucket by bucket over packed records, and coordinates (document, position) tell in the
-end which words long repeated spans cover.
+Not a de Bruijn graph: there are no rows of k-mer edges and nodes, and no joins that compact paths. The engine is that
+of op1 (`repeats.remove_repeats`): of the `seed`-word strings, minimizers are anchors, at least one in every `length`
+words. An anchor that has the same surroundings wherever it occurs follows by the hash of this context, occurrences
+beyond the first by their coordinates; at the others, windows of `length` words are compared by fingerprints. The joins run
+bucket by bucket over packed records, and coordinates (document, position) tell in the end which words long repeated
+spans cover. What the graph's joins would cost here was not measured; see the README.
 """
 
 from __future__ import annotations

@@ -1,14 +1,10 @@
-"""Suffix-array dedup: bytes of strings that start earlier in the corpus are removed.
+"""Exact dedup of byte strings: bytes of strings that start earlier in the corpus are removed.
 
-Prefix-free parsing. Rolling-hash triggers cut every text into phrases; here a `seed`-byte string triggers
-where its hash is the least in some `length`-byte string, so that no string of that length is without a
-trigger and phrases are bounded. Distinct phrases with what follows them (a trigger's context) are the
-dictionary, and a document's sequence of them is its parse. Suffixes that share a whole dictionary entry are
-equal over `length` bytes without looking further: the order of the parse settles them. Only suffixes of
-entries that share a trigger but differ are compared with one another, by their first `length` bytes.
-
-Equality at one length is all that removal needs, so suffixes are grouped by 96-bit fingerprints of these
-bytes and by place in the corpus, not put into lexicographic order; see the README.
+Not a suffix array: there is no dictionary, no parse and no order of suffixes. The engine is that of op8
+(`repeats.remove_repeats`): a `seed`-byte string is an anchor where its hash is the least in some `length`-byte
+string, so that no string of that length is without one. Anchors whose surroundings are the same everywhere follow by
+the hash of this context; at the others, windows of `length` bytes are compared by 96-bit fingerprints. Removal needs
+equality at one length only. What a suffix array would cost here was not measured; see the README.
 """
 
 from __future__ import annotations
