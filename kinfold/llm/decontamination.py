@@ -58,11 +58,16 @@ FORMS = (0, 1)
 
 def _first(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(is it a capital, its bytes) of the first character of words."""
-    a, b, c, d = (data[np.minimum(starts + i, len(data) - 1)].astype(np.int64) for i in range(4))
-    size = 1 + (a >= 0xC0) + (a >= 0xE0) + (a >= 0xF0)
+    lead = data[starts]
+    capital, size = _UPPER[lead], np.ones(len(starts), np.int8)
+    wide = np.flatnonzero(lead >= 0x80)
+    a, b, c, d = (data[np.minimum(starts[wide] + i, len(data) - 1)].astype(np.int64) for i in range(4))
+    n = 1 + (a >= 0xC0) + (a >= 0xE0) + (a >= 0xF0)
     b, c, d = b & 63, c & 63, d & 63
-    point = np.select([size == 1, size == 2, size == 3], [a, (a & 31) << 6 | b, (a & 15) << 12 | b << 6 | c], (a & 7) << 18 | b << 12 | c << 6 | d)
-    return (point < len(_UPPER)) & _UPPER[np.minimum(point, len(_UPPER) - 1)], size
+    point = np.select([n == 1, n == 2, n == 3], [a, (a & 31) << 6 | b, (a & 15) << 12 | b << 6 | c], (a & 7) << 18 | b << 12 | c << 6 | d)
+    capital[wide] = (point < len(_UPPER)) & _UPPER[np.minimum(point, len(_UPPER) - 1)]
+    size[wide] = n
+    return capital, size
 
 
 def canonical(data: np.ndarray, offs: np.ndarray) -> Template:

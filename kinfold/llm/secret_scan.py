@@ -165,7 +165,8 @@ def _work(model: Model, redact: bool) -> Callable:
     def work(batches):
         for block in t.blocks(batches):
             found = t.words(block.data, block.offs, _INSIDE)
-            digits = np.concatenate([[0], np.cumsum(_DIGIT[block.data])])
+            digits = np.zeros(len(block.data) + 1, np.int32)
+            np.cumsum(_DIGIT[block.data], dtype=np.int32, out=digits[1:])
             size = found.ends - found.starts
             long = np.flatnonzero((size >= LEAST) | ((size >= SHORT) & (digits[found.ends] > digits[found.starts])))
             has_long = np.zeros(len(block.ids), bool)
