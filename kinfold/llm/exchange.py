@@ -22,9 +22,17 @@ SCHEMA = "bucket int, kind int, blob binary"
 _ARROW = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("blob", pa.binary())])
 
 
-def buckets(spark: SparkSession) -> int:
-    """As many as the session shuffles into, so they follow the size that the cluster is set up for."""
-    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+#: Bytes of a table, as Spark estimates them, that one bucket gets at most.
+BUCKET_BYTES = 16 << 20
+
+
+def buckets(spark: SparkSession, docs: DataFrame | None = None) -> int:
+    """As many as the session shuffles into, or more where the table that is dealt out asks for it."""
+    least = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    if docs is None:
+        return least
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(least, size // BUCKET_BYTES) if size < 1 << 50 else least  # Spark tells a huge number where it doesn't know
 
 
 def shared(spark: SparkSession) -> None:
@@ -85,10 +93,22 @@ def table(found: Iterable[tuple[int, int, bytes]]) -> pa.Table:
     return pa.Table.from_batches(list(rows(found)), schema=_ARROW)
 
 
-def blobs(group: pa.Table, kind: int) -> list:
-    """What a bucket holds of a kind."""
+def each(group: pa.Table, kind: int) -> Iterator:
+    """What a bucket holds of a kind, one blob after another."""
     kinds = group.column("kind").to_pylist()
-    return [unpack(b.as_py()) for k, b in zip(kinds, group.column("blob"), strict=True) if k == kind]
+    return (unpack(b.as_py()) for k, b in zip(kinds, group.column("blob"), strict=True) if k == kind)
+
+
+def blobs(group: pa.Table, kind: int) -> list:
+    return list(each(group, kind))
+
+
+def passed(group: pa.Table, *kinds: int) -> list[tuple[int, int, bytes]]:
+    """Rows that go on as they are."""
+    if not group.num_rows:
+        return []
+    all_ = zip(group.column("bucket").to_pylist(), group.column("kind").to_pylist(), group.column("blob"), strict=True)
+    return [(b, k, x.as_py()) for b, k, x in all_ if k in kinds]
 
 
 def columns(parts: list[tuple], types: list) -> list[np.ndarray]:

@@ -13,6 +13,7 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
@@ -195,11 +196,21 @@ def words(data: np.ndarray, offs: np.ndarray, inside: np.ndarray = SPACED) -> Wo
 
 
 def word_values(data: np.ndarray, found: Words, salt: int = 0) -> np.ndarray:
-    """A 64-bit fingerprint of each word."""
-    if not len(found.starts):
+    """A 64-bit fingerprint of each word: of up to 8 bytes one to one with them, given the length; of more, xxh3."""
+    starts, size = found.starts, found.ends - found.starts
+    if not len(starts):
         return np.zeros(0, np.uint64)
-    out = Rolling(byte_values(salt)[data]).of(found.starts, found.ends)
-    return mix(out + (found.ends - found.starts).astype(np.uint64))
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    eight = np.lib.stride_tricks.as_strided(padded.view(np.uint8)[:8].view(np.uint64), (len(data) + 1,), (1,))[starts]
+    unused = np.uint64(8) * (np.uint64(8) - np.minimum(size, 8).astype(np.uint64))
+    eight = (eight << unused) >> unused
+    out = mix(mix(eight + np.uint64(_SEED + 977 * salt)) + size.astype(np.uint64) * np.uint64(_BASE))
+    long = np.flatnonzero(size > 8)
+    if len(long):
+        view, digest = data.tobytes(), xxhash.xxh3_64_intdigest
+        out[long] = np.fromiter((digest(view[a:b], salt) for a, b in zip(starts[long].tolist(), found.ends[long].tolist(), strict=True)), np.uint64, len(long))
+    return out
 
 
 def sliding(x: np.ndarray, w: int, least: bool) -> np.ndarray:
