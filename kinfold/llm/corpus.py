@@ -34,10 +34,10 @@ def keys(block: t.Block) -> np.ndarray:
     return np.where(block.id_null, LAST_ID, block.ids)
 
 
-def tags(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
-    """A fingerprint of each text."""
+def tags(data: np.ndarray, offs: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """A fingerprint of each id and text."""
     view = memoryview(np.ascontiguousarray(data))
-    return np.frombuffer(b"".join(blake2b(view[a:b], digest_size=8).digest() for a, b in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)), np.uint64)
+    return np.frombuffer(b"".join(blake2b(view[a:b], digest_size=8).digest() for a, b in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)), np.uint64) ^ t.mix(ids.astype(np.int64).view(np.uint64))
 
 
 def of_id(ids: np.ndarray, n: int) -> np.ndarray:
@@ -62,7 +62,8 @@ def text_rows(n: int, limit: int = 16 << 20) -> Callable:
         def found():
             nonlocal held, size
             for block in t.blocks(batches):
-                held.append((keys(block), block.id_null, tags(block.data, block.offs), np.diff(block.offs), block.data.copy()))
+                ids = keys(block)
+                held.append((ids, block.id_null, tags(block.data, block.offs, ids), np.diff(block.offs), block.data.copy()))
                 size += len(block.data)
                 if size >= limit:
                     yield from flush()

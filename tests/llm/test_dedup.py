@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from kinfold.llm import corpus, license_scan, minhash_dedup, substring_dedup
+from kinfold.llm import corpus, license_scan, minhash_dedup, substring_dedup, suffix_dedup
 from kinfold.llm import text as t
 
 
@@ -88,3 +88,53 @@ def test_removed_runs():
     gone = np.array([0, 1, 1, 1, 0, 0, 1, 1], bool)
     got = corpus.removed(docs, gone, docs.offs, False).to_pylist()
     assert [(r["n_removed"], [(s["start"], s["end"]) for s in r["spans"]], r["kept"]) for r in got] == [(2, [(1, 3)], b"a"), (0, [], b""), (3, [(0, 1), (3, 5)], b"ef")]
+
+
+def brute_bytes(rows, length=100):
+    seen, out = set(), {}
+    for i, x in sorted(rows, key=lambda r: r[0]):
+        b = (x or "").encode()
+        gone = bytearray(len(b))
+        for s in range(len(b) - length + 1):
+            if b[s : s + length] in seen:
+                gone[s : s + length] = b"\1" * length
+            seen.add(b[s : s + length])
+        out[i] = len(b), sum(gone), len(bytes(gone).replace(b"\0", b" ").split()), bytes(c for c, g in zip(b, gone, strict=True) if not g)
+    return out
+
+
+def lines(seed=2, n=120):
+    """Texts with lines of 80 to 130 bytes that many of them have, within all kinds of surroundings, and with repeats of themselves."""
+    rnd = random.Random(seed)
+    word = lambda: "".join(rnd.choice("abcdefgh ") for _ in range(rnd.randrange(20, 90)))
+    common = ["".join(rnd.choice("pqrstu ") for _ in range(k)) for k in (66, 80, 99, 100, 101, 110, 130, 300)]
+    rows = []
+    for i in range(n):
+        parts = [word() for _ in range(rnd.randrange(1, 5))]
+        for _ in range(rnd.randrange(4)):
+            parts.insert(rnd.randrange(len(parts) + 1), rnd.choice(common))
+        if rows and rnd.random() < 0.3:
+            other = rnd.choice(rows)[1]
+            a = rnd.randrange(len(other))
+            parts.append(other[a : a + rnd.randrange(60, 400)])
+        rows.append((i * 2 + 1, "".join(parts)))
+    return rows + [(10_001, "ab" * 400), (10_002, "é" * 150), (10_003, "ab" * 60 + "x" * 130), (10_004, None), (10_005, "x" * 99)]
+
+
+@pytest.mark.parametrize("rule", [suffix_dedup.Rule(), suffix_dedup.Rule(period=3, chunk=50, rows=20), suffix_dedup.Rule(period=1 << 40), suffix_dedup.Rule(40, 8, 16)])
+def test_suffix_dedup_of_common_lines(spark, rule):
+    rows = lines()
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = brute_bytes(rows, rule.length)
+    assert sum(w[1] > 0 for w in want.values()) > 40
+    got = suffix_dedup.suffix_dedup(docs, rule=rule).collect()
+    assert {r.doc_id: (r.n_symbols, r.n_removed, len(r.spans), bytes(r.kept)) for r in got} == want
+
+
+def test_suffix_order():
+    rnd = np.random.default_rng(1)
+    rows = rnd.integers(0, 3, (200, 13)).astype(np.uint8)
+    order, shared = suffix_dedup._ranked(rows)
+    own = [rows[i].tobytes() for i in order]
+    assert own == sorted(own)
+    assert all(s == next((k for k, (x, y) in enumerate(zip(a, b, strict=True)) if x != y), 13) for a, b, s in zip(own[:-1], own[1:], shared[1:].tolist(), strict=True))
