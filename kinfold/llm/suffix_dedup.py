@@ -9,7 +9,7 @@ of the strings, in which equal ones are neighbours and all but the first of them
 strings with the same first trigger are in the same part.
 
 1. `_phrase_rows`: what a string can reach on both sides of its trigger is the trigger's context (phrase and parse, cut
-   at `length`). Contexts with the same 128-bit cryptographic digest are one entry; `_meet` finds the first of each. All
+   at `length`). Contexts with the same cryptographic digest (of 96 bits) are one entry; `_meet` finds the first of each. All
    strings of the others' are repeats. A trigger with one entry only has nothing left to compare.
 2. `_local`: entries of triggers with several are read from the documents. Each task sorts its own dictionary of phrases
    and its own parse into suffix arrays, drops the strings that aren't the first of their kind, and sends the rest on:
@@ -39,6 +39,8 @@ from . import exchange as X
 from . import text as t
 
 _ENTRY, _BRANCH, _NOTE, _SUFFIX, _MIXED, _STRING = range(6)
+#: Strings that a note is about at most.
+_MOST = 255
 
 
 @dataclass(frozen=True)
@@ -63,12 +65,12 @@ class Rule:
 
 
 class Entries(NamedTuple):
-    """Triggers and their contexts. start, count: of the strings with this trigger; back: from the first start to the trigger."""
+    """Triggers and digests of their contexts. start, count: of the strings with this trigger; back: from the first start to the trigger."""
 
+    start: np.ndarray
     trigger: np.ndarray
     one: np.ndarray
     two: np.ndarray
-    start: np.ndarray
     count: np.ndarray
     back: np.ndarray
     ids: np.ndarray
@@ -141,16 +143,16 @@ def _notes(n: int, ids, tags, start, count, back, compare: int) -> Iterator[tupl
         yield b, _NOTE, X.pack(own)
 
 
-def _dealt(kind: int, bucket: np.ndarray, *cols: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
-    """cols: the last two are ids and tags, which are packed once a document."""
-    for b, own in X.split(bucket, *cols):
-        *own, ids, tags = own
+def _dealt(kind: int, bucket: np.ndarray, start: np.ndarray, *cols: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
+    """cols: the last two are ids and tags, which are packed once a document; starts are packed as differences."""
+    for b, own in X.split(bucket, start, *cols):
+        start, *own, ids, tags = own
         _, at, back = np.unique(tags, return_index=True, return_inverse=True)
-        yield b, kind, X.pack((*own, ids[at], tags[at], back.astype(np.uint16 if len(at) < 1 << 16 else np.uint32)))
+        yield b, kind, X.pack((np.diff(start, prepend=0).astype(np.int32), *own, ids[at], tags[at], back.astype(np.uint16 if len(at) < 1 << 16 else np.uint32)))
 
 
 def _collected(group: pa.Table, kind: int) -> list[np.ndarray] | None:
-    parts = [(*own, ids[back], tags[back]) for *own, ids, tags, back in X.each(group, kind)]
+    parts = [(np.cumsum(start.astype(np.int64)), *own, ids[back], tags[back]) for start, *own, ids, tags, back in X.each(group, kind)]
     return [np.concatenate(c) for c in zip(*parts, strict=True)] if parts else None
 
 
@@ -162,7 +164,7 @@ def _told(n: int, e: Entries, branches: np.ndarray, known: bool) -> Iterator[tup
     """What is known of entries. known: are these all entries of their triggers?"""
     sole, compare, late, mixed = _same(e.trigger, e.one, e.two, e.ids, e.tags, e.start, branches)
     if not known:
-        own = e.pick(sole)
+        own = e.pick(np.sort(sole))
         yield from _dealt(_ENTRY, _of_hash(own.trigger, n), *own)
         for b, (cols,) in X.split(_of_hash(mixed, n), mixed):
             yield b, _BRANCH, X.pack(cols)
@@ -193,7 +195,7 @@ def _phrase_rows(rule: Rule, n: int) -> Callable:
                 one = one ^ t.mix(((at - first) * 1024 + (end - at)).astype(np.uint64))
                 ids = C.keys(block)
                 tags = C.tags(block.data, block.offs, ids)
-                held.append(Entries(trigger, one, (two >> np.uint64(32)).astype(np.uint32), (first - block.offs[text]).astype(np.int32), count.astype(np.uint8), (at - first).astype(np.uint8), ids[text], tags[text]))
+                held.append(Entries(first - block.offs[text], trigger, one, (two >> np.uint64(32)).astype(np.uint32), count.astype(np.uint8), (at - first).astype(np.uint8), ids[text], tags[text]))
                 size += len(at)
                 if size >= rule.chunk:
                     yield from flush()
@@ -286,9 +288,22 @@ def _by_key(s: Strings, rule: Rule) -> Iterator[Strings]:
 
 def _gone(n: int, s: Strings, late: np.ndarray, base: int) -> Iterator[tuple[int, int, bytes]]:
     row, j = np.nonzero(late)
-    if len(row):
-        one = np.ones(len(row), np.uint8)
-        yield from _notes(n, s.ids[row], s.tags[row], s.at[row] - base - j, one, one, 0)
+    yield from _gone_at(n, s.ids[row], s.tags[row], s.at[row] - base - j)
+
+
+def _gone_at(n: int, ids: np.ndarray, tags: np.ndarray, start: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
+    """Notes of repeats, of which those with consecutive starts are one."""
+    if not len(ids):
+        return
+    order = np.lexsort((start, tags))
+    ids, tags, start = ids[order], tags[order], start[order].astype(np.int64)
+    new = t.runs(tags)
+    new[1:] |= start[1:] > start[:-1] + 1
+    at = np.flatnonzero(new)
+    last = np.append(at[1:], len(start)) - 1
+    which, part = C.pick(np.zeros(len(at), np.int64), (start[last] - start[at]) // _MOST + 1)
+    first = start[at][which] + part * _MOST
+    yield from _notes(n, ids[at][which], tags[at][which], first, np.minimum(start[last][which] - first + 1, _MOST), np.zeros(len(which), np.uint8), 0)
 
 
 def _singly(n: int, s: Strings, open_: np.ndarray, rule: Rule, base: int) -> Iterator[tuple[int, int, bytes]]:
@@ -300,7 +315,9 @@ def _singly(n: int, s: Strings, open_: np.ndarray, rule: Rule, base: int) -> Ite
     wide, far = s.left.shape[1], s.right.shape[1]
     digests = b"".join([blake2b(left[(i + 1) * wide - k : (i + 1) * wide] + right[i * far : i * far + rule.length - k], digest_size=16).digest() for i, k in zip(row.tolist(), (j + base).tolist(), strict=True)])
     one, two = np.frombuffer(digests, np.uint64).reshape(-1, 2).T
-    yield from _dealt(_STRING, _of_hash(one, n), one, two, (s.at[row] - base - j).astype(np.int32), s.ids[row], s.tags[row])
+    start, ids, tags = s.at[row] - base - j, s.ids[row], s.tags[row]
+    order = np.lexsort((start, tags))
+    yield from _dealt(_STRING, _of_hash(one, n)[order], *(c[order] for c in (start, one, (two >> np.uint64(32)).astype(np.uint32), ids, tags)))
 
 
 def _sides(rule: Rule) -> tuple[tuple[int, int, int, int], ...]:
@@ -363,7 +380,7 @@ def _local(rule: Rule, n: int) -> Callable:
                 sizes = np.diff(np.append(np.flatnonzero(t.runs(s.key)), len(rows)))
                 sole = np.repeat(sizes == 1, sizes)
                 own, bits = s.pick(sole), np.packbits(left[sole], axis=1)
-                out += _dealt(_SUFFIX + 10 * (base > 0), _of_hash(own.key, n), own.key, own.left, own.right, bits, own.at.astype(np.int32), own.ids, own.tags)
+                out += _dealt(_SUFFIX + 10 * (base > 0), _of_hash(own.key, n), own.at, own.key, own.left, own.right, bits, own.ids, own.tags)
                 mixed = np.unique(s.key[~sole])
                 out += [(b, _MIXED, X.pack(cols)) for b, (cols,) in X.split(_of_hash(mixed, n), mixed)]
                 out += _singly(n, s.pick(~sole), left[~sole], rule, base)
@@ -374,14 +391,14 @@ def _local(rule: Rule, n: int) -> Callable:
 
 def _combine(rule: Rule, n: int) -> Callable:
     def work(group: pa.Table) -> pa.Table:
-        out = X.passed(group, _NOTE, _STRING)
+        out = X.passed(group, _NOTE)
         mixed = np.unique(np.concatenate([np.zeros(0, np.uint64), *X.each(group, _MIXED)]))
         for base, wide, _, _ in _sides(rule):
             found = _collected(group, _SUFFIX + 10 * (base > 0))
             if not found:
                 continue
-            key, left, right, bits, at, ids, tags = found
-            for s in _by_key(Strings(key, left, right, np.unpackbits(bits, axis=1, count=wide).astype(bool), at.astype(np.int64), ids, tags), rule):
+            at, key, left, right, bits, ids, tags = found
+            for s in _by_key(Strings(key, left, right, np.unpackbits(bits, axis=1, count=wide).astype(bool), at, ids, tags), rule):
                 some = np.isin(s.key, mixed)
                 if some.any():
                     own = s.pick(some)
@@ -396,14 +413,13 @@ def _combine(rule: Rule, n: int) -> Callable:
 def _settle(n: int) -> Callable:
     """Of single strings with the same digest, all but the first are repeats."""
 
-    def work(group: pa.Table) -> pa.Table:
-        out = X.passed(group, _NOTE)
-        if found := _collected(group, _STRING):
-            one, two, at, ids, tags = found
+    def work(local: pa.Table, combined: pa.Table) -> pa.Table:
+        out = X.passed(combined, _NOTE)
+        if found := _collected(pa.concat_tables([local, combined]), _STRING):
+            at, one, two, ids, tags = found
             order = np.lexsort((at, tags, ids, two, one))
             late = order[~_leads(t.runs(one[order], two[order]), ids[order], tags[order], at[order])]
-            same = np.ones(len(late), np.uint8)
-            out += _notes(n, ids[late], tags[late], at[late], same, same, 0)
+            out += _gone_at(n, ids[late], tags[late], at[late])
         return X.table(out)
 
     return work
@@ -442,7 +458,6 @@ def suffix_dedup(docs: DataFrame, length: int = 100, seed: int = 32, rule: Rule
     n = X.buckets(docs.sparkSession, docs)
     texts = docs.mapInArrow(C.text_rows(n), X.SCHEMA)
     found = X.by_bucket(docs.mapInArrow(_phrase_rows(rule, n), X.SCHEMA), _meet(n))
-    found = X.with_bucket(texts, found, _local(rule, n))
-    found = X.by_bucket(found, _combine(rule, n))
-    found = X.by_bucket(found, _settle(n))
+    local = X.with_bucket(texts, found, _local(rule, n))
+    found = X.with_bucket(local, X.by_bucket(local, _combine(rule, n)), _settle(n))
     return X.with_bucket(texts, found, _finish(rule), C.OUT)
