@@ -89,14 +89,30 @@ def rows(found: Iterable[tuple[int, int, bytes]], per_batch: int = 64) -> Iterat
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), _ARROW.types, strict=True)], schema=_ARROW)
 
 
+#: The kind of a row that holds several: all that a task has for a bucket.
+MANY = -1
+
+
 def table(found: Iterable[tuple[int, int, bytes]]) -> pa.Table:
-    return pa.Table.from_batches(list(rows(found)), schema=_ARROW)
+    """One row a bucket, so that rows grow with tasks times buckets, whatever kinds there are."""
+    own: dict[int, list] = {}
+    for bucket, kind, blob in found:
+        own.setdefault(bucket, []).append((kind, blob))
+    return pa.Table.from_batches(list(rows((b, MANY, pickle.dumps(x, protocol=5)) for b, x in own.items())), schema=_ARROW)
+
+
+def _unpacked(group: pa.Table) -> Iterator[tuple[int, int, bytes]]:
+    for bucket, kind, blob in zip(group.column("bucket").to_pylist(), group.column("kind").to_pylist(), group.column("blob"), strict=True):
+        if kind == MANY:
+            for k, b in pickle.loads(blob.as_buffer()):
+                yield bucket, k, b
+        else:
+            yield bucket, kind, blob.as_buffer()
 
 
 def each(group: pa.Table, kind: int) -> Iterator:
     """What a bucket holds of a kind, one blob after another."""
-    kinds = group.column("kind").to_pylist()
-    return (unpack(b.as_py()) for k, b in zip(kinds, group.column("blob"), strict=True) if k == kind)
+    return (unpack(b) for _, k, b in _unpacked(group) if k == kind)
 
 
 def blobs(group: pa.Table, kind: int) -> list:
@@ -105,10 +121,7 @@ def blobs(group: pa.Table, kind: int) -> list:
 
 def passed(group: pa.Table, *kinds: int) -> list[tuple[int, int, bytes]]:
     """Rows that go on as they are."""
-    if not group.num_rows:
-        return []
-    all_ = zip(group.column("bucket").to_pylist(), group.column("kind").to_pylist(), group.column("blob"), strict=True)
-    return [(b, k, x.as_py()) for b, k, x in all_ if k in kinds]
+    return [(b, k, bytes(x)) for b, k, x in _unpacked(group) if k in kinds]
 
 
 def columns(parts: list[tuple], types: list) -> list[np.ndarray]:

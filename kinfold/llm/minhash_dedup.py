@@ -175,7 +175,7 @@ def _meet(n: int) -> Callable:
     """A bucket's keys to pairs with each key's least id; pairs pass, once each."""
 
     def work(group: pa.Table) -> pa.Table:
-        out = [(b, k, x) for b, k, x in zip(*(group.column(c).to_pylist() for c in ("bucket", "kind", "blob")), strict=True) if k == _PAIR]
+        out = X.passed(group, _PAIR)
         keys = X.blobs(group, _KEY)
         if keys:
             _, own, hub = _hubs(*(np.concatenate(c) for c in zip(*keys, strict=True)))
@@ -241,7 +241,7 @@ def _send(rule: Rule, n: int) -> Callable:
     """Texts and needs in; the sets go where they are needed, pairs pass."""
 
     def work(texts: pa.Table, noted: pa.Table) -> pa.Table:
-        out = [(b, k, x) for b, k, x in zip(*(noted.column(c).to_pylist() for c in ("bucket", "kind", "blob")), strict=True) if k == _PAIR]
+        out = X.passed(noted, _PAIR)
         ids, to = X.columns(X.blobs(noted, _NEED), [np.int64, np.int32])
         if not len(ids):
             return X.table(out)
@@ -306,9 +306,8 @@ def _confirmed(docs: DataFrame, pairs: DataFrame, rule: Rule, n: int) -> DataFra
 
 def _pair_ids(batches):
     for batch in batches:
-        for blob in batch.column("blob"):
-            ids = np.unique(np.concatenate(X.unpack(blob.as_py())))
-            yield pa.RecordBatch.from_arrays([pa.array(ids)], names=["doc_id"])
+        for pairs in X.each(pa.Table.from_batches([batch]), _PAIR):
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(pairs)))], names=["doc_id"])
 
 
 def _parts(batch: pa.RecordBatch, rule: Rule) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -252,10 +252,10 @@ def _single(rule: Rule, n: int) -> Callable:
 
     def work(texts: pa.Table, noted: pa.Table) -> pa.Table:
         out = X.passed(noted, _ONE)
-        paths = [p for blob in X.each(noted, _PATH) for p in blob]
-        if not paths:
+        mine = X.passed(noted, _PATH)
+        if not mine:
             return X.table(out)
-        bucket = next(b for b, k in zip(noted.column("bucket").to_pylist(), noted.column("kind").to_pylist(), strict=True) if k == _PATH)
+        bucket, paths = mine[0][0], [p for _, _, blob in mine for p in X.unpack(blob)]
         no = {x for blob in X.each(noted, _NO) for x in blob}
         out.append((bucket, _GONE, X.pack([p[2:] for p in paths if p[0] not in no and p[1] < p[2]])))
         if no:
