@@ -1,11 +1,17 @@
 """BPE encoding and decoding of whole texts, equal to the tokenizers library's.
 
-A vocabulary file's normaliser, split pattern and merges are read from the file. Texts are split as the library
-splits them; each distinct piece is encoded once and remembered. Long unsplit pieces are encoded by tree
-concatenation: halves of halves are encoded on their own, then a growing window around each join is encoded
-again until the token pairs at both of its edges are their own encoding. A sequence of which every two
-neighbours are their own encoding is the encoding of the whole (merges are deterministic: the lowest rank, the
-leftmost of equals, so a pair that is stable alone is stable in any sequence of such pairs).
+A vocabulary file's normaliser, split pattern and merges are read from the file.
+
+Tree concatenation: a text longer than a leaf is cut into halves of halves, wherever that is; leaves are encoded on their
+own, those of texts longer than `spread` in tasks of their own. Then, from the leaves up, a window around each join
+grows until it begins and ends behind a character at which pieces always end, and until what both sides have there agrees with what the
+window's halves give; the window is encoded again as one and takes the place of both.
+
+A piece that the split pattern doesn't part is encoded in the same way, with its bytes as symbols: halves of halves on their
+own, then a growing window around each join until the token pairs at both of its edges are their own encoding. A sequence of
+which every two neighbours are their own encoding is the encoding of the whole (merges are deterministic: the lowest
+rank, the leftmost of equals, so a pair that is stable alone is stable in any sequence of such pairs). Pieces of one leaf
+of symbols or less are encoded by the library, each distinct one once, and remembered.
 """
 
 from __future__ import annotations
@@ -20,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from . import text as t
 
@@ -106,10 +113,14 @@ def _byte_chars() -> list[str]:
     return out
 
 
+#: A piece ends behind each of these, whatever stands around it: pieces have no white space, and digits are pieces of their own.
+_ENDS = re.compile("[ \n\t\r0-9]")
+
+
 class Encoder:
-    """piece_limit: bytes from which a piece is encoded by tree concatenation. remembered: pieces kept at once."""
+    """leaf: characters of a text that is encoded at once; symbols: of a piece that is. remembered: pieces kept at once."""
 
-    def __init__(self, path: str, piece_limit: int = 96, remembered: int = 250_000):
+    def __init__(self, path: str, leaf: int = 4096, symbols: int = 32, remembered: int = 250_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -132,22 +143,22 @@ class Encoder:
         self.split = regex.compile(pattern.replace("[^\\s", f"[^{re.escape(white)}"), regex.V0).findall
         self.fast = re.compile(_latin(pattern, white)).findall
         self.at_special = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
-        self.piece_limit, self.remembered = piece_limit, remembered
-        self.known: dict[str, tuple[bytes, str]] = {}
+        self.leaf, self.symbols, self.remembered = leaf, symbols, remembered
+        self.known: dict[str, bytes] = {}
 
     def pieces(self, text: str) -> list[str]:
         if _PLAIN.search(text) is None:
             return self.fast(text.lower())
         return self.split(self.library.normalizer.normalize_str(text))
 
-    def _entry(self, tokens: list[str]) -> tuple[bytes, str]:
-        return np.array([self.ids[x] for x in tokens], "<u4").tobytes(), " ".join(tokens)
+    def _entry(self, tokens: list[str]) -> bytes:
+        return np.array([self.ids[x] for x in tokens], "<u4").tobytes()
 
     def learn(self, pieces: set[str]) -> None:
         short = []
         for p in pieces:
-            if len(p) * 4 > self.piece_limit and len(p.encode("utf-8")) > self.piece_limit:
-                self.known[p] = self._entry(self.merges.tree(self.merges.symbols(p)))
+            if len(p) * 4 > self.symbols and len(p.encode("utf-8")) > self.symbols:
+                self.known[p] = self._entry(self.merges.tree(self.merges.symbols(p), self.symbols))
             else:
                 short.append(p)
         if self.suffix:  # one text of all pieces; a token with the suffix ends each
@@ -161,36 +172,61 @@ class Encoder:
         ends = np.flatnonzero(self.ends[ids]) + 1
         if len(ends) != len(short):
             return self._learn_each(short)
-        names, cuts, listed, data = self.names, [0, *ends.tolist()], ids.tolist(), ids.tobytes()
-        for p, a, b in zip(short, cuts[:-1], cuts[1:], strict=True):
-            self.known[p] = data[4 * a : 4 * b], names[listed[a]] if b == a + 1 else " ".join([names[i] for i in listed[a:b]])
+        data, cuts = ids.tobytes(), [0, *(4 * ends).tolist()]
+        self.known.update(zip(short, [data[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)], strict=True))
 
     def _learn_each(self, short: list[str]) -> None:
-        names = self.names
         for p, e in zip(short, self.library.encode_batch_fast(short, add_special_tokens=False), strict=True):
-            ids = e.ids
-            self.known[p] = np.array(ids, "<u4").tobytes(), " ".join([names[i] for i in ids])
+            self.known[p] = np.array(e.ids, "<u4").tobytes()
 
     def encode(self, text: str) -> tuple[bytes, str]:
-        """(ids as little-endian unsigned 32-bit integers, decoded text)."""
-        if self.at_special is not None and "<|" in text and self.at_special.search(text):
-            ids, said = [], []
-            for i, part in enumerate(self.at_special.split(text)):
-                if i % 2:
-                    ids.append(np.array([self.ids[part]], "<u4").tobytes())
-                    said.append(part)
+        """(ids as little-endian unsigned 32-bit integers, what they decode to)."""
+        ids = self.ids_of(text)
+        return ids, self.decode(ids)
+
+    def ids_of(self, text: str) -> bytes:
+        if len(text) <= self.leaf:
+            return self._leaf(text)
+        cuts = [*range(0, len(text), self.leaf), len(text)]
+        return self.joined(text, cuts, [self._leaf(text[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)])
+
+    def joined(self, text: str, cuts: list[int], parts: list[bytes]) -> bytes:
+        """The encoding of a text from those of its parts."""
+        while len(parts) > 1:
+            level, ends = [], [cuts[0]]
+            for i in range(0, len(parts), 2):
+                if i + 1 < len(parts):
+                    level.append(self._join(text, cuts[i], cuts[i + 1], cuts[i + 2], parts[i], parts[i + 1]))
+                    ends.append(cuts[i + 2])
                 else:
-                    own, words = self._section(part)
-                    ids.append(own)
-                    if own:
-                        said.append(words)
-            return b"".join(ids), " ".join(said)
+                    level.append(parts[i])
+                    ends.append(cuts[i + 1])
+            parts, cuts = level, ends
+        return parts[0] if parts else b""
+
+    def _join(self, text: str, begin: int, at: int, end: int, left: bytes, right: bytes) -> bytes:
+        size = 32
+        while True:
+            lo, hi = max(begin, at - size), min(end, at + size)
+            before = [m.end() for m in _ENDS.finditer(text, lo, at)]
+            after = _ENDS.search(text, at, hi)
+            a = before[-1] if before else begin if lo == begin else None
+            b = after.end() if after else end if hi == end else None
+            if a is not None and b is not None:
+                own, other = self._leaf(text[a:at]), self._leaf(text[at:b])
+                if left.endswith(own) and right.startswith(other):
+                    return left[: len(left) - len(own)] + self._leaf(text[a:b]) + right[len(other) :]
+            if lo == begin and hi == end:
+                return self._leaf(text[begin:end])
+            size *= 2
+
+    def _leaf(self, text: str) -> bytes:
+        if self.at_special is not None and "<|" in text and self.at_special.search(text):
+            return b"".join([np.array([self.ids[part]], "<u4").tobytes() if i % 2 else self._section(part) for i, part in enumerate(self.at_special.split(text))])
         return self._section(text)
 
-    def _section(self, text: str) -> tuple[bytes, str]:
+    def _section(self, text: str) -> bytes:
         pieces = self.pieces(text)
-        if not pieces:
-            return b"", ""
         known = self.known
         new = {p for p in pieces if p not in known}
         if new:
@@ -198,11 +234,11 @@ class Encoder:
                 known.clear()
                 new = set(pieces)
             self.learn(new)
-        found = [known[p] for p in pieces]
-        return b"".join([f[0] for f in found]), " ".join([f[1] for f in found])
+        return b"".join([known[p] for p in pieces])
 
     def decode(self, ids: bytes) -> str:
-        return " ".join([self.names[i] for i in np.frombuffer(ids, "<u4").tolist()])
+        names = self.names
+        return " ".join([names[i] for i in np.frombuffer(ids, "<u4").tolist()])
 
 
 def _latin(pattern: str, white: str) -> str:
@@ -220,36 +256,74 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def _work(path: str, wanted: tuple[str, ...]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _work(path: str, wanted: tuple[str, ...], leaf: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def work(batches):
-        encoder = Encoder(path)
+        encoder = Encoder(path, leaf)
         for block in t.blocks(batches):
-            ids, said, n = [], [], []
             data = block.data.tobytes()
-            for a, b in zip(block.offs[:-1].tolist(), block.offs[1:].tolist(), strict=True):
-                own, words = encoder.encode(data[a:b].decode("utf-8", "replace"))
-                n.append(len(own) // 4)
-                if len(wanted) > 2:
-                    ids.append(own)
-                    said.append(words)
-            columns = {"doc_id": pa.array(block.ids, mask=block.id_null), "n_tokens": pa.array(n, pa.int64())}
+            ids = [encoder.ids_of(data[a:b].decode("utf-8", "replace")) for a, b in zip(block.offs[:-1].tolist(), block.offs[1:].tolist(), strict=True)]
+            columns = {"doc_id": pa.array(block.ids, mask=block.id_null), "n_tokens": pa.array([len(x) // 4 for x in ids], pa.int64())}
             if len(wanted) > 2:
-                columns |= {"ids": pa.array(ids, pa.binary()), "decoded": pa.array(said, pa.string())}
+                columns |= {"ids": pa.array(ids, pa.binary()), "decoded": pa.array([encoder.decode(x) for x in ids], pa.string())}
             yield pa.RecordBatch.from_arrays([columns[c] for c in wanted], names=list(wanted))
 
     return work
 
 
-def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Encodes and decodes; one row a row of docs: doc_id, n_tokens, ids (binary, little-endian unsigned 32-bit), decoded.
+def _part_work(path: str, leaf: int) -> Callable:
+    def work(batches):
+        encoder = Encoder(path, leaf)
+        for batch in batches:
+            ids = [encoder.ids_of(x) for x in batch.column("part").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.binary())], names=["key", "place", "part", "ids"])
+
+    return work
+
+
+def _join_work(path: str, wanted: tuple[str, ...], leaf: int) -> Callable:
+    def work(group: pa.Table) -> pa.Table:
+        group = group.sort_by("place")
+        parts = group.column("part").to_pylist()
+        cuts = [0, *np.cumsum([len(p) for p in parts]).tolist()]
+        encoder = Encoder(path, leaf)
+        ids = encoder.joined("".join(parts), cuts, group.column("ids").to_pylist())
+        columns = {"key": group.column("key")[:1], "n_tokens": pa.array([len(ids) // 4], pa.int64())}
+        if len(wanted) > 2:
+            columns |= {"ids": pa.array([ids], pa.binary()), "decoded": pa.array([encoder.decode(ids)], pa.string())}
+        return pa.table(columns)
+
+    return work
+
+
+_TYPES = {"doc_id": "long", "n_tokens": "long", "ids": "binary", "decoded": "string"}
+
+
+def _encoded(docs: DataFrame, path: str, wanted: tuple[str, ...], spread: int, leaf: int) -> DataFrame:
+    """Texts up to `spread` characters where they are; the parts of longer ones are rows, each distinct text once."""
+    schema = lambda *first: ", ".join([*first, *(f"{c} {_TYPES[c]}" for c in wanted[1:])])
+    long = F.coalesce(F.octet_length("text"), F.lit(0)) > spread
+    short = docs.where(~long).mapInArrow(_work(path, wanted, leaf), schema("doc_id long"))
+    rows = docs.where(long).withColumn("key", F.sha2(F.col("text").cast("binary"), 256))
+    size = F.lit(spread)
+    texts = rows.groupBy("key").agg(F.first("text").alias("text"))
+    places = F.sequence(F.lit(0), F.floor((F.length("text") - 1) / size).cast("int"))
+    parts = texts.select("key", "text", F.explode(places).alias("place")).select("key", "place", F.col("text").substr(F.col("place") * size + 1, size).alias("part"))
+    parts = parts.repartition("key", "place").mapInArrow(_part_work(path, leaf), "key string, place int, part string, ids binary")
+    joined = parts.groupBy("key").applyInArrow(_join_work(path, wanted, leaf), schema("key string"))
+    return short.unionByName(rows.select("doc_id", "key").join(joined, "key").select(*wanted))
+
+
+def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", spread: int = 1 << 20, leaf: int = 4096) -> DataFrame:
+    """Encodes, and decodes the ids; one row a row of docs: doc_id, n_tokens, ids (binary, little-endian unsigned 32-bit), decoded.
 
     path: a vocabulary file in the tokenizers library's format, with an end-of-word suffix or none, at the same
-    place on every executor. Null or empty text: no ids, an empty decoded text. A null id stays null; repeated
-    rows are encoded as often; a text of any length is encoded whole. Other columns are not read.
+    place on every executor. spread: bytes from which a text's parts (of as many characters) are encoded by several tasks;
+    leaf: characters that are encoded at once. Null or empty text: no ids, an empty decoded text. A null id stays null;
+    repeated rows are told as often; a text of any length is encoded whole. Other columns are not read. Empty table: no rows.
     """
-    return t.id_text(docs, id_col, text_col).mapInArrow(_work(path or default_vocabulary(), ("doc_id", "n_tokens", "ids", "decoded")), "doc_id long, n_tokens long, ids binary, decoded string")
+    return _encoded(t.id_text(docs, id_col, text_col), path or default_vocabulary(), ("doc_id", "n_tokens", "ids", "decoded"), spread, leaf)
 
 
-def token_counts(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def token_counts(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", spread: int = 1 << 20, leaf: int = 4096) -> DataFrame:
     """doc_id and n_tokens of each row; null or empty text: 0."""
-    return t.id_text(docs, id_col, text_col).mapInArrow(_work(path or default_vocabulary(), ("doc_id", "n_tokens")), "doc_id long, n_tokens long")
+    return _encoded(t.id_text(docs, id_col, text_col), path or default_vocabulary(), ("doc_id", "n_tokens"), spread, leaf)
