@@ -3,7 +3,8 @@
 A model's n-grams are 64-bit hashes in sorted arrays, one array for each order, shared by the languages: next to a
 hash stand each language's log-probability (if the n-gram was seen for it, with the lower orders already
 interpolated) and, for contexts, its back-off weight. A text goes to the language with the lowest cross-entropy per
-character; one whose cross-entropy is above what the language's own texts reach is rejected.
+character; one whose cross-entropy is above what all but a share REJECT of the language's own stretches of that length
+reach, in texts that the model hasn't learned from, is rejected.
 """
 
 from __future__ import annotations
@@ -22,6 +23,12 @@ from . import text as t
 from .sampling import texts_of
 
 ORDER = 4
+#: Share of a language's own stretches of text that may be above its limit.
+REJECT = 0.001
+#: Nats per character above that, as the stretches are of a bounded sample: these, and so many by the root of its number of texts.
+MARGIN = 0.25, 1.5
+#: Symbols of the stretches that limits are set for; longer texts have the last one's.
+_SIZES = tuple(1 << k for k in range(3, 12))
 _DISCOUNT = 0.75
 _P = np.uint64(0x9E3779B97F4A7C15)
 
@@ -58,7 +65,7 @@ def _grams(s: np.ndarray, order: int) -> np.ndarray:
 
 @dataclass
 class Models:
-    """hashes[i], probs[i]: of order i + 1; contexts[i], weights[i]: of contexts of i + 1 symbols."""
+    """hashes[i], probs[i]: of order i + 1; contexts[i], weights[i]: of contexts of i + 1 symbols; limit: by size and language."""
 
     langs: list[str]
     hashes: list[np.ndarray]
@@ -104,14 +111,14 @@ class Models:
                 out[some, k] = -np.add.reduceat(scores[:, k].astype(np.float64), begin) / sizes
         return out
 
-    def judge(self, entropy: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(language's place or -1, score, rejected) of rows of entropies."""
+    def judge(self, entropy: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(language's place or -1, score, rejected) of rows of entropies and the texts' numbers of symbols."""
         none = np.isnan(entropy[:, 0])
         safe = np.where(none[:, None], 0.0, entropy)
         best = safe.argmin(1)
         least = safe[np.arange(len(best)), best]
         score = 1.0 / np.exp((least[:, None] - safe) * self.heat).sum(1)
-        rejected = none | (least > self.limit[best])
+        rejected = none | (least > self.limit[_size_class(sizes), best])
         return np.where(none, -1, best), np.where(none, 0.0, score), rejected
 
 
@@ -145,7 +152,7 @@ def train(samples: dict[str, list[str]], held: int = 5) -> Models:
     alphabet = len(np.unique(np.concatenate([np.array([32], np.uint64), *(s for own in fits.values() for s in own)]))) + 1
     floor = -math.log(alphabet)
     tables = {lang: [_counts(fits[lang], k) for k in range(1, ORDER + 1)] for lang in langs}
-    models = Models(langs, [], [], [], [], floor, np.zeros(len(langs)), 1.0)
+    models = Models(langs, [], [], [], [], floor, np.full((len(_SIZES), len(langs)), -floor), 1.0)
     for order in range(1, ORDER + 1):
         grams = np.unique(np.concatenate([np.zeros(0, np.uint64), *(tables[x][order - 1][0] for x in langs)]))
         parents = np.unique(np.concatenate([np.zeros(0, np.uint64), *(tables[x][order - 1][2] for x in langs)])) if order > 1 else np.zeros(1, np.uint64)
@@ -180,18 +187,44 @@ def train(samples: dict[str, list[str]], held: int = 5) -> Models:
     return models
 
 
+def _size_class(sizes: np.ndarray) -> np.ndarray:
+    return np.maximum(np.searchsorted(np.array(_SIZES), sizes, "right") - 1, 0)
+
+
+def _stretches(texts: list[np.ndarray], each: int = 12) -> list[np.ndarray]:
+    """The texts, and of each up to `each` stretches of every size, evenly spread."""
+    out = list(texts)
+    for s in texts:
+        for size in _SIZES:
+            if len(s) > size:
+                out += [s[a : a + size] for a in np.unique(np.linspace(0, len(s) - size, each).astype(int)).tolist()]
+    return out
+
+
 def _calibrate(models: Models, checks: dict[str, list[np.ndarray]]) -> None:
-    """limit: a nat above the largest cross-entropy of a language's own texts, so that its texts are kept; heat: the most likely one."""
-    entropy, truth = [], []
+    """limit: what all but REJECT of a language's own stretches of a size reach, and no less than for a larger size; heat: the most likely one."""
+    entropy, truth, sizes = [], [], []
     for k, lang in enumerate(models.langs):
-        own = models.entropies(checks[lang])
-        own = own[~np.isnan(own[:, 0])] if len(own) else own
-        models.limit[k] = (float(own[:, k].max()) if len(own) else -models.floor) + 1.0
-        entropy.append(own)
+        own = _stretches(checks[lang])
+        if not own:
+            continue
+        e, n = models.entropies(own), np.array([len(s) for s in own])
+        kind = _size_class(n)
+        margin = MARGIN[0] + MARGIN[1] / math.sqrt(len(checks[lang]))
+        highest = -np.inf
+        for c in range(len(_SIZES) - 1, -1, -1):
+            if (kind == c).any():
+                highest = max(highest, float(np.quantile(e[kind == c, k], 1 - REJECT)) + margin)
+            models.limit[c, k] = highest if np.isfinite(highest) else -models.floor
+        entropy.append(e)
         truth += [k] * len(own)
+        sizes.append(n)
     if truth:
         e, y = np.concatenate(entropy), np.array(truth)
-        loss = {h: float(np.mean(np.log(np.exp((e[np.arange(len(y)), y][:, None] - e) * h).sum(1)))) for h in (1.0, 2.0, 4.0, 8.0, 16.0)}
+        loss = {}
+        for step in range(40):
+            heat = 1.25**step
+            loss[heat] = float(np.mean(np.log(np.exp(np.minimum((e[np.arange(len(y)), y][:, None] - e) * heat, 500)).sum(1))))
         models.heat = min(loss, key=loss.get)
 
 
@@ -205,7 +238,7 @@ def _work(models: Models) -> Callable:
             texts = [symbols(data[a:b].decode("utf-8", "replace")) for a, b in zip(block.offs[:-1].tolist(), block.offs[1:].tolist(), strict=True)]
             if models.langs:
                 entropy = models.entropies(texts)
-                best, score, rejected = models.judge(entropy)
+                best, score, rejected = models.judge(entropy, np.array([len(s) for s in texts]))
                 least = np.where(best < 0, np.nan, entropy[np.arange(len(best)), best])
             else:
                 best, score, least = np.full(len(texts), -1), np.zeros(len(texts)), np.full(len(texts), np.nan)
