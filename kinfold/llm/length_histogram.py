@@ -46,3 +46,22 @@ def suffix_sums(histogram: DataFrame) -> DataFrame:
         "tokens_total",
         (F.col("tokens_total") - F.col("tokens_longer") + F.col("docs_longer") * F.col("n_tokens")).alias("truncated_total"),
     )
+
+
+def at_limits(histogram: DataFrame, limits: list[int]) -> DataFrame:
+    """What the histogram answers for any context limits, whether a document has that length or not: (limit, docs_longer, tokens_up_to, tokens_longer, truncated_total).
+
+    One pass over the histogram for all limits; a row for each distinct one. Of an empty histogram all answers are 0.
+    """
+    wanted = sorted(set(limits))
+    n, d = F.col("n_tokens"), F.col("n_docs")
+    total = lambda x, where: F.coalesce(F.sum(F.when(where, x)), F.lit(0)).cast("long")
+    answer = lambda c: F.struct(F.lit(c).cast("long").alias("limit"), total(d, n > c).alias("docs_longer"), total(n * d, n <= c).alias("tokens_up_to"), total(n * d, n > c).alias("tokens_longer"))
+    told = histogram.agg(F.array(*map(answer, wanted)).alias("told")).select(F.inline("told"))
+    return told.select("*", (F.col("tokens_up_to") + F.col("limit") * F.col("docs_longer")).alias("truncated_total"))
+
+
+def quantiles(sums: DataFrame, shares: list[float]) -> DataFrame:
+    """(share, n_tokens): the least length that at least this share of all documents don't exceed. sums: of `suffix_sums`. Null of an empty table."""
+    reached = lambda q: F.min(F.when(F.col("docs_up_to") >= F.lit(q) * (F.col("docs_up_to") + F.col("docs_longer")), F.col("n_tokens")))
+    return sums.agg(F.array(*(F.struct(F.lit(float(q)).alias("share"), reached(q).alias("n_tokens")) for q in shares)).alias("told")).select(F.inline("told"))
