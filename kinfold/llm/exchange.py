@@ -36,10 +36,12 @@ def buckets(spark: SparkSession, docs: DataFrame | None = None) -> int:
 
 
 def shared(spark: SparkSession) -> None:
-    """Checkpoints go to the folder in spark.checkpoint.dir; where that is unset, as in tests, to one made here."""
+    """Checkpoints go to the folder in spark.checkpoint.dir. Where that is unset: to the warehouse's, or, on one machine, to one made here."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "kinfold-checkpoints"))
+        alone = sc.master.split("[")[0] == "local"
+        own = os.path.join(tempfile.gettempdir(), "kinfold-checkpoints") if alone else f"{spark.conf.get('spark.sql.warehouse.dir')}/kinfold-checkpoints"
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or own)
 
 
 def kept(df: DataFrame) -> DataFrame:
@@ -48,13 +50,22 @@ def kept(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def place(spark: SparkSession) -> str:
+    """A new path in the shared folder."""
+    shared(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+
+
+def deleted(spark: SparkSession, path: str) -> None:
+    own = spark._jvm.org.apache.hadoop.fs.Path(path)
+    own.getFileSystem(spark._jsc.hadoopConfiguration()).delete(own, True)
+
+
 def written(df: DataFrame) -> DataFrame:
     """df as a Parquet table in the shared folder, read again."""
-    spark = df.sparkSession
-    shared(spark)
-    path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    path = place(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.parquet(path)
+    return df.sparkSession.read.parquet(path)
 
 
 def pack(columns) -> bytes:

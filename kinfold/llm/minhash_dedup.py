@@ -11,7 +11,7 @@
 3. `confirm`: pairs meet the two whole sets.
 4. Components of confirmed links. Those that share a key but ended up in different components were perhaps never
    compared: `missed` pairs them, once each, where their signatures are within the distance, and these pairs are
-   confirmed in turn. A key with many such members sends its pairs to several tasks.
+   confirmed in turn. The members of a key are split into blocks, of which each two meet in a bucket of their own.
 """
 
 from __future__ import annotations
@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import corpus as C
 from . import exchange as X
 from . import text as t
 from .components import components
@@ -33,12 +34,14 @@ _KEY, _PAIR, _NEED, _SET, _OWN = 10, 11, 12, 13, 14
 
 @dataclass(frozen=True)
 class Rule:
-    """words of a shingle; percent: least similarity; values: of a signature; chunk: values of a chunk."""
+    """words of a shingle; percent: least similarity; values: of a signature; chunk: values of a chunk;
+    block: members of a key that are compared with one another at once; more are split into blocks, of which each two meet somewhere."""
 
     words: int = 5
     percent: int = 80
     values: int = 64
     chunk: int = 4
+    block: int = 512
 
     @property
     def distance(self) -> int:
@@ -345,8 +348,8 @@ def _member_rows(rule: Rule, n: int) -> Callable:
     return work
 
 
-def _mixed(n: int) -> Callable:
-    """Of keys that several components have, each member's (id, key) to the bucket of the id."""
+def _mixed(rule: Rule, n: int) -> Callable:
+    """Of keys that several components have, each member's (id, key, number of blocks) to the bucket of the id."""
 
     def work(group: pa.Table) -> pa.Table:
         key, part, ids = (np.concatenate(c) for c in zip(*X.blobs(group, _KEY), strict=True))
@@ -354,20 +357,28 @@ def _mixed(n: int) -> Callable:
         key, part, ids = key[order], part[order], ids[order]
         which = np.cumsum(t.runs(key)) - 1
         many = (np.bincount(which[t.runs(key, part)]) > 1)[which]
-        return X.table((b, _NEED, X.pack(cols)) for b, cols in X.split(_bucket(ids[many], n), ids[many], key[many]))
+        blocks = (-(-np.bincount(which) // rule.block)).astype(np.int32)[which]
+        return X.table((b, _NEED, X.pack(cols)) for b, cols in X.split(_bucket(ids[many], n), ids[many], key[many], blocks[many]))
 
     return work
 
 
 def _with_signatures(rule: Rule, n: int) -> Callable:
+    """Members with their signatures to all pairs of blocks that their own is in. one, two: the blocks of a pair; own: is it the first?"""
+
     def work(own: pa.Table, noted: pa.Table) -> pa.Table:
-        wanted, key = X.columns(X.blobs(noted, _NEED), [np.int64, np.uint64])
+        wanted, key, blocks = X.columns(X.blobs(noted, _NEED), [np.int64, np.uint64, np.int32])
         if not len(wanted):
             return X.table([])
         ids, part, sig = (np.concatenate(c) for c in zip(*X.blobs(own, _OWN), strict=True))
         order = np.argsort(ids)
         at = order[np.searchsorted(ids[order], wanted)]
-        return X.table((b, _SET, X.pack(cols)) for b, cols in X.split(_of_key(key, n), key, part[at], wanted, sig[at]))
+        mine = (t.mix(wanted.view(np.uint64)) % blocks.astype(np.uint64)).astype(np.int32)
+        row, other = C.pick(np.zeros(len(wanted), np.int64), blocks.astype(np.int64))
+        one, two = np.minimum(mine[row], other).astype(np.int32), np.maximum(mine[row], other).astype(np.int32)
+        to = _of_key(t.mix(key[row] + (one.astype(np.uint64) << np.uint64(32) | two.astype(np.uint64))), n)
+        # A block's members travel once for each other block, so signatures are looked up only as rows are packed
+        return X.table((b, _SET, X.pack((key[r], o, w, mine[r], part[at[r]], wanted[r], sig[at[r]]))) for b, (r, o, w) in X.split(to, row, one, two))
 
     return work
 
@@ -381,33 +392,33 @@ def _first_key(equal: np.ndarray, chunk: int) -> np.ndarray:
     return np.where(few.any(1), c * chunk + own.argmax(1), -1)
 
 
-def _cross(rule: Rule, n: int, side: int = 256) -> Callable:
-    """Pairs of a key's members from different components, within the distance; each pair at the first key it shares."""
+def _cross(rule: Rule, side: int = 256) -> Callable:
+    """Pairs of members from different components, within the distance, of two blocks of a key; each pair at the first key it shares."""
 
     def work(group: pa.Table) -> pa.Table:
-        key, part, ids, sig = (np.concatenate(c) for c in zip(*X.blobs(group, _SET), strict=True))
-        order = np.lexsort((ids, key))
-        key, part, ids, sig = key[order], part[order], ids[order], sig[order]
-        cuts = [*np.flatnonzero(t.runs(key)).tolist(), len(key)]
-        made: dict[int, list] = {}
+        key, one, two, mine, part, ids, sig = (np.concatenate(c) for c in zip(*X.blobs(group, _SET), strict=True))
+        order = np.lexsort((ids, mine, two, one, key))
+        key, one, two, mine, part, ids, sig = (c[order] for c in (key, one, two, mine, part, ids, sig))
+        cuts = [*np.flatnonzero(t.runs(key, one, two)).tolist(), len(key)]
+        made: list[np.ndarray] = []
         places = np.zeros(len(cuts) - 1, np.int64)
         for k, own in enumerate(_keys(sig[cuts[:-1]], rule)):
             places[own == key[cuts[:-1]]] = k
         for a, b, place in zip(cuts[:-1], cuts[1:], places.tolist(), strict=True):
-            salts = np.uint64(max(1, (b - a) // 256))
-            hub = ids[a]
-            for i in range(a, b, side):
-                for j in range(i, b, side):
-                    x, y = slice(i, min(i + side, b)), slice(j, min(j + side, b))
-                    equal = sig[x][:, None] == sig[y][None]
-                    far = rule.values - equal.sum(2) > rule.distance
-                    p, q = np.nonzero(~far & (part[x][:, None] != part[y][None]) & (ids[x][:, None] < ids[y][None]))
-                    own = _first_key(equal[p, q], rule.chunk) == place
-                    low, high = ids[x][p[own]], ids[y][q[own]]
-                    to = (t.mix(t.mix(np.array([hub]).view(np.uint64)) + t.mix(high.view(np.uint64)) % salts) % np.uint64(n)).astype(np.int32)
-                    for bucket, cols in X.split(to, high, low):
-                        made.setdefault(bucket, []).append(cols)
-        return X.table((bucket, _PAIR, X.pack(tuple(np.concatenate(c) for c in zip(*cols, strict=True)))) for bucket, cols in made.items())
+            middle = a + int(np.searchsorted(mine[a:b], one[a], "right"))
+            pairs = [(i, j, b, b) for i in range(a, b, side) for j in range(i, b, side)] if one[a] == two[a] else [(i, j, middle, b) for i in range(a, middle, side) for j in range(middle, b, side)]
+            for i, j, last, end in pairs:
+                x, y = slice(i, min(i + side, last)), slice(j, min(j + side, end))
+                equal = sig[x][:, None] == sig[y][None]
+                far = rule.values - equal.sum(2) > rule.distance
+                p, q = np.nonzero(~far & (part[x][:, None] != part[y][None]))
+                own = _first_key(equal[p, q], rule.chunk) == place
+                first, second = ids[x][p[own]], ids[y][q[own]]
+                low, high = np.minimum(first, second), np.maximum(first, second)
+                made.append(np.stack([high, low], 1))
+        pairs = np.unique(np.concatenate([np.zeros((0, 2), np.int64), *made]), axis=0)
+        bucket = group.column("bucket")[0].as_py()  # what meets here is confirmed here: a member's set is sent once for each other block
+        return X.table([(bucket, _PAIR, X.pack((pairs[:, 0].copy(), pairs[:, 1].copy())))] if len(pairs) else [])
 
     return work
 
@@ -417,25 +428,25 @@ def _missed(sigs: DataFrame, pairs: DataFrame, parts: DataFrame, rule: Rule, n:
     some = pairs.mapInArrow(_pair_ids, "doc_id long").distinct()
     own = sigs.join(some, "doc_id", "left_semi").join(parts, sigs.doc_id == parts.node, "left").select("doc_id", F.coalesce("component", "doc_id").alias("component"), "sig")
     own = X.kept(own)
-    mixed = X.by_bucket(own.mapInArrow(_member_rows(rule, n), X.SCHEMA), _mixed(n))
+    mixed = X.by_bucket(own.mapInArrow(_member_rows(rule, n), X.SCHEMA), _mixed(rule, n))
     full = X.with_bucket(own.mapInArrow(_own_rows(rule, n), X.SCHEMA), mixed, _with_signatures(rule, n))
-    return X.kept(X.by_bucket(full, _cross(rule, n)))
+    return X.kept(X.by_bucket(full, _cross(rule)))
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", block: int = 512) -> DataFrame:
     """Links documents whose shingle sets have 100 * |intersection| >= percent * |union|; one row a row of docs.
 
     Returns doc_id, n_shingles, component_id (the smallest id reachable over links, itself included), kept
     (doc_id = component_id). Words are runs of bytes other than space, \\t, \\n, \\v, \\f, \\r, with A-Z lower-cased; a
     text with fewer than `words` words has its whole sequence as one shingle; one without words has none and is
-    linked with nothing. Shingles are told apart by 64 bits.
+    linked with nothing. Shingles are told apart by 64 bits. block: of `Rule`.
 
     Null text: no words. Null id: linked with nothing, component_id null, kept. Rows that repeat an id and a
     text are one document, given as often; rows that repeat an id with other texts share their component. Other
     columns are not read. Empty table: no rows.
     """
-    rule = Rule(words, percent)
-    n = X.buckets(docs.sparkSession)
+    rule = Rule(words, percent, block=block)
+    n = X.buckets(docs.sparkSession, docs)
     docs = t.id_text(docs, id_col, text_col)
     made = X.kept(docs.mapInArrow(_signatures(rule), "doc_id long, n_shingles long, one long, two long, sig binary"))
     some = made.where("n_shingles > 0 AND doc_id IS NOT NULL")

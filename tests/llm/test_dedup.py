@@ -138,3 +138,20 @@ def test_suffix_order():
     own = [rows[i].tobytes() for i in order]
     assert own == sorted(own)
     assert all(s == next((k for k, (x, y) in enumerate(zip(a, b, strict=True)) if x != y), 13) for a, b, s in zip(own[:-1], own[1:], shared[1:].tolist(), strict=True))
+
+
+def test_near_duplicates_of_many_members_of_a_key(spark):
+    """Texts around the threshold whose keys have more members than a block."""
+    from test_operators import brute_near
+
+    rnd = random.Random(8)
+    base = [f"w{i}" for i in range(80)]
+    rows = []
+    for i in range(100):
+        w = list(base)
+        for _ in range(rnd.randrange(2, 7)):
+            w[rnd.randrange(80)] = f"x{rnd.randrange(10**6)}"
+        rows.append((i + 1, " ".join(w)))
+    got = minhash_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), words=4, block=8).collect()
+    want = brute_near(rows, 4)
+    assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in got} == want and len({c for _, c, _ in want.values()}) > 5
