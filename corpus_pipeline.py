@@ -1,6 +1,8 @@
 """A corpus from raw documents to token ids, in stages; each works on all that the one before kept.
 
-Rows are judged one by one beside their own columns, so that only near-dedup shuffles.
+Rows are judged one by one beside their own columns; only near-dedup and decontamination shuffle. Stages take rows with
+null and repeated ids, null, empty and very long texts, and further columns of any name (other than those that begin with
+_kinfold_), which go through unchanged; of an empty table they make an empty one.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ _P = "_kinfold_"
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of a known language stay; those that the models reject (none, or unlike any of them) go."""
+    """Documents of a known language stay; those that the models reject (none, as in null and empty texts, or unlike any of them) go."""
     out = language_id.judged(docs, language_id.learned(docs), prefix=_P)
     return out.where(~F.col(f"{_P}rejected")).select(docs.columns)
 
@@ -38,11 +40,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a benchmark item go."""
-    out = docs
-    for work in decontamination.passes(spark.read.parquet(f"{sf_dir}/benchmark.parquet")):
-        out = t.beside(out, work, f"doc_id long, found {decontamination.FOUND}", prefix=_P).where(F.size(f"{_P}found") == 0).select(docs.columns)
-    return out
+    """Documents with a benchmark item go. Rows are told by their texts; null texts stay; without a benchmark all do."""
+    return decontamination.without(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,7 +54,7 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens and the ids (little-endian, unsigned, 32 bits)."""
+    """doc_id, n_tokens and the ids (little-endian, unsigned, 32 bits); a row for each row, null texts without tokens."""
     return bpe.encode(docs).select("doc_id", "n_tokens", "ids")
 
 
@@ -63,11 +62,17 @@ STAGES = [("language", language), ("near_dedup", near_dedup), ("decontaminate",
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The last stage's rows. A stage's table is deleted once the next one's is written; the last table is left for the rows that read it."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            docs = X.written(docs)
+            path = X.place(spark)
+            docs.write.parquet(path)
+            docs = spark.read.parquet(path)
+            if before:
+                X.deleted(spark, before)
+            before = path
     return docs
 
 
