@@ -27,6 +27,8 @@ ORDER = 4
 REJECT = 0.001
 #: Nats per character above that, as the stretches are of a bounded sample: these, and so many by the root of its number of texts.
 MARGIN = 0.25, 1.5
+#: Nats that a letter costs further which no language's texts had: it is one of many such.
+UNSEEN = 4.0
 #: Symbols of the stretches that limits are set for; longer texts have the last one's.
 _SIZES = tuple(1 << k for k in range(3, 12))
 _DISCOUNT = 0.75
@@ -94,7 +96,7 @@ class Models:
                 seen, row = _find(self.contexts[order - 2], _grams(s, order - 1)[missed + 2 - order])
                 out[missed[seen]] += self.weights[order - 2][row[seen]]
             rest = np.concatenate([rest[~usable], missed])
-        out[rest] += np.float32(self.floor)
+        out[rest] += np.float32(self.floor - UNSEEN)
         return out
 
     def entropies(self, texts: list[np.ndarray]) -> np.ndarray:
