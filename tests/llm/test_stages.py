@@ -20,7 +20,7 @@ def docs(spark):
     table = spark.read.parquet(f"{FOLDER}/documents.parquet")
     texts = [r.text for r in table.orderBy("doc_id").limit(3).collect()]
     odd = [(10**6, None), (10**6 + 1, ""), (10**6 + 2, " \n"), (10**6 + 3, "12 34 !"), (10**6 + 4, texts[0] * 60), (10**6 + 5, "Привет, как дела у вас сегодня? " * 20), (10**6 + 6, texts[1]), (None, texts[2] + " and more"), (None, None), (10**6 + 7, "key q7Zp0Xk29LmNv84TtRw1Ys6B end"), (10**6 + 7, "key q7Zp0Xk29LmNv84TtRw1Ys6B end")]
-    rows = [(i, x, "en", "odd", len(x) if x else 0) for i, x in odd]
+    rows = [(i, x, None, "odd", len(x) if x else 0) for i, x in odd]
     both = table.union(spark.createDataFrame(rows, table.schema))
     return both.select("*", *(F.lit(7).alias(c) for c in CLASH)).repartition(3).cache()
 
