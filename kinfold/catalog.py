@@ -4,14 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import genome as G
-from .functions import model as M
 from .operators import calling, pileup, regions
 from .plans import derived, views
+from .plans import oracles as O
 
 _R = f"r AS ({views.READS_SQL}), f AS (SELECT * FROM r WHERE base_qual >= 13 AND base BETWEEN 0 AND 3)"
 _DEPTHS = "SELECT site, " + ", ".join(f"CAST(sum(CASE WHEN library = {i} AND base {op} ref_base THEN 1 ELSE 0 END) AS BIGINT) AS {who}_{kind}" for i, who in enumerate(("dad", "child", "mom")) for kind, op in (("ref", "="), ("alt", "<>"))) + " FROM f GROUP BY site"
@@ -109,41 +108,19 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in _QUERIES}
 
 
-def _trio_sql() -> str:
-    """Genotype likelihoods with lgamma, then all 27 combinations of three genotypes."""
-    p = M.Parameters()
-    a = M.alphas(p)
-    rise = lambda k, n: f"(lgamma({a[k]!r} + {n}) - lgamma({a[k]!r}))"
-
-    def likelihoods(who: str) -> str:
-        r, v = f"{who}_ref", f"{who}_alt"
-        terms = (("match", "miss", "hom"), ("het_ref", "het_alt", "het"), ("miss", "match", "hom"))
-        return ", ".join(f"{rise(x, r)} + {rise(y, v)} - {rise(t, f'({r} + {v})')} AS {who}{g}" for g, (x, y, t) in enumerate(terms))
-
-    arrays = M.trio_arrays(2, p)
-    rows = ", ".join(f"({d}, {m}, {c}, {arrays['full'][d, m, c]!r}, {arrays['none'][d, m, c]!r}, {arrays['one'][d, m, c]!r})".replace("np.float64(", "(") for d, m, c in np.ndindex(3, 3, 3))
-    pick = lambda who, g: f"CASE {g} WHEN 0 THEN {who}0 WHEN 1 THEN {who}1 ELSE {who}2 END - greatest({who}0, {who}1, {who}2)"
-    tops = " + ".join(f"greatest({w}0, {w}1, {w}2)" for w in ("dad", "child", "mom"))
-    return f"""WITH {_R}, d AS ({_DEPTHS}), l AS (SELECT site, {likelihoods('dad')}, {likelihoods('child')}, {likelihoods('mom')} FROM d),
-w(d, m, c, p_all, p_none, p_one) AS (VALUES {rows}),
-s AS (SELECT site, sum(p_all * e) AS p, sum(p_none * e) AS p0, sum(p_one * e) AS p1, max(top) AS top FROM (
-  SELECT site, p_all, p_none, p_one, exp(({pick('dad', 'd')}) + ({pick('mom', 'm')}) + ({pick('child', 'c')})) AS e, {tops} AS top FROM l, w) GROUP BY site),
-t AS (SELECT site, -10 * log10(p0 / p) AS mutq, (ln(p) + top) / ln(10) AS lld, p1 / p AS dnp FROM s)"""
-
-
 def oracle_sql() -> dict[str, str]:
     with_f = f"WITH {_R} "
     ranges = f"g AS ({views.RANGES_SQL})"
     pair = lambda i, j: f"SELECT '{i}' AS a, '{j}' AS b, round(sum(1 - {i}_ref / ({i}_ref + {i}_alt) * {j}_ref / ({j}_ref + {j}_alt) - {i}_alt / ({i}_ref + {i}_alt) * {j}_alt / ({j}_ref + {j}_alt)), 4) AS distance FROM d WHERE {i}_ref + {i}_alt > 0 AND {j}_ref + {j}_alt > 0"
-    return derived.oracle_sql(with_f, _DEPTHS, _trio_sql()) | {
+    return derived.oracle_sql(with_f, _R, _DEPTHS) | {
         "read_filter": with_f + "SELECT library, count(*) AS n_reads FROM f GROUP BY library",
         "pileup_ad": with_f + _DEPTHS,
         "allele_rank": with_f + "SELECT site, base, depth, CAST(row_number() OVER (PARTITION BY site ORDER BY is_ref DESC, depth DESC, base) AS INT) AS rank FROM (SELECT site, base, count(*) AS depth, max(CASE WHEN base = ref_base THEN 1 ELSE 0 END) AS is_ref FROM f GROUP BY site, base)",
         "strand_counts": with_f + "SELECT site, library, base, count(*) AS depth, CAST(sum(CASE WHEN is_rev THEN 0 ELSE 1 END) AS BIGINT) AS forward, CAST(sum(CASE WHEN is_rev THEN 1 ELSE 0 END) AS BIGINT) AS reverse FROM f GROUP BY site, library, base",
         "rms_mapq": with_f + "SELECT site, round(sqrt(sum(map_qual * map_qual) / count(*)), 6) AS mq FROM f GROUP BY site",
         "depth_stats": with_f + "SELECT site, CAST(sum(t) AS BIGINT) AS dp, round(sum(t * log10(t)) - sum(t) * log10(sum(t)), 6) AS log_null FROM (SELECT site, base, count(*) AS t FROM f GROUP BY site, base) GROUP BY site",
-        "trio_call": _trio_sql() + " SELECT site, round(mutq, 3) AS mutq, round(lld, 4) AS lld, round(dnp, 5) AS dnp FROM t WHERE mutq >= 0.01",
-        "loglike_total": _trio_sql() + " SELECT round(sum(lld), 3) AS log_likelihood FROM t",
+        "trio_call": O.trio(_R, _DEPTHS) + " SELECT site, round(mutq, 3) AS mutq, round(lld, 4) AS lld, round(dnp, 5) AS dnp FROM t WHERE mutq >= 0.01",
+        "loglike_total": O.trio(_R, _DEPTHS) + " SELECT round(sum(lld), 3) AS log_likelihood FROM t",
         "region_merge": f"WITH {ranges}, n AS (SELECT *, CASE WHEN beg <= max(\"end\") OVER (PARTITION BY contig ORDER BY beg, \"end\" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS new FROM g), i AS (SELECT *, sum(new) OVER (PARTITION BY contig ORDER BY beg, \"end\" ROWS UNBOUNDED PRECEDING) AS island FROM n) SELECT contig, min(beg) AS beg, max(\"end\") AS \"end\" FROM i GROUP BY contig, island",
         "overlap_count": f"WITH {ranges} SELECT a.id AS left_id, count(b.id) AS n, CAST(coalesce(sum(CASE WHEN b.id IS NOT NULL THEN least(a.\"end\", b.\"end\") - greatest(a.beg, b.beg) END), 0) AS BIGINT) AS shared FROM g a LEFT JOIN g b ON a.contig = b.contig AND b.id % 3 = 0 AND a.beg < b.\"end\" AND b.beg < a.\"end\" WHERE a.contig < 5 GROUP BY a.id",
         "loc_codec": f"WITH {ranges} SELECT id, CAST(contig AS BIGINT) * 4294967296 + beg AS loc, contig, CAST(beg AS INT) AS pos FROM g",

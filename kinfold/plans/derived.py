@@ -7,11 +7,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from ..functions import lookup as L
 from ..functions import model as M
 from ..functions import pedigree as P
 from ..functions import text as X
 from ..operators import denovo, lineage, pedigree_calling, phasing, pileup, regions
+from . import oracles as O
 from . import views
 
 PEDIGREE = "##PEDNG\nmom . . 2 mom\ndad . . 1 dad\nchild dad mom 2 child\n"
@@ -68,15 +68,6 @@ def genotype_ll_haploid(spark, folder):
     return _genotype_ll(spark, folder, 1)
 
 
-def _ll_sql(with_f: str, depths: str, ploidy: int) -> str:
-    a = M.alphas(M.Parameters())
-    rise = lambda k, n: f"(lgamma({a[k]!r} + {n}) - lgamma({a[k]!r}))"
-    terms = (("match", "miss", "hom"), ("het_ref", "het_alt", "het"), ("miss", "match", "hom"))
-    picked = terms if ploidy == 2 else (terms[0], terms[2])
-    cols = ", ".join(f"round({rise(x, 'child_ref')} + {rise(y, 'child_alt')} - {rise(t, '(child_ref + child_alt)')}, 5) AS ll{i}" for i, (x, y, t) in enumerate(picked))
-    return f"{with_f}, d AS ({depths}) SELECT site, {cols} FROM d"
-
-
 _PL = {w: [10 * k + i + 1 for i in range(10)] for k, w in enumerate(("child", "mom", "dad"))}
 
 
@@ -104,31 +95,6 @@ def dnm_pair(spark, folder):
     return denovo.pair_snps(sites, cutoff=-1.0).select("vec_id", F.round("pp_dnm", 6).alias("pp"), F.round("null_like", 6).alias("null_like"))
 
 
-def _dnm_sql(rows: list[tuple], who: tuple[str, ...], by_ref: bool, told: str = "round(log10({}), 4)") -> str:
-    """rows: (ref or '', genotype numbers..., weight, denovo)."""
-    values = ", ".join("(" + ", ".join([f"'{r[0]}'", *map(str, r[1:-2]), f"CAST({r[-2]!r} AS DOUBLE)", str(r[-1]).lower()]) + ")" for r in rows)
-    pick = " + ".join(f"floor(abs(CAST(embedding[{_PL[w][0]} + {w}] AS DOUBLE)) * 100)" for w in who)
-    on = "substr('ACGT', CAST(vec_id % 4 + 1 AS INT), 1) = ref" if by_ref else "true"
-    return f"""WITH w(ref, {', '.join(who)}, weight, denovo) AS (VALUES {values}),
-x AS (SELECT vec_id, denovo, weight * pow(10, -({pick}) / 10) AS v FROM embeddings JOIN w ON {on} WHERE embedding IS NOT NULL AND len(embedding) >= 30)
-SELECT vec_id, {told.format("max(CASE WHEN denovo THEN v ELSE 0 END) / sum(v)")} AS pp, {told.format("max(CASE WHEN denovo THEN 0 ELSE v END)")} AS null_like FROM x GROUP BY vec_id"""
-
-
-def _snp_rows(model: str) -> list[tuple]:
-    n = range(10)
-    rate = {None: 0.0, 0: 1 - 1e-8, 1: 1e-8, 2: 1e-8 * 1e-8}
-    out = []
-    for c in n:
-        for m in n:
-            for d in n:
-                x = L.snp_configuration(L.SNP[c], L.SNP[m], L.SNP[d], model)
-                for ref in "ACGT":
-                    w = x.passed * rate[x.mutations] * L.snp_prior(L.SNP[c], L.SNP[m], L.SNP[d], ref, 1e-3, model != "auto")
-                    if w > 0:
-                        out.append((ref, c, m, d, w, x.denovo))
-    return out
-
-
 def phase_range_join(spark, folder):
     g = views.ranges(spark, folder).withColumnRenamed("beg", "pos").withColumn("contig", F.col("contig").cast("string"))
     sites = g.where("id % 8 <> 1").select("contig", "pos", F.when(F.col("id") % 3 == 0, "CC").otherwise("CG").alias("gt_child"), F.lit("CC").alias("gt_p1"), F.when(F.col("id") % 5 == 0, "NN").otherwise("GG").alias("gt_p2"))
@@ -195,30 +161,28 @@ def lineage_search(spark, folder):
 QUERIES = (pedigree_call, pedigree_call_xlinked, pedigree_loglike, genotype_ll_diploid, genotype_ll_haploid, dnm_trio_snp, dnm_trio_snp_xs, dnm_trio_indel, dnm_pair, phase_range_join, region_semi_join, *map(_annotated, _MODES), *(_annotated(mode, whole=True) for mode in _MODES), percent_decode, qc_and_depth, two_alleles, ten_genotypes, lineage_search)
 
 
-def oracle_sql(with_f: str, depths: str, trio: str) -> dict[str, str]:
+def oracle_sql(with_f: str, reads: str, depths: str) -> dict[str, str]:
     """The parts that the other queries' SQL begins with."""
+    trio = O.trio(reads, depths)
     g = f"WITH g AS ({views.RANGES_SQL})"
     f = g + ', a AS (SELECT * FROM g WHERE contig < 5), b AS (SELECT * FROM g WHERE contig < 5 AND id % 3 = 0)'
     over = 'a LEFT JOIN b ON a.contig = b.contig AND a.beg < b."end" AND b.beg < a."end"'
     shared = 'least(a."end", b."end") - greatest(a.beg, b.beg)'
     per = lambda value, join=over: f"{f} SELECT a.id AS id, CAST({value} AS DOUBLE) AS value FROM {join} GROUP BY a.id"
-    t = L.indel_table("auto")
-    indel = [("", c, m, d, float(t["weight"][m, d, c] * 1e-9 ** t["hits"][m, d, c]), bool(t["denovo"][m, d, c])) for c in range(3) for m in range(3) for d in range(3)]
-    q = L.pair_table(1e-9)
-    pair = [("", c, m, float(q["weight"][m, c]), bool(q["denovo"][m, c])) for c in range(10) for m in range(10)]
     ad = [[f"(p_partkey * {k + 3} * {s + 1} % 7)" for k in range(4)] for s in range(2)]
     totals = " UNION ALL ".join(f"SELECT p_partkey, {k} AS k, {ad[0][k]} + {ad[1][k]} AS d FROM part" for k in range(4))
     at = {"A": 2, "C": 2, "G": 0, "T": 1}
-    place = [(max(at[x[0]], at[x[1]]), min(at[x[0]], at[x[1]])) for x in L.SNP]
+    place = [(max(at[x[0]], at[x[1]]), min(at[x[0]], at[x[1]])) for x in "AA AC AG AT CC CG CT GG GT TT".split()]
     return {
         "pedigree_call": trio + " SELECT site, round(mutq, 3) AS mutq, round(lld, 4) AS lld, round(dnp, 5) AS dnp FROM t WHERE mutq >= 0.01",
+        "pedigree_call_xlinked": O.trio(reads, depths, True) + " SELECT site, round(mutq, 3) AS mutq, round(lld, 4) AS lld, round(dnp, 5) AS dnp FROM t WHERE mutq >= 0.01",
         "pedigree_loglike": trio + " SELECT round(sum(lld), 3) AS log_likelihood FROM t",
-        "genotype_ll_diploid": _ll_sql(with_f, depths, 2),
-        "genotype_ll_haploid": _ll_sql(with_f, depths, 1),
-        "dnm_trio_snp": _dnm_sql(_snp_rows("auto"), ("child", "mom", "dad"), True),
-        "dnm_trio_snp_xs": _dnm_sql(_snp_rows("XS"), ("child", "mom", "dad"), True),
-        "dnm_trio_indel": _dnm_sql(indel, ("child", "mom", "dad"), False),
-        "dnm_pair": _dnm_sql(pair, ("child", "mom"), False, "round({}, 6)"),
+        "genotype_ll_diploid": O.likelihoods(with_f, depths, 2),
+        "genotype_ll_haploid": O.likelihoods(with_f, depths, 1),
+        "dnm_trio_snp": O.snp("auto"),
+        "dnm_trio_snp_xs": O.snp("XS"),
+        "dnm_trio_indel": O.indel(),
+        "dnm_pair": O.pair(),
         "phase_range_join": g + " SELECT CAST(d.contig AS VARCHAR) AS contig, d.beg AS dnm_pos, count(*) AS n, CAST(sum(h.beg - d.beg) AS BIGINT) AS \"offset\" FROM g d JOIN g h ON d.contig = h.contig AND abs(h.beg - d.beg) <= 40 AND h.beg <> d.beg WHERE d.id % 8 = 1 AND h.id % 8 <> 1 AND h.id % 3 <> 0 AND h.id % 5 <> 0 GROUP BY d.contig, d.beg",
         "region_semi_join": g + ' SELECT id FROM g s WHERE id % 3 = 1 AND EXISTS (SELECT 1 FROM g r WHERE r.id % 3 = 0 AND r.contig = s.contig AND s.beg >= r.beg AND s.beg < r."end")',
         "bed_overlap_any": per("max(CASE WHEN b.id IS NULL THEN 0 ELSE 1 END)"),
