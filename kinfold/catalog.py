@@ -37,13 +37,11 @@ def strand_counts(spark, folder):
 
 
 def rms_mapq(spark, folder):
-    counts = pileup.allele_counts(_filtered(spark, folder))
-    return counts.groupBy("site").agg(F.round(F.sqrt(F.sum("mq2") / F.sum("depth")), 6).alias("mq"))
+    return pileup.rms_mapping_quality(pileup.allele_counts(_filtered(spark, folder))).select("site", F.round("mq", 6).alias("mq"))
 
 
 def depth_stats(spark, folder):
-    per = _filtered(spark, folder).groupBy("site", "base").agg(F.count("*").alias("t"))
-    return per.groupBy("site").agg(F.sum("t").alias("dp"), F.round(F.sum(F.col("t") * F.log10("t")) - F.sum("t") * F.log10(F.sum("t")), 6).alias("log_null"))
+    return pileup.depth_statistics(_filtered(spark, folder)).select("site", "dp", F.round("log_null", 6).alias("log_null"))
 
 
 def trio_call(spark, folder):

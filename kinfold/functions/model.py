@@ -65,7 +65,18 @@ def child(dad: np.ndarray, mom: np.ndarray) -> np.ndarray:
     return np.stack([both[..., b, a] + (both[..., a, b] if a != b else 0) for b, a in pairs(n)], -1)
 
 
+def check_prior(p: Parameters) -> None:
+    """ValueError if the founders' chances would leave 0 to 1."""
+    k, e = p.k_alleles, p.theta / (p.k_alleles - 1) if p.k_alleles > 1 else -1.0
+    if p.theta < 0 or k < 2:
+        raise ValueError("theta has to be 0 at least, and the alleles 2")
+    for name, value, top, others in (("bias_hom", p.bias_hom, 2 + e, k - 1), ("bias_het", p.bias_het, 2 + 2 * e, k - 2), ("bias_hap", p.bias_hap, 1 + e, k - 1)):
+        if value > 1 or (e > 0 and others > 0 and value < -top / (others * e)):
+            raise ValueError(f"{name} {value} is out of range")
+
+
 def diploid_prior(n: int, p: Parameters) -> np.ndarray:
+    check_prior(p)
     k, e = p.k_alleles, p.theta / (p.k_alleles - 1)
     hom, het, scale = (1 + e) / (1 + k * e), e / (1 + k * e), 2 + k * e
     ref_ref = hom * (2 + e + (k - 1) * e * p.bias_hom) / scale
@@ -76,6 +87,7 @@ def diploid_prior(n: int, p: Parameters) -> np.ndarray:
 
 
 def haploid_prior(n: int, p: Parameters) -> np.ndarray:
+    check_prior(p)
     k, e = p.k_alleles, p.theta / (p.k_alleles - 1)
     out = np.full(n, e * (1 - p.bias_hap) / (1 + k * e))
     out[0] = (1 + e + (k - 1) * e * p.bias_hap) / (1 + k * e)

@@ -8,6 +8,11 @@ from bisect import bisect_left, bisect_right
 import numpy as np
 
 
+def phred(p: float) -> float:
+    """0 of 1, never negative zero."""
+    return -10 * math.log10(p) + 0.0
+
+
 def fisher(a: int, b: int, c: int, d: int) -> float:
     """Two-sided exact test of a 2x2 table; from 512 observations the G test."""
     rows, cols, total = (a + b, c + d), (a + c, b + d), a + b + c + d
@@ -30,9 +35,11 @@ def g_test(a: int, b: int, c: int, d: int) -> float:
 
 
 def anderson_darling(first: list[float], second: list[float]) -> float:
-    """Standardised two-sample statistic with midranks (Scholz and Stephens, 1987)."""
+    """Standardised two-sample statistic with midranks (Scholz and Stephens, 1987); nan if a sample is empty or there are fewer than 4 values."""
     both = sorted([*first, *second])
     n, k = len(both), 2
+    if n < 4 or not first or not second:
+        return math.nan
     values = np.unique(np.array(both))
     own = [sorted(first), sorted(second)]
     total = 0.0

@@ -284,3 +284,29 @@ def query_position(cigar: str, offset: int) -> tuple[int, bool]:
 
 def indel_length(ref: str, alt: str) -> int:
     return abs(len(ref) - len(alt))
+
+
+def parse_numbers(text: str, separators: str = ",", whole: bool = False) -> list:
+    """Numbers between any of the separators; blanks around them don't count, an empty text has none."""
+    parts = [x.strip() for x in re.split(f"[{re.escape(separators)}]", text)] if text.strip() else []
+    try:
+        return [int(x) if whole else float(x) for x in parts]
+    except ValueError:
+        raise ValueError(f"not a list of numbers: {text!r}") from None
+
+
+def base_frequencies(text: str) -> list[float]:
+    """Shares of A, C, G, T, made to sum to 1."""
+    own = parse_numbers(text)
+    if len(own) != 4 or min(own) < 0 or not 0 < sum(own) < float("inf"):
+        raise ValueError(f"four frequencies are needed, none of them negative: {text!r}")
+    return [x / sum(own) for x in own]
+
+
+def told_by_file(text: str) -> tuple[str, str]:
+    """An option's text, and "" ; of `@file` or `@ext:file` what the file holds, and its extension."""
+    if not text.startswith("@"):
+        return text, ""
+    path, extension, _ = file_type(text[1:])
+    with open(path, encoding="utf-8") as f:
+        return f.read(), extension

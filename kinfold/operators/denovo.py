@@ -180,3 +180,40 @@ def trio_members(sites: DataFrame, trios: DataFrame) -> DataFrame:
         cell = F.try_element_at("cells", F.col(f"trio.{who}"))
         out = out.withColumn(who, F.col(f"trio.{who}")).withColumn(f"{who}_pl", cell["pl"]).withColumn(f"{who}_dp", cell["dp"])
     return out.where("child_pl IS NOT NULL AND mom_pl IS NOT NULL AND dad_pl IS NOT NULL").drop("trio", "cells")
+
+
+def counters(sites: DataFrame, columns: tuple[str, ...] = ("child_dp", "mom_dp", "dad_dp"), least_depth: int = 10) -> DataFrame:
+    """One row: interrogated, passing: sites, and those deep enough in all samples."""
+    passing = F.coalesce(deep_enough(*(F.col(c) for c in columns), least=least_depth), F.lit(False))
+    return sites.agg(F.count("*").alias("interrogated"), F.coalesce(F.sum(passing.cast("long")), F.lit(0)).cast("long").alias("passing"))
+
+
+def _short(x: Column) -> Column:
+    """Six digits, as numbers are written to a stream."""
+    return F.regexp_replace(F.regexp_replace(F.format_string("%.6g", x), "(\\.\\d*?)0+(e|$)", "$1$2"), "\\.(e|$)", "$1")
+
+
+#: Of the text rows: title, members' names, of genotypes.
+_TITLES = {"snp": ("DENOVO-SNP", ("child", "dad", "mom"), "child/mom/dad"), "indel": ("DENOVO-INDEL", ("child", "dad", "mom"), "child/mom/dad"), "pair": ("DENOVO-PAIR-SNP", ("tumor", "normal"), "normal/tumor")}
+
+
+def text_rows(calls: DataFrame, kind: str) -> DataFrame:
+    """Calls (with contig, pos, ref, alt, the members' names, and {member}_dp) with `line`: the row of keys and values that tells them.
+
+    kind: snp, indel or pair. Depths that are null are left empty.
+    """
+    title, members, names = _TITLES[kind]
+    word = lambda x: F.coalesce(F.col(x).cast("string"), F.lit(""))
+    alt = word("alt") if kind == "indel" else clean_alt(word("alt"))
+    cells: list[Column] = [F.lit(f"{title} {members[0].upper()}_ID: "), word(members[0])]
+    if kind == "pair":
+        cells += [F.lit(" NORMAL_ID: "), word("normal")]
+    cells += [F.lit(" chr: "), word("contig"), F.lit(" pos: "), word("pos"), F.lit(" ref: "), word("ref"), F.lit(" alt: "), alt]
+    cells += [F.lit(" maxlike_null: "), _short(F.col("null_like")), F.lit(" pp_null: "), _short(F.col("pp_null")), F.lit(f" tgt_null({names}): "), word("null_gt")]
+    cells += [F.lit(" code: "), word("null_code")] if kind != "pair" else []
+    cells += [F.lit(" maxlike_dnm: "), _short(F.col("dnm_like")), F.lit(" pp_dnm: "), _short(F.col("pp_dnm")), F.lit(f" tgt_dnm({names}): "), word("dnm_gt")]
+    cells += [F.lit(" lookup: "), word("dnm_code")] if kind != "pair" else []
+    for i, m in enumerate(members):
+        cells += [F.lit(f" READ_DEPTH {m}: " if i == 0 else f" {m}: "), word(f"{m}_dp")]
+    cells += [F.lit(" null_snpcode: "), word("null_code"), F.lit(" dnm_snpcode: "), word("dnm_code")] if kind == "pair" else []
+    return calls.withColumn("line", F.concat(*cells))
