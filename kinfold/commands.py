@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions import genome as G
 from .functions import model as M
 from .functions import pedigree as P
 from .functions import trees as T
 from .functions.text import file_type, input_mode, parse_inheritance, parse_newick, parse_regions, region_ranges
-from .operators import alignment, denovo, lineage, pedigree_calling, phasing, regions
+from .operators import alignment, denovo, lineage, pedigree_calling, phasing, pileup, regions
 from .sources import reads, tables, variants
 
 
@@ -32,16 +33,8 @@ def _within(spark: SparkSession, sites: DataFrame, region: str | None, bed: str
     return shifted.drop("pos").withColumnRenamed("one_based", "pos")
 
 
-def depths(spark: SparkSession, paths: list[str], fasta: str | None = None, region: str | None = None, bed: str | None = None, contigs: dict[str, int] | None = None, least_mapq: int = 0, least_base_qual: int = 13, tag: str = "LB") -> tuple[DataFrame, list[tuple[str, str]]]:
-    """(sites of alleles and ad, [(library, sample)]) of one VCF, or of any number of SAM or BAM files and a FASTA."""
-    if input_mode(paths) == "variant":
-        if len(paths) != 1:
-            raise ValueError("only one variant file can be read")
-        path = file_type(paths[0])[0]
-        labels = variants.parse_labels(variants.vcf_samples(spark, path))
-        sites = variants.allele_depths(variants.read_vcf(spark, path))
-        picked = F.array(*(F.get("ad", F.lit(i)) for i, _, _ in labels))
-        return _within(spark, sites.withColumn("ad", picked), region, bed, contigs or {}), [(lib, s) for _, lib, s in labels]
+def _bases(spark: SparkSession, paths: list[str], fasta: str | None, region: str | None, bed: str | None, contigs: dict[str, int] | None, least_mapq: int, least_base_qual: int, tag: str) -> tuple[DataFrame, list[tuple[str, str]]]:
+    """(bases with library and ref_base, [(library, sample)]) of any number of SAM or BAM files and a FASTA."""
     if fasta is None:
         raise ValueError("reads need a reference sequence")
     groups: dict[str, tuple[str, str]] = {}
@@ -52,8 +45,21 @@ def depths(spark: SparkSession, paths: list[str], fasta: str | None = None, regi
         rows = alignment.with_libraries(alignment.bases(reads.read_reads(spark, p), least_mapq, least_base_qual), own)
         parts = rows if parts is None else parts.unionByName(rows)
     kept = _within(spark, parts, region, bed, contigs or {})
-    libraries = sorted({(lib, s) for lib, s in groups.values()})
-    return alignment.site_depths(tables.reference_bases(kept, tables.read_fasta(spark, fasta)), [lib for lib, _ in libraries]), libraries
+    return tables.reference_bases(kept, tables.read_fasta(spark, fasta)), sorted({(lib, s) for lib, s in groups.values()})
+
+
+def depths(spark: SparkSession, paths: list[str], fasta: str | None = None, region: str | None = None, bed: str | None = None, contigs: dict[str, int] | None = None, least_mapq: int = 0, least_base_qual: int = 13, tag: str = "LB") -> tuple[DataFrame, list[tuple[str, str]]]:
+    """(sites of alleles and ad, [(library, sample)]) of one VCF, or of any number of SAM or BAM files and a FASTA."""
+    if input_mode(paths) == "variant":
+        if len(paths) != 1:
+            raise ValueError("only one variant file can be read")
+        path = file_type(paths[0])[0]
+        labels = variants.parse_labels(variants.vcf_samples(spark, path))
+        sites = variants.allele_depths(variants.read_vcf(spark, path))
+        picked = F.array(*(F.get("ad", F.lit(i)) for i, _, _ in labels))
+        return _within(spark, sites.withColumn("ad", picked), region, bed, contigs or {}), [(lib, s) for _, lib, s in labels]
+    found, libraries = _bases(spark, paths, fasta, region, bed, contigs, least_mapq, least_base_qual, tag)
+    return alignment.site_depths(found, [lib for lib, _ in libraries]), libraries
 
 
 def _graph(spark: SparkSession, ped: str, libraries: list[tuple[str, str]], inheritance: str, mu: float, mu_somatic: float, mu_library: float) -> P.Graph:
@@ -61,10 +67,24 @@ def _graph(spark: SparkSession, ped: str, libraries: list[tuple[str, str]], inhe
 
 
 def call(spark: SparkSession, paths: list[str], ped: str, inheritance: str = "autosomal", mu: float = 1e-8, mu_somatic: float = 0.0, mu_library: float = 0.0, least: float = 0.5, everything: bool = False, output: str | None = None, contigs: dict[str, int] | None = None, p: M.Parameters = M.Parameters(), **reading) -> DataFrame:
-    """De novo calls; with output (x.vcf or x.vcf.gz) and contigs (in order, with lengths) also written as VCF."""
-    sites, libraries = depths(spark, paths, contigs=contigs, **reading)
+    """De novo calls; with output (x.vcf or x.vcf.gz) and contigs (in order, with lengths) also written as VCF.
+
+    Calls from reads further have adf (depths on the forward strand) and the site's tests, mq, fs, mqta, rpta and bqta; see `pileup.site_tests`.
+    """
+    from_reads = input_mode(paths) == "sequence"
+    if from_reads:
+        own = {"fasta": None, "region": None, "bed": None, "least_mapq": 0, "least_base_qual": 13, "tag": "LB"} | reading
+        found, libraries = _bases(spark, paths, contigs=contigs, **own)
+        sites = alignment.site_depths(found, [lib for lib, _ in libraries])
+    else:
+        sites, libraries = depths(spark, paths, contigs=contigs, **reading)
     graph = _graph(spark, ped, libraries, inheritance, mu, mu_somatic, mu_library)
     out = pedigree_calling.call(sites, graph, [lib for lib, _ in libraries], p, least, everything)
+    if from_reads:
+        places = [[lib for lib, _ in libraries].index(x) for x in graph.libraries]
+        tested = pileup.site_tests(found.where(F.col("library").isin(*(lib for lib, _ in libraries))).withColumn("ref_base", G.base_index(F.col("ref_base"))), ("contig", "pos"))
+        strands = sites.select("contig", F.col("pos").cast("int").alias("pos"), F.transform(F.array(*map(F.lit, places)), lambda i: F.get("adf", i)).alias("adf"))
+        out = out.join(strands, ["contig", "pos"], "left").join(tested.withColumn("pos", F.col("pos").cast("int")), ["contig", "pos"], "left")
     if output is not None:
         variants.write_vcf(pedigree_calling.vcf_lines(out, graph), pedigree_calling.vcf_header(graph, contigs or {}), output, list(contigs or {}))
     return out

@@ -60,18 +60,20 @@ def with_libraries(b: DataFrame, groups: dict[str, tuple[str, str]]) -> DataFram
 
 
 def site_depths(b: DataFrame, libraries: list[str]) -> DataFrame:
-    """Bases (contig, pos, ref_base, library, base) to one row a site: alleles, the reference first, then by depth (ties by
-    base), and ad: of each library, in the given order, the depth of each allele. One shuffle, partial counts before it."""
+    """Bases (contig, pos, ref_base, library, base, is_rev) to one row a site: alleles, the reference first, then by depth (ties by
+    base), and ad, adf: of each library, in the given order, the depth of each allele, on both strands and forward. One shuffle, partial counts before it."""
     ref = G.base_index(F.col("ref_base"))
     n = len(libraries)
     counts = [F.sum(F.when((F.col("library") == lib) & (F.col("base") == a), 1).otherwise(0)).cast("int") for lib in libraries for a in range(4)]
-    per = b.where(F.col("library").isin(*libraries)).groupBy("contig", "pos").agg(F.first(ref).alias("ref"), *(c.alias(f"n{i}") for i, c in enumerate(counts)))
-    table = F.array(*(F.array(*(F.col(f"n{i * 4 + a}") for a in range(4))) for i in range(n)))
+    forward = [F.sum(F.when((F.col("library") == lib) & (F.col("base") == a) & ~F.col("is_rev"), 1).otherwise(0)).cast("int") for lib in libraries for a in range(4)]
+    per = b.where(F.col("library").isin(*libraries)).groupBy("contig", "pos").agg(F.first(ref).alias("ref"), *(c.alias(f"n{i}") for i, c in enumerate(counts)), *(c.alias(f"f{i}") for i, c in enumerate(forward)))
+    table = lambda x: F.array(*(F.array(*(F.col(f"{x}{i * 4 + a}") for a in range(4))) for i in range(n)))
     totals = [sum((F.col(f"n{i * 4 + a}") for i in range(1, n)), F.col(f"n{a}")) for a in range(4)]
     ranked = F.array_sort(F.filter(F.array(*(F.struct((F.col("ref") != a).alias("r"), (-totals[a]).alias("d"), F.lit(a).alias("a")) for a in range(4))), lambda x: ~x["r"] | (x["d"] < 0)))
-    out = per.select("contig", "pos", F.transform(ranked, lambda x: x["a"]).alias("order"), table.alias("t"), F.col("ref"))
+    out = per.select("contig", "pos", F.transform(ranked, lambda x: x["a"]).alias("order"), table("n").alias("t"), table("f").alias("tf"), F.col("ref"))
     # A reference that isn't a base comes first with no depth.
     has = F.col("ref") < 4
     alleles = F.transform("order", lambda a: F.substring(F.lit("ACGT"), 1, 4).substr(a + 1, F.lit(1)))
-    ad = F.transform("t", lambda row: F.transform(F.col("order"), lambda a: F.get(row, a)))
-    return out.select("contig", "pos", F.when(has, alleles).otherwise(F.concat(F.array(F.lit("N")), alleles)).alias("alleles"), F.when(has, ad).otherwise(F.transform(ad, lambda v: F.concat(F.array(F.lit(0)), v))).alias("ad"))
+    ad, adf = (F.transform(t, lambda row: F.transform(F.col("order"), lambda a: F.get(row, a))) for t in ("t", "tf"))
+    padded = lambda x: F.when(has, x).otherwise(F.transform(x, lambda v: F.concat(F.array(F.lit(0)), v)))
+    return out.select("contig", "pos", F.when(has, alleles).otherwise(F.concat(F.array(F.lit("N")), alleles)).alias("alleles"), padded(ad).alias("ad"), padded(adf).alias("adf"))

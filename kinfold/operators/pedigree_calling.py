@@ -155,12 +155,12 @@ def trim_alleles(alleles: list[str], gts: list[str], gps: list[list[float]], plo
 
 def vcf_header(graph: P.Graph, contigs: dict[str, int]) -> list[str]:
     """Fixed dictionary, the contigs, the pedigree's branches, and the columns."""
-    info = {"MUTQ": "Float:Phred of no mutation", "MUTX": "Float:Expected mutations", "LLD": "Float:log10 likelihood", "LLS": "Float:LLD less the saturated likelihood", "LLH": "Float:log10 likelihood of hidden data", "DENOVO": "Flag:Mutation found", "DNP": "Float:Probability of exactly one mutation", "DNQ": "Integer:Quality of DNT", "DNT": "String:Likeliest mutation", "DNL": "String:Where it is", "GERMLINE": "Flag:On a germline branch", "SOMATIC": "Flag:On a somatic branch", "LIBRARY": "Flag:On a library branch", "DP": "Integer:Depth"}
-    form = {"GT": "String:1:Genotype", "GQ": "Integer:1:Genotype quality", "GP": "Float:G:Genotype posterior", "MUTP": "Float:1:Probability of a mutation", "DNP": "Float:1:Probability of the single mutation", "PL": "Integer:G:Genotype likelihoods", "AD": "Integer:R:Allele depths"}
+    info = {"MUTQ": "Float:Phred of no mutation", "MUTX": "Float:Expected mutations", "LLD": "Float:log10 likelihood", "LLS": "Float:LLD less the saturated likelihood", "LLH": "Float:log10 likelihood of hidden data", "DENOVO": "Flag:Mutation found", "DNP": "Float:Probability of exactly one mutation", "DNQ": "Integer:Quality of DNT", "DNT": "String:Likeliest mutation", "DNL": "String:Where it is", "GERMLINE": "Flag:On a germline branch", "SOMATIC": "Flag:On a somatic branch", "LIBRARY": "Flag:On a library branch", "DP": "Integer:Depth", "AD": "Integer:Allele depths", "ADF": "Integer:Allele depths, forward strand", "ADR": "Integer:Allele depths, reverse strand", "MQ": "Float:Root mean square of mapping qualities", "FS": "Float:Phred of the strands' exact test", "MQTa": "Float:Rank test of mapping qualities", "RPTa": "Float:Rank test of places in reads", "BQTa": "Float:Rank test of base qualities"}
+    form = {"GT": "String:1:Genotype", "GQ": "Integer:1:Genotype quality", "GP": "Float:G:Genotype posterior", "MUTP": "Float:1:Probability of a mutation", "DNP": "Float:1:Probability of the single mutation", "PL": "Integer:G:Genotype likelihoods", "AD": "Integer:R:Allele depths", "ADF": "Integer:R:Allele depths, forward strand", "ADR": "Integer:R:Allele depths, reverse strand"}
     out = ["##fileformat=VCFv4.2"]
     for k, v in info.items():
         kind, text = v.split(":", 1)
-        out.append(f'##INFO=<ID={k},Number={0 if kind == "Flag" else 1},Type={kind},Description="{text}">')
+        out.append(f'##INFO=<ID={k},Number={0 if kind == "Flag" else "R" if k.startswith("AD") else 1},Type={kind},Description="{text}">')
     for k, v in form.items():
         kind, number, text = v.split(":", 2)
         out.append(f'##FORMAT=<ID={k},Number={number},Type={kind},Description="{text}">')
@@ -178,7 +178,7 @@ def vcf_header(graph: P.Graph, contigs: dict[str, int]) -> list[str]:
 
 
 def vcf_lines(calls: DataFrame, graph: P.Graph, least_frequency: float = 0.0) -> DataFrame:
-    """(contig, pos, line) of calls; alleles that no one has are trimmed. Numbers have six digits."""
+    """(contig, pos, line) of calls; alleles that no one has are trimmed. Numbers have six digits. Strands and tests are told where calls have them."""
     nodes = graph.nodes
     ploidies = [v.ploidy for v in nodes]
     libs = [i for i, v in enumerate(nodes) if v.kind == "library"]
@@ -195,15 +195,24 @@ def vcf_lines(calls: DataFrame, graph: P.Graph, least_frequency: float = 0.0) ->
         if r.dnt is not None:
             info += [f"DNQ={int(r.dnq)}", f"DNT={r.dnt}", f"DNL={r.dnl}", *(k.upper() for k in ("germline", "somatic", "library") if getattr(r, k))]
         info.append(f"DP={r.dp}")
+        kept = [k for k in keep if k < n]
+        strands = getattr(r, "adf", None)
+        total = lambda rows: ",".join(str(sum(int(row[k]) for row in rows)) for k in kept)
+        info.append(f"AD={total(r.ad)}")
+        if strands is not None:
+            info += [f"ADF={total(strands)}", f"ADR={total([[a - f for a, f in zip(x, y, strict=False)] for x, y in zip(r.ad, strands, strict=True)])}"]
+        info += [f"{name}={number(value)}" for name in ("MQ", "FS", "MQTa", "RPTa", "BQTa") if (value := getattr(r, name.lower(), None)) is not None and value == value]
         cells = []
         for i, v in enumerate(nodes):
             gt = "/".join(str(new[int(a)]) for a in r.gt[i].split("/"))
             at = pick[v.ploidy]
             pl = ",".join(str(r.pl[i][k]) for k in at) if r.pl[i] is not None else "."
             ad = ",".join(str(r.ad[libs.index(i)][k]) for k in keep if k < n) if i in libs else "."
-            cells.append(":".join([gt, str(r.gq[i]), ",".join(number(r.gp[i][k]) for k in at), number(r.mutp[i]), number(r.node_dnp[i]), pl, ad]))
+            of = libs.index(i) if i in libs else None
+            more = [] if strands is None else [".", "."] if of is None else [",".join(str(strands[of][k]) for k in kept), ",".join(str(r.ad[of][k] - strands[of][k]) for k in kept)]
+            cells.append(":".join([gt, str(r.gq[i]), ",".join(number(r.gp[i][k]) for k in at), number(r.mutp[i]), number(r.node_dnp[i]), pl, ad, *more]))
         alts = ",".join(r.alleles[a] for a in keep[1:]) or "."
-        return "\t".join([r.contig, str(r.pos), ".", r.alleles[0], alts, number(r.qual), ".", ";".join(info), "GT:GQ:GP:MUTP:DNP:PL:AD", *cells])
+        return "\t".join([r.contig, str(r.pos), ".", r.alleles[0], alts, number(r.qual), ".", ";".join(info), "GT:GQ:GP:MUTP:DNP:PL:AD" + (":ADF:ADR" if strands is not None else ""), *cells])
 
     def work(frames):
         for f in frames:

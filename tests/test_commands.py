@@ -60,3 +60,40 @@ def test_treecall(spark, files):
     assert "(a,b)" in best or "(c,d)" in best
     got = {r["pos"]: r["mut_smpl"] for r in commands.genotype(spark, at("a.vcf"), "((a,b),(c,d));").collect()}
     assert got[4] == "a" and got[1] in ("a,b", "c,d") and got[3] in ("a,b", "c,d")
+
+
+def test_strands_and_tests_of_a_call(spark, files):
+    """Reads of either strand with qualities that differ between the alleles; against the formulas."""
+    from kinfold.functions import stats
+
+    head = "".join(f"@RG\tID:{x}\tLB:{x}\tSM:{x}\n" for x in "DKM")
+    rows, ref, alt = [], [], []
+    for who in "DKM":
+        for i in range(30):
+            base = "T" if who == "K" and i % 2 else "G"
+            back, mapq, qual = i % 3 == 0, 40 + i % 7 - (base == "T") * 5, "I" if i % 4 else "?"
+            rows.append(f"{who}{i}\t{16 if back else 0}\t1\t{3 - i % 2}\t{mapq}\t3M\t*\t0\t0\t{'AC'[: 1 + i % 2]}{base}{'CC'[: 1 - i % 2]}\tI{qual}{qual}\tRG:Z:{who}\n")
+            (alt if base == "T" else ref).append((back, mapq))
+    at = files(a_sam=head + "".join(rows), a_ped=PED, r_fa=">1\nAACGCAA\n")
+    got = commands.call(spark, [at("a.sam")], at("a.ped"), fasta=at("r.fa"), output=at("o.vcf"), contigs={"1": 7}).collect()
+    r = next(x for x in got if x["pos"] == 4)
+    strand = lambda x, back: sum(b is back for b, _ in x)
+    assert r["fs"] == pytest.approx(stats.phred(stats.fisher(strand(ref, False), strand(alt, False), strand(ref, True), strand(alt, True))))
+    assert r["mq"] == pytest.approx((sum(q * q for _, q in ref + alt) / len(ref + alt)) ** 0.5)
+    assert r["mqta"] == pytest.approx(stats.anderson_darling([q for _, q in ref], [q for _, q in alt])) and r["rpta"] is not None and r["bqta"] is not None
+    assert [sum(x) for x in zip(*r["adf"])] == [strand(ref, False), strand(alt, False)]
+    line = next(x["value"] for x in spark.read.text(at("o.vcf")).collect() if x["value"].startswith("1\t4\t"))
+    assert f"AD={len(ref)},{len(alt)};ADF={strand(ref, False)},{strand(alt, False)};ADR={strand(ref, True)},{strand(alt, True)};MQ=" in line and ":AD:ADF:ADR\t" in line and ";BQTa=" in line
+
+
+def test_text_rows(spark, files):
+    from kinfold.operators import denovo
+
+    at = files(a_vcf=SITES, a_ped="f K D M\nf K M 0\n")
+    out = commands.dnm(spark, at("a.vcf"), at("a.ped"))
+    line = denovo.text_rows(out["snp"], "snp").first()["line"]
+    assert line.startswith("DENOVO-SNP CHILD_ID: K chr: 1 pos: 7 ref: G alt: T maxlike_null: ") and "tgt_dnm(child/mom/dad): GT/GG/GG" in line and line.endswith(" READ_DEPTH child: 35 dad: 34 mom: 44")
+    assert denovo.text_rows(out["pair"], "pair").first()["line"].startswith("DENOVO-PAIR-SNP TUMOR_ID: K NORMAL_ID: M chr: 1 pos: 7")
+    assert denovo.text_rows(out["indel"], "indel").first()["line"].startswith("DENOVO-INDEL CHILD_ID: K chr: 1 pos: 20 ref: G alt: GA")
+    numbers = spark.createDataFrame([(1.0,), (0.5,), (1e-10,), (1.25e-7,), (123456789.0,), (0.0,)], "x double").select(denovo._short(denovo.F.col("x")).alias("t"))
+    assert [r["t"] for r in numbers.collect()] == ["1", "0.5", "1e-10", "1.25e-07", "1.23457e+08", "0"]
