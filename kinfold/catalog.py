@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .functions import genome as G
 from .operators import calling, pileup, regions
-from .plans import derived, views
+from .plans import derived, more, views
 from .plans import oracles as O
 
 _R = f"r AS ({views.READS_SQL}), f AS (SELECT * FROM r WHERE base_qual >= 13 AND base BETWEEN 0 AND 3)"
@@ -99,7 +99,7 @@ def sample_distance(spark, folder):
     return out
 
 
-_QUERIES = (read_filter, pileup_ad, allele_rank, strand_counts, rms_mapq, depth_stats, trio_call, loglike_total, region_merge, overlap_count, overlap_count_whole, loc_codec, gt_codec, sample_distance, *derived.QUERIES)
+_QUERIES = (read_filter, pileup_ad, allele_rank, strand_counts, rms_mapq, depth_stats, trio_call, loglike_total, region_merge, overlap_count, overlap_count_whole, loc_codec, gt_codec, sample_distance, *derived.QUERIES, *more.QUERIES)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -110,7 +110,7 @@ def oracle_sql() -> dict[str, str]:
     with_f = f"WITH {_R} "
     ranges = f"g AS ({views.RANGES_SQL})"
     pair = lambda i, j: f"SELECT '{i}' AS a, '{j}' AS b, round(sum(1 - {i}_ref / ({i}_ref + {i}_alt) * {j}_ref / ({j}_ref + {j}_alt) - {i}_alt / ({i}_ref + {i}_alt) * {j}_alt / ({j}_ref + {j}_alt)), 4) AS distance FROM d WHERE {i}_ref + {i}_alt > 0 AND {j}_ref + {j}_alt > 0"
-    return derived.oracle_sql(with_f, _R, _DEPTHS) | {
+    return derived.oracle_sql(with_f, _R, _DEPTHS) | more.oracle_sql(with_f, _R, _DEPTHS) | {
         "read_filter": with_f + "SELECT library, count(*) AS n_reads FROM f GROUP BY library",
         "pileup_ad": with_f + _DEPTHS,
         "allele_rank": with_f + "SELECT site, base, depth, CAST(row_number() OVER (PARTITION BY site ORDER BY is_ref DESC, depth DESC, base) AS INT) AS rank FROM (SELECT site, base, count(*) AS depth, max(CASE WHEN base = ref_base THEN 1 ELSE 0 END) AS is_ref FROM f GROUP BY site, base)",

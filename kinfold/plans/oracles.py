@@ -42,7 +42,7 @@ def likelihoods(with_f: str, depths: str, ploidy: int) -> str:
 
 
 def trio(reads: str, depths: str, x_linked: bool = False) -> str:
-    """`t`: a row a site with qual, mutq, mutx, lld, lls, llh, dnp, dp. reads: a CTE of filtered reads, f; depths: of the three libraries."""
+    """`z`: a row a site and genotypes; `t`: a row a site with qual, mutq, mutx, lld, lls, llh, dnp, dp. reads: a CTE of filtered reads, f; depths: of the three libraries."""
     n = {"dad": 2 if x_linked else 3, "child": 3, "mom": 3}
     top = {w: f"greatest({', '.join(f'{w}{i}' for i in range(k))})" for w, k in n.items()}
     pick = lambda w, g: f"CASE {g} {' '.join(f'WHEN {i} THEN {w}{i}' for i in range(n[w]))} END - {top[w]}"
@@ -53,9 +53,10 @@ def trio(reads: str, depths: str, x_linked: bool = False) -> str:
     alone = "(SELECT h.p * f.p * s.p_all * s.p_all FROM hemi h, founder f, step s WHERE h.g = 0 AND f.g = 0 AND s.i = 0 AND s.j = 0)" if x_linked else "(SELECT f.p * f.p * s.p_all * s.p_all FROM founder f, step s WHERE f.g = 0 AND s.i = 0 AND s.j = 0)"
     return f"""WITH {reads}, {model}, d AS ({depths}),
 l AS (SELECT d.*, {', '.join(_reads(w, k == 2) for w, k in n.items())} FROM d, c),
+z AS (SELECT l.*, w.*, exp({pick('dad', 'w.d')} + {pick('mom', 'w.m')} + {pick('child', 'w.c')}) AS ex, {' + '.join(top.values())} AS tops FROM l, w),
 s AS (SELECT site, any_value({ref}) AS r, any_value({alt}) AS v, sum(w.p_all * ex) AS p, sum(w.p_none * ex) AS p0, sum(w.p_one * ex) AS p1, sum(w.p_mean * ex) AS pm, any_value(tops) AS top,
     sum(CASE WHEN w.d = 0 AND w.m = 0 AND w.c = 0 THEN ex END) AS mono
-  FROM (SELECT l.*, w.*, exp({pick('dad', 'w.d')} + {pick('mom', 'w.m')} + {pick('child', 'w.c')}) AS ex, {' + '.join(top.values())} AS tops FROM l, w) w GROUP BY site),
+  FROM z w GROUP BY site),
 t AS (SELECT site, CAST(r + v AS BIGINT) AS dp, -10 * log10({alone} * mono / p) AS qual, -10 * log10(p0 / p) AS mutq, pm / p AS mutx, (ln(p) + top) / ln(10) AS lld, (ln(p) + top) / ln(10) - ({xlog('r')} + {xlog('v')} - ({xlog('r + v')})) AS lls,
     ln(p) / ln(10) AS llh, p1 / p AS dnp FROM s)"""
 

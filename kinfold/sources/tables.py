@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,14 +42,75 @@ def read_phasing_sites(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.csv(path, sep="\t", schema="contig string, pos long, gt_child string, gt_p1 string, gt_p2 string")
 
 
+def _fasta_lines(batches):
+    """(path, start of the split, line) of record batches in their order."""
+    for batch in batches:
+        yield from zip(*(batch.column(c).to_pylist() for c in ("path", "start", "value")), strict=True)
+
+
+def _bases(line: str) -> str:
+    return "".join(line.split()).upper()
+
+
+def _summary(batches):
+    """Of each split: bases before its first header, its last header (or null), bases after that."""
+    told: dict[tuple, list] = {}
+    for path, start, line in _fasta_lines(batches):
+        own = told.setdefault((path, start), [0, None, 0])
+        if line.startswith(">"):
+            own[1:] = [line[1:].split()[0] if line[1:].split() else "", 0]
+        else:
+            own[0 if own[1] is None else 2] += len(_bases(line))
+    if told:
+        rows = [(*k, *v) for k, v in told.items()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(zip(*rows, strict=True), (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64()), strict=True)], names=["path", "start", "before", "last", "after"])
+
+
+def _pieces(begins: dict[tuple, tuple[str | None, int]], block: int):
+    """begins: of each split, the contig that goes on in it, and how many of its bases came before."""
+
+    def work(batches):
+        now, contig, at, rows = None, None, 0, []
+        flush = lambda: pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(zip(*rows, strict=True), (pa.string(), pa.int32(), pa.int64(), pa.string()), strict=True)], names=["contig", "block", "at", "piece"])
+        for path, start, line in _fasta_lines(batches):
+            if (path, start) != now:
+                now = path, start
+                contig, at = begins[now]
+            if line.startswith(">"):
+                contig, at = line[1:].split()[0] if line[1:].split() else "", 0
+                continue
+            own = _bases(line)
+            while own and contig is not None:
+                room = block - at % block
+                rows.append((contig, at // block, at, own[:room]))
+                at += len(own[:room])
+                own = own[room:]
+            if len(rows) >= 4096:
+                yield flush()
+                rows = []
+        if rows:
+            yield flush()
+
+    return work
+
+
 def read_fasta(spark: SparkSession, path: str, block: int = 1 << 16) -> DataFrame:
-    """(contig, block, seq): pieces of the sequences, so that bases are joined on (contig, block). A contig is unpacked by one task."""
-    whole = spark.read.text(path, lineSep=">").where(F.trim("value") != "")
-    head = F.regexp_extract("value", "^([^\\s]+)", 1)
-    body = F.upper(F.regexp_replace(F.regexp_replace("value", "^[^\n]*\n?", ""), "\\s", ""))
-    seq = whole.select(head.alias("contig"), body.alias("body")).where(F.length("body") > 0)
-    out = seq.select("contig", F.explode(F.sequence(F.lit(0), F.floor((F.length("body") - 1) / block).cast("int"))).alias("block"), "body")
-    return out.select("contig", "block", F.expr(f"substring(body, block * {block} + 1, {block})").alias("seq"))
+    """(contig, block, seq): pieces of the sequences, so that bases are joined on (contig, block).
+
+    Splits of the files are read by tasks of their own: a first pass counts each split's bases, from which the driver tells where its sequence goes on (one
+    small row a split); a second one cuts lines at blocks, which are then put together. A line that begins with > is a header.
+    """
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"), "value")
+    begins: dict[tuple, tuple[str | None, int]] = {}
+    before, contig, at = None, None, 0
+    for r in sorted(lines.mapInArrow(_summary, "path string, start long, before long, last string, after long").collect(), key=lambda r: (r.path, r.start)):
+        if r.path != before:
+            before, contig, at = r.path, None, 0
+        begins[r.path, r.start] = contig, at
+        contig, at = (contig, at + r.before) if r.last is None else (r.last, r.after)
+    pieces = lines.mapInArrow(_pieces(begins, block), "contig string, block int, at long, piece string")
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "piece"))), lambda x: x["piece"]), "")
+    return pieces.groupBy("contig", "block").agg(whole.alias("seq"))
 
 
 def reference_bases(sites: DataFrame, fasta: DataFrame, block: int = 1 << 16) -> DataFrame:

@@ -23,6 +23,8 @@ def read_vcf(spark: SparkSession, path: str) -> DataFrame:
     kind = file_type(path)[1].lower()
     if kind in ("bcf", "cram"):
         raise ValueError(f"file type '{kind}' is not supported; convert it to vcf")
+    if file_type(path)[2].lower() in ("bgz", "gzip"):
+        raise ValueError("text is unpacked by the name's ending .gz; rename the file")
     cells = F.split(F.regexp_replace("value", "\r$", ""), "\t")
     rows = spark.read.text(path).where(~F.col("value").startswith("#") & (F.col("value") != "")).select(cells.alias("c"))
     out = rows.select(*(F.get("c", F.lit(i)).alias(n) for i, n in enumerate(_FIXED)), F.when(F.size("c") > 9, F.expr("slice(c, 10, size(c) - 9)")).otherwise(F.array().cast("array<string>")).alias("s"))
