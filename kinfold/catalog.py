@@ -59,10 +59,7 @@ def region_merge(spark, folder):
 
 
 def overlap_count(spark, folder):
-    all_ = views.ranges(spark, folder)
-    left = all_.where("contig < 5").withColumnRenamed("id", "left_id")
-    right = all_.where("contig < 5 AND id % 3 = 0").withColumnRenamed("id", "right_id")
-    return _counted(left, right)
+    return _counted(views.ranges(spark, folder).withColumnRenamed("id", "left_id"), views.targets(spark, folder).withColumnRenamed("id", "right_id"))
 
 
 def overlap_count_whole(spark, folder):
@@ -120,7 +117,7 @@ def oracle_sql() -> dict[str, str]:
         "trio_call": O.trio(_R, _DEPTHS) + " SELECT site, round(mutq, 3) AS mutq, round(lld, 4) AS lld, round(dnp, 5) AS dnp FROM t WHERE mutq >= 0.01",
         "loglike_total": O.trio(_R, _DEPTHS) + " SELECT round(sum(lld), 3) AS log_likelihood FROM t",
         "region_merge": f"WITH {ranges}, n AS (SELECT *, CASE WHEN beg <= max(\"end\") OVER (PARTITION BY contig ORDER BY beg, \"end\" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS new FROM g), i AS (SELECT *, sum(new) OVER (PARTITION BY contig ORDER BY beg, \"end\" ROWS UNBOUNDED PRECEDING) AS island FROM n) SELECT contig, min(beg) AS beg, max(\"end\") AS \"end\" FROM i GROUP BY contig, island",
-        "overlap_count": f"WITH {ranges} SELECT a.id AS left_id, count(b.id) AS n, CAST(coalesce(sum(CASE WHEN b.id IS NOT NULL THEN least(a.\"end\", b.\"end\") - greatest(a.beg, b.beg) END), 0) AS BIGINT) AS shared FROM g a LEFT JOIN g b ON a.contig = b.contig AND b.id % 3 = 0 AND a.beg < b.\"end\" AND b.beg < a.\"end\" WHERE a.contig < 5 GROUP BY a.id",
+        "overlap_count": f"WITH {ranges}, b AS ({views.TARGETS_SQL}) SELECT a.id AS left_id, count(b.id) AS n, CAST(coalesce(sum(CASE WHEN b.id IS NOT NULL THEN least(a.\"end\", b.\"end\") - greatest(a.beg, b.beg) END), 0) AS BIGINT) AS shared FROM g a LEFT JOIN b ON a.contig = b.contig AND a.beg < b.\"end\" AND b.beg < a.\"end\" GROUP BY a.id",
         "loc_codec": f"WITH {ranges} SELECT id, CAST(contig AS BIGINT) * 4294967296 + beg AS loc, contig, CAST(beg AS INT) AS pos FROM g",
         "gt_codec": "SELECT p_partkey, CAST(g - h * (h + 1) // 2 AS INT) AS lo, CAST(h AS INT) AS hi, CAST(g AS INT) AS gt FROM (SELECT p_partkey, p_partkey % 45 AS g, CAST(floor((sqrt(8 * (p_partkey % 45) + 1) - 1) / 2) AS BIGINT) AS h FROM part)",
         "sample_distance": f"WITH {_R}, d AS ({_DEPTHS}) " + " UNION ALL ".join(pair(i, j) for i, j in (("dad", "child"), ("dad", "mom"), ("child", "mom"))),

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -122,7 +123,16 @@ def partition_tree(sites: DataFrame, samples: list[int], least: float = 60.0) ->
 
 def search(sites: DataFrame, mu: float = 80.0, het: float = 30.0, least: float = 60.0, gain: float = 1e-4) -> DataFrame:
     """(start, tree as text of sample numbers, score): from a joined and a partitioned tree, exchanges and new roots as long as
-    the score falls by more than `gain`. Each step scores all neighbours in one pass over the sites."""
+    the score falls by more than `gain`. Each step scores all neighbours in one pass over the sites, which are kept meanwhile, so
+    that what they come from is read once."""
+    sites = sites.select("pl").persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return _searched(sites, mu, het, least, gain)
+    finally:
+        sites.unpersist()
+
+
+def _searched(sites: DataFrame, mu: float, het: float, least: float, gain: float) -> DataFrame:
     spark = sites.sparkSession
     d = distances(sites)
     if len(d) < 2:

@@ -113,9 +113,7 @@ _MODES = ("any", "count", "fraction", "reciprocal", "point")
 def _annotated(mode: str, whole: bool = False):
     def query(spark, folder):
         g = views.ranges(spark, folder)
-        if not whole:
-            g = g.where("contig < 5")
-        out = regions.annotate(g, g if whole else g.where("id % 3 = 0"), mode, 0.3, 256)
+        out = regions.annotate(g, g if whole else views.targets(spark, folder), mode, 0.3, 256)
         return out.select("id", F.round("value", 6).alias("value"))
 
     query.__name__ = f"bed_overlap_{mode}" + "_whole" * whole
@@ -123,12 +121,13 @@ def _annotated(mode: str, whole: bool = False):
 
 
 def percent_decode(spark, folder):
+    """All urls, with their percent signs, slashes and colons coded, and a text after them that isn't wholly a code."""
     @F.pandas_udf(StringType())
     def decode(x: pd.Series) -> pd.Series:
-        return x.map(X.percent_decode)
+        return x.map(X.percent_decode, na_action="ignore")
 
-    p = spark.read.parquet(f"{folder}/pages.parquet").where("url IS NOT NULL AND NOT contains(url, '%')")
-    return p.select("page_id", decode(F.concat("url", F.lit("%20x%41%zzy"))).alias("url"))
+    coded = F.replace(F.replace(F.replace("url", F.lit("%"), F.lit("%25")), F.lit("/"), F.lit("%2f")), F.lit(":"), F.lit("%3A"))
+    return spark.read.parquet(f"{folder}/pages.parquet").select("page_id", decode(F.concat(coded, F.lit("%20x%41%zzy"))).alias("url"))
 
 
 def qc_and_depth(spark, folder):
@@ -165,7 +164,7 @@ def oracle_sql(with_f: str, reads: str, depths: str) -> dict[str, str]:
     """The parts that the other queries' SQL begins with."""
     trio = O.trio(reads, depths)
     g = f"WITH g AS ({views.RANGES_SQL})"
-    f = g + ', a AS (SELECT * FROM g WHERE contig < 5), b AS (SELECT * FROM g WHERE contig < 5 AND id % 3 = 0)'
+    f = g + f', a AS (SELECT * FROM g), b AS ({views.TARGETS_SQL})'
     over = 'a LEFT JOIN b ON a.contig = b.contig AND a.beg < b."end" AND b.beg < a."end"'
     shared = 'least(a."end", b."end") - greatest(a.beg, b.beg)'
     per = lambda value, join=over: f"{f} SELECT a.id AS id, CAST({value} AS DOUBLE) AS value FROM {join} GROUP BY a.id"
@@ -190,7 +189,7 @@ def oracle_sql(with_f: str, reads: str, depths: str) -> dict[str, str]:
         "bed_overlap_reciprocal": per(f'count(CASE WHEN {shared} >= 0.3 * (a."end" - a.beg) AND {shared} >= 0.3 * (b."end" - b.beg) THEN 1 END)'),
         "bed_overlap_point": per("max(CASE WHEN b.id IS NULL THEN 0 ELSE 1 END)", 'a LEFT JOIN b ON a.contig = b.contig AND a.beg >= b.beg AND a.beg < b."end"'),
         "bed_overlap_fraction": f'{f}, c AS (SELECT a.id, count(DISTINCT CASE WHEN b.id IS NOT NULL THEN p.p END) AS n, max(a."end" - a.beg) AS size FROM a, LATERAL (SELECT unnest(range(a.beg, a."end")) AS p) p LEFT JOIN b ON a.contig = b.contig AND p.p >= b.beg AND p.p < b."end" GROUP BY a.id) SELECT id, round(n / size, 6) AS value FROM c',
-        "percent_decode": "SELECT page_id, url || ' xAy' AS url FROM pages WHERE url IS NOT NULL AND NOT contains(url, '%')",
+        "percent_decode": "SELECT page_id, url || ' xAy' AS url FROM pages",
         "qc_and_depth": with_f + " SELECT site, CASE WHEN sqrt(sum(map_qual * map_qual) / count(*)) < 40 OR count(*) < 10 THEN 1 ELSE 0 END AS flag, count(*) >= 25 AS deep FROM f GROUP BY site",
         "two_alleles": f"WITH t AS ({totals}), r AS (SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY d DESC, k DESC) AS n FROM t) SELECT p_partkey, CAST(max(CASE WHEN n = 1 THEN k END) AS INT) AS first, CAST(max(CASE WHEN n = 2 THEN k END) AS INT) AS second FROM r GROUP BY p_partkey",
         "ten_genotypes": "SELECT p_partkey, concat_ws(',', " + ", ".join(f"p_partkey * {hi * (hi + 1) // 2 + lo + 3} % 61" for hi, lo in place) + ") AS pl FROM part",

@@ -34,3 +34,13 @@ def ranges(spark: SparkSession, folder: str) -> DataFrame:
     o = spark.read.parquet(f"{folder}/orders.parquet")
     beg = F.col("o_orderkey") % 100000
     return o.select((F.col("o_custkey") % 20).cast("int").alias("contig"), beg.alias("beg"), (beg + 1 + F.col("o_custkey") % 50).alias("end"), F.col("o_orderkey").alias("id"))
+
+
+TARGETS_SQL = "SELECT CAST(c_custkey % 20 AS INT) AS contig, c_custkey * 37 % 100000 AS beg, c_custkey * 37 % 100000 + 1 + c_custkey % 400 AS \"end\", c_custkey AS id FROM customer"
+
+
+def targets(spark: SparkSession, folder: str) -> DataFrame:
+    """Ranges to annotate others with."""
+    c = spark.read.parquet(f"{folder}/customer.parquet")
+    beg = F.col("c_custkey") * 37 % 100000
+    return c.select((F.col("c_custkey") % 20).cast("int").alias("contig"), beg.alias("beg"), (beg + 1 + F.col("c_custkey") % 400).alias("end"), F.col("c_custkey").alias("id"))
