@@ -6,8 +6,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def texts_of(docs: DataFrame, rows: int, where: Column | None = None, by: str | None = None) -> list:
-    """Up to `rows` texts (for each value of `by`, of which null is none), the first in the order of a hash of doc_id: rows (by, text).
+#: Characters of a text that a classifier is fitted on, at most, so that what comes to the driver is bounded by rows.
+MOST = 50_000
+
+
+def texts_of(docs: DataFrame, rows: int, where: Column | None = None, by: str | None = None, most: int = MOST) -> list:
+    """Up to `rows` texts, of each up to `most` characters (for each value of `by`, of which null is none), the first in the order of a hash of doc_id: rows (by, text).
 
     The ids are chosen first, with a top-k that each task does for its part; then the texts are read.
     """
@@ -24,5 +28,5 @@ def texts_of(docs: DataFrame, rows: int, where: Column | None = None, by: str |
     if not wanted:
         return []
     kind = F.col(by).alias("kind") if by else F.lit(None).cast("string").alias("kind")
-    found = some.where(F.col("doc_id").isin(wanted)).select("doc_id", kind, "text").collect()
+    found = some.where(F.col("doc_id").isin(wanted)).select("doc_id", kind, F.substring("text", 1, most).alias("text")).collect()
     return sorted({(r.kind, r.doc_id, r.text) for r in found}, key=lambda x: (str(x[0]), x[1], x[2]))

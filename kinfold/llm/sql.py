@@ -1,5 +1,19 @@
 """DuckDB SQL that tells the same as some of the queries."""
 
+OP1 = r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+w AS (SELECT doc_id, i, md5(substr(h, 2 * i + 1, 200)) AS w FROM d, unnest(range(0, n - 99)) AS r(i) WHERE n >= 100),
+late AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY w ORDER BY doc_id, i) AS k FROM w) WHERE k > 1),
+new AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 100 THEN 0 ELSE 1 END AS new FROM late),
+run AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM new),
+span AS (SELECT doc_id, min(i) AS a, max(i) + 100 AS b FROM run GROUP BY doc_id, run),
+piece AS (SELECT span.doc_id, a, b, substr(h, 2 * coalesce(lag(b) OVER (PARTITION BY span.doc_id ORDER BY a), 0) + 1, 2 * (a - coalesce(lag(b) OVER (PARTITION BY span.doc_id ORDER BY a), 0))) AS before FROM span JOIN d USING (doc_id)),
+per AS (SELECT doc_id, sum(b - a) AS n_removed, count(*) AS n_spans, string_agg(before, '' ORDER BY a) AS before, max(b) AS last FROM piece GROUP BY doc_id)
+SELECT d.doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(unhex(CASE WHEN per.doc_id IS NULL THEN h ELSE before || substr(h, 2 * last + 1) END)) AS kept_sha256
+FROM d LEFT JOIN per ON per.doc_id = d.doc_id
+"""
+
 OP4 = r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents
@@ -29,4 +43,4 @@ SELECT w.doc_id, len(w.words) AS n_words, coalesce(per.n, 0) AS n_removed,
 FROM w LEFT JOIN per ON per.doc_id = w.doc_id
 """
 
-ORACLES = {"op4_minhash_dedup": OP4, "op8_substring_dedup": OP8}
+ORACLES = {"op1_suffix_dedup": OP1, "op4_minhash_dedup": OP4, "op8_substring_dedup": OP8}
