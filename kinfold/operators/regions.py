@@ -6,13 +6,24 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def merge(ranges: DataFrame) -> DataFrame:
-    """(contig, beg, end), half-open: unions of ranges that touch or overlap."""
-    order = Window.partitionBy("contig").orderBy("beg", "end")
-    before = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    flagged = ranges.withColumn("new", F.when(F.col("beg") <= before, 0).otherwise(1))
-    island = F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0))
-    return flagged.withColumn("island", island).groupBy("contig", "island").agg(F.min("beg").alias("beg"), F.max("end").alias("end")).drop("island")
+def merge(ranges: DataFrame, width: int = 1 << 20) -> DataFrame:
+    """(contig, beg, end), half-open: unions of ranges that touch or overlap.
+
+    Ranges are ordered within bins (by their begin) of the given width, each on its own; across bins only a row a bin is ordered: how far
+    the bins before reach, and how many unions they began.
+    """
+    rows = ranges.select("contig", "beg", "end").withColumn("bin", F.floor(F.col("beg") / width))
+    order = Window.partitionBy("contig", "bin").orderBy("beg", "end")
+    inner = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumn("inner", inner)
+    before = Window.partitionBy("contig").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+    reach = rows.groupBy("contig", "bin").agg(F.max("end").alias("most")).select("contig", "bin", F.max("most").over(before).alias("outer"))
+    # Of a bin without an end before, greatest leaves out nulls; the first range of a contig has neither
+    flagged = rows.join(reach, ["contig", "bin"]).withColumn("new", F.when(F.col("beg") <= F.greatest("inner", "outer"), 0).otherwise(1))
+    begun = flagged.groupBy("contig", "bin").agg(F.sum("new").alias("n")).select("contig", "bin", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("earlier"))
+    island = F.col("earlier") + F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    numbered = flagged.join(begun, ["contig", "bin"]).withColumn("island", island)
+    return numbered.groupBy("contig", "island").agg(F.min("beg").alias("beg"), F.max("end").alias("end")).drop("island")
 
 
 def overlaps(left: DataFrame, right: DataFrame, width: int) -> DataFrame:

@@ -73,6 +73,30 @@ def pedigree_genotypes(spark, folder):
     return calls.select(F.col("pos").cast("long").alias("site"), *cells)
 
 
+THREE = "##PEDNG\ngf . . 1 dad\ngm . . 2 .\nmo . . 2 mom\nf gf gm 1 .\nk f mo 2 child\n"
+
+
+def pedigree_three_generations(spark, folder):
+    """Grandfather, mother and child are read; the grandmother and the father aren't."""
+    graph = P.build(X.parse_pedigree(THREE), [(x, x) for x in derived.LIBRARIES], "autosomal")
+    calls = pedigree_calling.call(derived._sites(spark, folder), graph, derived.LIBRARIES, least=0.0, everything=True)
+    return calls.select(F.col("pos").cast("long").alias("site"), F.round("mutq", 3).alias("mutq"), F.round("lld", 4).alias("lld"), F.round("llh", 4).alias("llh"), F.round("dnp", 5).alias("dnp"), F.round("mutx", 5).alias("mutx"))
+
+
+_TREE = ((0, 1), 2)
+
+
+def tree_score(spark, folder):
+    """Score of one tree of the three libraries over all sites."""
+    return lineage.score_trees(_depth_pl(spark, folder), [_TREE], 20.0, 30.0).select("tree", F.round("score", 3).alias("score"))
+
+
+def tree_placements(spark, folder):
+    """Of each site, the chance that it didn't mutate along the tree and that it did once."""
+    sites = _depth_pl(spark, folder).select(F.lit("1").alias("contig"), F.col("site").cast("int").alias("pos"), F.lit("A").alias("ref"), "pl")
+    return lineage.placements(sites, _TREE, ["dad", "child", "mom"], 20.0, 30.0).select("pos", F.round("null_p", 5).alias("null_p"), F.round("mut_p", 5).alias("mut_p"))
+
+
 def dnm_trio_snp_xd(spark, folder):
     return denovo.trio_snps(derived._likelihoods(spark, folder, 10), "XD", cutoff=-1.0).select("vec_id", F.round(F.log10("pp_dnm"), 4).alias("pp"), F.round(F.log10("null_like"), 4).alias("null_like"))
 
@@ -277,7 +301,7 @@ def reference_sites(spark, folder):
     return tables.reference_bases(sites, tables.read_fasta(spark, path, 4096), 4096).select("k", "pos", "ref_base")
 
 
-QUERIES = (trio_statistics, pedigree_statistics, pedigree_call_filtered, pedigree_genotypes, dnm_trio_snp_xd, dnm_trio_snp_found, dnm_counters, dnm_members, cigar_lengths, cigar_positions, aligned_bases, region_text, file_types, sex_and_inheritance, newick_trees, pedigree_rows, pedigree_models, site_tests, phred_family, substitutions, i16_fields, clean_alts, split_depths, kept_reads, genotype_texts, sample_distances, two_of_four, vcf_depths, bed_rows, mutation_rows, reference_sites)
+QUERIES = (trio_statistics, pedigree_statistics, pedigree_call_filtered, pedigree_genotypes, pedigree_three_generations, tree_score, tree_placements, dnm_trio_snp_xd, dnm_trio_snp_found, dnm_counters, dnm_members, cigar_lengths, cigar_positions, aligned_bases, region_text, file_types, sex_and_inheritance, newick_trees, pedigree_rows, pedigree_models, site_tests, phred_family, substitutions, i16_fields, clean_alts, split_depths, kept_reads, genotype_texts, sample_distances, two_of_four, vcf_depths, bed_rows, mutation_rows, reference_sites)
 
 
 def oracle_sql(with_f: str, reads: str, depths: str) -> dict[str, str]:
@@ -297,6 +321,9 @@ def oracle_sql(with_f: str, reads: str, depths: str) -> dict[str, str]:
         "pedigree_statistics": stats,
         "pedigree_call_filtered": trio + " SELECT site, dp, true AS denovo FROM t WHERE qual >= 0.5 AND mutq >= 0.5",
         "pedigree_genotypes": trio + f", {best('dad', 'd')}, {best('mom', 'm')}, {best('child', 'c')} SELECT bd.site, " + ", ".join(f"{gt.format(f'b{c}.top')} AS {w}_gt, round(b{c}.share, 4) AS {w}_gp" for w, c in (("dad", "d"), ("child", "c"), ("mom", "m"))) + " FROM bd JOIN bm ON bm.site = bd.site JOIN bc ON bc.site = bd.site",
+        "pedigree_three_generations": O.trio(reads, depths, generations=3) + " SELECT site, round(mutq, 3) AS mutq, round(lld, 4) AS lld, round(llh, 4) AS llh, round(dnp, 5) AS dnp, round(mutx, 5) AS mutx FROM t",
+        "tree_score": O.tree(depths, reads, "SELECT 0 AS tree, round(sum(-10 * log10(none + one)), 3) AS score FROM t"),
+        "tree_placements": O.tree(depths, reads, "SELECT CAST(site AS INT) AS pos, round(none / every, 5) AS null_p, round(one / every, 5) AS mut_p FROM t"),
         "dnm_trio_snp_xd": O.snp("XD"),
         "dnm_trio_snp_found": O.snp("auto", 1e-4),
         "dnm_counters": "SELECT count(*) AS interrogated, CAST(sum(CASE WHEN vec_id % 17 >= 10 AND vec_id % 23 >= 10 AND vec_id % 31 >= 10 THEN 1 ELSE 0 END) AS BIGINT) AS passing FROM embeddings",

@@ -41,19 +41,55 @@ def likelihoods(with_f: str, depths: str, ploidy: int) -> str:
     return f"{with_f}, {CONSTANTS}, d AS ({depths}), l AS (SELECT site, {_reads('child', ploidy == 1)} FROM d, c) SELECT site, " + ", ".join(f"round(child{i}, 5) AS ll{i}" for i in range(3 if ploidy == 2 else 2)) + " FROM l"
 
 
-def trio(reads: str, depths: str, x_linked: bool = False) -> str:
+_KINDS = (("p_all", (("p_all", "p_all"),)), ("p_none", (("p_none", "p_none"),)), ("p_one", (("p_one", "p_none"), ("p_none", "p_one"))), ("p_mean", (("p_mean", "p_all"), ("p_all", "p_mean"))))
+
+
+def _grandchildren() -> str:
+    """Weights of (grandfather, mother, child), the grandmother and the father summed over."""
+    older = ", ".join(f"sum(x.p * {k}) AS {k}" for k, _ in _KINDS)
+    both = ", ".join(f"sum(fd.p * fm.p * ({' + '.join(f'o.{a} * y.{b}' for a, b in terms)})) AS {k}" for k, terms in _KINDS)
+    return f"""older AS (SELECT p.d AS g, p.c AS f, {older} FROM pairs p JOIN founder x ON x.g = p.m GROUP BY 1, 2),
+three AS (SELECT o.g AS d, y.m AS m, y.c AS c, {both} FROM older o JOIN pairs y ON y.d = o.f JOIN founder fd ON fd.g = o.g JOIN founder fm ON fm.g = y.m GROUP BY 1, 2, 3)"""
+
+
+def tree(depths: str, reads: str, told: str, mu: float = 20.0, het: float = 30.0) -> str:
+    """Of the three libraries as leaves of ((dad, child), mom): `t` with the chances none, one and every of no, one and any mutations. told: what is selected."""
+    u = f"pow(10, -{mu} / 10)"
+    v = f"(1 - {u})"
+    m = [[f"{v} * {v}", f"2 * {u} * {v}", f"{u} * {u}"], [f"{v} * {u}", f"({u} * {u} + {v} * {v})", f"{v} * {u}"], [f"{u} * {u}", f"2 * {u} * {v}", f"{v} * {v}"]]
+    p = lambda w: [f"pow(10, -2 * {w}_alt)", f"pow(10, -0.3 * ({w}_ref + {w}_alt))", f"pow(10, -2 * {w}_ref)"]
+    x, y, z = (f"x{k}" for k in range(3)), (f"y{k}" for k in range(3)), (f"z{k}" for k in range(3))
+    x, y, z = list(x), list(y), list(z)
+    prior = [f"1 / (2 + pow(10, -{het} / 10))", f"pow(10, -{het} / 10) / (2 + pow(10, -{het} / 10))", f"1 / (2 + pow(10, -{het} / 10))"]
+    up = lambda leaf, g: "(" + " + ".join(f"{m[k][g]} * {leaf[k]}" for k in range(3)) + ")"
+    turned = lambda leaf, g: "(" + " + ".join(f"{m[k][g]} * {leaf[k]}" for k in range(3) if k != g) + ")"
+    stay = lambda g, n: " * ".join([m[g][g]] * n)
+    none = " + ".join(f"{prior[g]} * {stay(g, 4)} * {x[g]} * {y[g]} * {z[g]}" for g in range(3))
+    one = " + ".join(
+        f"{prior[g]} * ({stay(g, 3)} * ({turned(x, g)} * {y[g]} * {z[g]} + {x[g]} * {turned(y, g)} * {z[g]} + {x[g]} * {y[g]} * {turned(z, g)}) + "
+        + f"{stay(g, 1)} * {z[g]} * (" + " + ".join(f"{m[a][g]} * {stay(a, 2)} * {x[a]} * {y[a]}" for a in range(3) if a != g) + "))"
+        for g in range(3)
+    )
+    every = " + ".join(f"{prior[g]} * {up(z, g)} * (" + " + ".join(f"{m[a][g]} * {up(x, a)} * {up(y, a)}" for a in range(3)) + ")" for g in range(3))
+    leaves = ", ".join(f"{e} AS {n}" for w, names in (("dad", x), ("child", y), ("mom", z)) for e, n in zip(p(w), names, strict=True))
+    return f"WITH {reads}, d AS ({depths}), l AS (SELECT site, {leaves} FROM d), t AS (SELECT site, {none} AS none, {one} AS one, {every} AS every FROM l) {told}"
+
+
+def trio(reads: str, depths: str, x_linked: bool = False, generations: int = 2) -> str:
     """`z`: a row a site and genotypes; `t`: a row a site with qual, mutq, mutx, lld, lls, llh, dnp, dp. reads: a CTE of filtered reads, f; depths: of the three libraries."""
     n = {"dad": 2 if x_linked else 3, "child": 3, "mom": 3}
     top = {w: f"greatest({', '.join(f'{w}{i}' for i in range(k))})" for w, k in n.items()}
     pick = lambda w, g: f"CASE {g} {' '.join(f'WHEN {i} THEN {w}{i}' for i in range(n[w]))} END - {top[w]}"
     model = MODEL + ",\n" + _children("(SELECT i AS g, j, p_all, p_none, p_one, p_mean FROM step)" if x_linked else "gamete", "hemi" if x_linked else "founder")
+    if generations == 3:
+        model += ",\n" + _grandchildren()
     xlog = lambda x: f"CASE WHEN {x} > 0 THEN ({x}) * log10({x}) ELSE 0 END"
     ref, alt = ("(" + " + ".join(f"{w}_{k}" for w in n) + ")" for k in ("ref", "alt"))
     # One allele only, if no read had another
     alone = "(SELECT h.p * f.p * s.p_all * s.p_all FROM hemi h, founder f, step s WHERE h.g = 0 AND f.g = 0 AND s.i = 0 AND s.j = 0)" if x_linked else "(SELECT f.p * f.p * s.p_all * s.p_all FROM founder f, step s WHERE f.g = 0 AND s.i = 0 AND s.j = 0)"
     return f"""WITH {reads}, {model}, d AS ({depths}),
 l AS (SELECT d.*, {', '.join(_reads(w, k == 2) for w, k in n.items())} FROM d, c),
-z AS (SELECT l.*, w.*, exp({pick('dad', 'w.d')} + {pick('mom', 'w.m')} + {pick('child', 'w.c')}) AS ex, {' + '.join(top.values())} AS tops FROM l, w),
+z AS (SELECT l.*, w.*, exp({pick('dad', 'w.d')} + {pick('mom', 'w.m')} + {pick('child', 'w.c')}) AS ex, {' + '.join(top.values())} AS tops FROM l, {'three' if generations == 3 else 'w'} w),
 s AS (SELECT site, any_value({ref}) AS r, any_value({alt}) AS v, sum(w.p_all * ex) AS p, sum(w.p_none * ex) AS p0, sum(w.p_one * ex) AS p1, sum(w.p_mean * ex) AS pm, any_value(tops) AS top,
     sum(CASE WHEN w.d = 0 AND w.m = 0 AND w.c = 0 THEN ex END) AS mono
   FROM z w GROUP BY site),

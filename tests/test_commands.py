@@ -97,3 +97,22 @@ def test_text_rows(spark, files):
     assert denovo.text_rows(out["indel"], "indel").first()["line"].startswith("DENOVO-INDEL CHILD_ID: K chr: 1 pos: 20 ref: G alt: GA")
     numbers = spark.createDataFrame([(1.0,), (0.5,), (1e-10,), (1.25e-7,), (123456789.0,), (0.0,)], "x double").select(denovo._short(denovo.F.col("x")).alias("t"))
     assert [r["t"] for r in numbers.collect()] == ["1", "0.5", "1e-10", "1.25e-07", "1.23457e+08", "0"]
+
+
+def test_shell(spark, files, capsys):
+    from kinfold import __main__ as shell
+
+    at = files(a_vcf=SITES, a_ped=PED, t_ped="f K D M\n", o_txt="# options\nmin-qual = 0.6\nmu=1e-8\n", r_txt="1:7", b_bed="1\t6\t7\n")
+    shell.run(spark, ["call", "--ped", at("a.ped"), "--contigs", "1=100", "--arg-file", at("o.txt"), at("a.vcf")])
+    out = capsys.readouterr().out.splitlines()
+    assert out[0] == "##fileformat=VCFv4.2" and [x.split("\t")[1] for x in out if not x.startswith("#")] == ["7"]
+    for region in ("1:7", "@" + at("r.txt"), "@" + at("b.bed")):
+        shell.run(spark, ["loglike", "--ped", at("a.ped"), "--contigs", "1=100", "--region", region, at("a.vcf")])
+        told = dict(x.split("\t") for x in capsys.readouterr().out.splitlines())
+        assert float(told["log_likelihood"]) == pytest.approx(-22.6485, rel=1e-5) and set(told) == {"log_likelihood", "log_hidden", "log_observed"}
+    shell.run(spark, ["dnm", at("a.vcf"), at("t.ped")])
+    assert [x.split()[0] for x in capsys.readouterr().out.splitlines()] == ["DENOVO-SNP", "DENOVO-INDEL"]
+    with pytest.raises(ValueError):
+        shell.arguments(["call", "--ped", "x", "--arg-file", at("r.txt"), "a.vcf"])
+    task, own = shell.arguments(["call", "--ped", "x", "--theta", "0.01", "--min-mapqual", "3", "--all", "a.sam", "b.sam"])
+    assert own["p"].theta == 0.01 and own["least_mapq"] == 3 and own["everything"] is True and own["paths"] == ["a.sam", "b.sam"]

@@ -53,3 +53,21 @@ def test_entry_imports():
     import __spark_entry__ as entry
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_merge_in_bins(spark):
+    import random
+
+    from kinfold.operators import regions
+
+    rnd = random.Random(3)
+    rows = [(c, b, b + rnd.choice((1, 3, 5, 400))) for c in "xy" for b in (rnd.randrange(3000) for _ in range(150))]
+    want = []
+    for c, b, e in sorted(rows):
+        if want and want[-1][0] == c and b <= want[-1][2]:
+            want[-1][2] = max(want[-1][2], e)
+        else:
+            want.append([c, b, e])
+    df = spark.createDataFrame(rows, "contig string, beg long, end long")
+    for width in (7, 100, 1 << 20):
+        assert sorted(map(list, regions.merge(df, width).collect())) == want
