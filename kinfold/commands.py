@@ -95,8 +95,11 @@ def loglike(spark: SparkSession, paths: list[str], ped: str, inheritance: str =
     return pedigree_calling.log_likelihood(sites, _graph(spark, ped, libraries, inheritance, mu, mu_somatic, mu_library), [lib for lib, _ in libraries], p)
 
 
-def dnm(spark: SparkSession, vcf: str, ped: str, model: str = "auto", snp_rate: float = 1e-8, indel_rate: float = 1e-9, pair_rate: float = 1e-9, poly: float = 1e-3, scale: float = 1.0, least_depth: int = 10, cutoff: float = 1e-4) -> dict[str, DataFrame]:
-    """{"snp", "indel", "pair"}: calls by lookup tables; pairs only with model auto. Depths are DP, or I16 shared out."""
+def dnm(spark: SparkSession, vcf: str, ped: str, model: str = "auto", snp_rate: float = 1e-8, indel_rate: float = 1e-9, pair_rate: float = 1e-9, poly: float = 1e-3, scale: float = 1.0, least_depth: int = 10, cutoff: float = 1e-4, output: str | None = None, contigs: dict[str, int] | None = None) -> dict[str, DataFrame]:
+    """{"snp", "indel", "pair"}: calls by lookup tables; pairs only with model auto. Depths are DP, or I16 shared out.
+
+    With output (x.vcf or x.vcf.gz) and contigs (in order, with lengths) the calls of trios are also written as VCF.
+    """
     samples = variants.vcf_samples(spark, vcf)
     rows = variants.read_vcf(spark, vcf).where(F.size("alts") > 0)
     i16 = variants.info_ints("I16")
@@ -116,6 +119,10 @@ def dnm(spark: SparkSession, vcf: str, ped: str, model: str = "auto", snp_rate:
     if trios.take(1):
         out["snp"] = denovo.trio_snps(denovo.trio_members(snps, trios), model, snp_rate, poly, least_depth, cutoff)
         out["indel"] = denovo.trio_indels(denovo.trio_members(indels, trios), model, indel_rate, scale, least_depth, cutoff)
+        if output is not None:
+            children = sorted({r["child"] for r in trios.collect()})
+            lines = denovo.vcf_lines(out["snp"], children).unionByName(denovo.vcf_lines(out["indel"], children))
+            variants.write_vcf(lines, denovo.vcf_header(children, contigs or {}), output, list(contigs or {}))
     listed = [(r["tumor"], r["normal"]) for r in pairs.collect()] if model == "auto" else []
     if listed:
         each = snps.withColumn("pair", F.explode(F.array(*(F.struct(F.lit(t).alias("tumor"), F.lit(n).alias("normal")) for t, n in listed))))

@@ -217,3 +217,24 @@ def text_rows(calls: DataFrame, kind: str) -> DataFrame:
         cells += [F.lit(f" READ_DEPTH {m}: " if i == 0 else f" {m}: "), word(f"{m}_dp")]
     cells += [F.lit(" null_snpcode: "), word("null_code"), F.lit(" dnm_snpcode: "), word("dnm_code")] if kind == "pair" else []
     return calls.withColumn("line", F.concat(*cells))
+
+
+_FIELDS = (("NULL_CONFIG(child/mom/dad)", "String", "null_gt"), ("PP_NULL", "Float", "pp_null"), ("ML_NULL", "Float", "null_like"), ("DNM_CONFIG(child/mom/dad)", "String", "dnm_gt"), ("PP_DNM", "Float", "pp_dnm"), ("ML_DNM", "Float", "dnm_like"), ("RD", "Integer", "child_dp"))
+
+
+def vcf_header(children: list[str], contigs: dict[str, int]) -> list[str]:
+    """Of calls of trios, a column for each child."""
+    out = ["##fileformat=VCFv4.2"]
+    out += [f'##INFO=<ID={k},Number=1,Type=Integer,Description="{text}">' for k, text in (("RD_MOM", "Read depth of the mother"), ("RD_DAD", "Read depth of the father"), ("code", "Code of the likeliest configuration without a mutation"))]
+    out += [f'##FORMAT=<ID={name},Number=1,Type={kind},Description="Of the child or its trio">' for name, kind, _ in _FIELDS]
+    out += [f"##contig=<ID={c},length={n}>" for c, n in contigs.items()]
+    return [*out, "\t".join(["#CHROM", "POS", "ID", "REF", "ALT", "QUAL", "FILTER", "INFO", "FORMAT", *children])]
+
+
+def vcf_lines(calls: DataFrame, children: list[str]) -> DataFrame:
+    """(contig, pos, line) of calls of trios (with contig, pos, ref, alt, child): a record each, in which the other children's cells are missing."""
+    cell = F.concat_ws(":", *(F.coalesce(_short(F.col(c).cast("double")) if kind != "String" else F.col(c), F.lit(".")) for _, kind, c in _FIELDS))
+    info = F.concat_ws(";", *(F.concat(F.lit(f"{k}="), F.col(c).cast("string")) for k, c in (("RD_MOM", "mom_dp"), ("RD_DAD", "dad_dp"), ("code", "null_code"))))
+    cells = [F.when(F.col("child") == c, cell).otherwise(F.lit(".")) for c in children]
+    line = F.concat_ws("\t", "contig", F.col("pos").cast("string"), F.lit("."), "ref", clean_alt(F.col("alt")), F.lit("0"), F.lit("PASS"), info, F.lit(":".join(f[0] for f in _FIELDS)), *cells)
+    return calls.select("contig", F.col("pos").cast("int").alias("pos"), line.alias("line"))

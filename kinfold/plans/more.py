@@ -280,6 +280,30 @@ def vcf_depths(spark, folder):
     return read.select("pos", "ref", F.array_join("alts", ",").alias("alt"), "qual", F.get(variants.info_ints("DP"), F.lit(0)).alias("dp"), F.get(variants.info_ints("DP"), F.lit(1)).alias("dp2"), *(cell(i, j) for i in range(2) for j in range(2)))
 
 
+def _variant_file(spark, folder, m: int) -> DataFrame:
+    """Records of every m-th place, written and read again."""
+    k = F.col("k")
+    gt = F.element_at(F.array(*map(F.lit, ("0/1", "1|0", "./.", "0"))), (k % 4 + 1).cast("int"))
+    line = F.concat_ws("\t", F.lit("1"), k.cast("string"), F.lit("."), F.lit("G"), F.when(k % 15 == 0, "GA").when(k % m == 0, "T").otherwise("C"), F.lit("."), F.lit("."), F.concat(F.lit("AF=0."), (k % 9).cast("string")), F.lit("GT:GQ"), F.concat(gt, F.lit(":"), (k % 7).cast("string"), F.lit(".5")))
+    head = spark.createDataFrame([("#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\ta",)], "value string")
+    return variants.read_vcf(spark, _written(head.union(_part(spark, folder).where(k % m < 2).select(line)), _place(spark) + ".vcf"))
+
+
+def vcf_getters(spark, folder):
+    first = F.get(variants.genotypes(), F.lit(0))
+    return _variant_file(spark, folder, 3).select("pos", F.get(variants.info_numbers("AF"), F.lit(0)).alias("af"), F.get(F.get(variants.format_numbers("GQ"), F.lit(0)), F.lit(0)).alias("gq"), F.array_join(first["alleles"].cast("array<string>"), ",", "?").alias("gt"), first["phased"].alias("phased"))
+
+
+def _in_step(collapse: str):
+    def query(spark, folder):
+        both = variants.in_step([_variant_file(spark, folder, 3), _variant_file(spark, folder, 5)], collapse)
+        alt = lambda i: F.coalesce(F.element_at(F.col(f"f{i}.alts"), 1), F.lit("-")).alias(f"alt{i}")
+        return both.select("pos", alt(0), alt(1))
+
+    query.__name__ = f"vcf_in_step_{collapse}"
+    return query
+
+
 def bed_rows(spark, folder):
     r = views.ranges(spark, folder)
     lines = r.select(F.concat_ws("\t", F.concat(F.lit("c"), "contig"), "beg", "end", F.lit("name")))
@@ -301,7 +325,7 @@ def reference_sites(spark, folder):
     return tables.reference_bases(sites, tables.read_fasta(spark, path, 4096), 4096).select("k", "pos", "ref_base")
 
 
-QUERIES = (trio_statistics, pedigree_statistics, pedigree_call_filtered, pedigree_genotypes, pedigree_three_generations, tree_score, tree_placements, dnm_trio_snp_xd, dnm_trio_snp_found, dnm_counters, dnm_members, cigar_lengths, cigar_positions, aligned_bases, region_text, file_types, sex_and_inheritance, newick_trees, pedigree_rows, pedigree_models, site_tests, phred_family, substitutions, i16_fields, clean_alts, split_depths, kept_reads, genotype_texts, sample_distances, two_of_four, vcf_depths, bed_rows, mutation_rows, reference_sites)
+QUERIES = (trio_statistics, pedigree_statistics, pedigree_call_filtered, pedigree_genotypes, pedigree_three_generations, tree_score, tree_placements, dnm_trio_snp_xd, dnm_trio_snp_found, dnm_counters, dnm_members, cigar_lengths, cigar_positions, aligned_bases, region_text, file_types, sex_and_inheritance, newick_trees, pedigree_rows, pedigree_models, site_tests, phred_family, substitutions, i16_fields, clean_alts, split_depths, kept_reads, genotype_texts, sample_distances, two_of_four, vcf_depths, vcf_getters, *map(_in_step, variants.COLLAPSE), bed_rows, mutation_rows, reference_sites)
 
 
 def oracle_sql(with_f: str, reads: str, depths: str) -> dict[str, str]:
@@ -313,6 +337,8 @@ def oracle_sql(with_f: str, reads: str, depths: str) -> dict[str, str]:
     lf = lambda x: f"lgamma({x} + 1)"
     weight = lambda x: f"-({lf(x)} + {lf(f'r1 - {x}')} + {lf(f'c1 - {x}')} + {lf(f'r2 - c1 + {x}')})"
     pick = lambda texts, m, k="p_partkey": f"[{', '.join(repr(x) for x in texts)}][CAST({k} % {m} + 1 AS INT)]"
+    one = lambda m: f"SELECT CAST(p_partkey AS INT) AS pos, CASE WHEN p_partkey % 15 = 0 THEN 'GA' WHEN p_partkey % {m} = 0 THEN 'T' ELSE 'C' END AS alt FROM part WHERE p_partkey % {m} < 2"
+    step = f"WITH a AS ({one(3)}), b AS ({one(5)}) SELECT coalesce(a.pos, b.pos) AS pos, coalesce(a.alt, '-') AS alt0, coalesce(b.alt, '-') AS alt1 FROM a FULL JOIN b ON a.pos = b.pos AND {{}}"
     pl = lambda w: f"[pow(10, -2 * {w}_alt), pow(10, -0.3 * ({w}_ref + {w}_alt)), pow(10, -2 * {w}_ref)]"
     near = lambda x, y: f"sum(1 - list_dot_product({x}, {y}) / (list_sum({x}) * list_sum({y})))"
     at = lambda x, y: f"CAST((greatest({x}, {y}) * (greatest({x}, {y}) + 1) // 2 + least({x}, {y})) AS BIGINT)"
@@ -355,6 +381,8 @@ def oracle_sql(with_f: str, reads: str, depths: str) -> dict[str, str]:
         "sample_distances": f"WITH {reads}, d AS ({depths}), v AS (SELECT {pl('dad')} AS v0, {pl('child')} AS v1, {pl('mom')} AS v2 FROM d) SELECT a, b, round(distance, 4) AS distance FROM (SELECT 1 AS a, 0 AS b, {near('v1', 'v0')} AS distance FROM v UNION ALL SELECT 2, 0, {near('v2', 'v0')} FROM v UNION ALL SELECT 2, 1, {near('v2', 'v1')} FROM v)",
         "two_of_four": f"SELECT k, {', '.join(f'CAST(k * ({at(x, y)} + 3) % 89 AS INT) AS pl{i}' for i, (x, y) in enumerate((('x', 'x'), ('x', 'y'), ('y', 'y'))))} FROM (SELECT p_partkey AS k, p_partkey % 4 AS x, (p_partkey + 1 + p_partkey % 3) % 4 AS y FROM part)",
         "vcf_depths": "SELECT CAST(p_partkey AS INT) AS pos, 'G' AS ref, 't' AS alt, 9.5::DOUBLE AS qual, CAST(p_partkey % 77 AS INT) AS dp, CAST(NULL AS INT) AS dp2, " + ", ".join(f"CAST(CASE WHEN p_partkey % {m} = 0 THEN 0 ELSE p_partkey % {m + j} END AS INT) AS ad{i}{j // 2}" for i, m in enumerate((5, 9)) for j in (0, 2)) + " FROM part WHERE p_partkey % 10 NOT IN (3, 7)",
+        "vcf_getters": f"SELECT CAST(p_partkey AS INT) AS pos, CAST(p_partkey % 9 AS DOUBLE) / 10 AS af, CAST(p_partkey % 7 + 0.5 AS DOUBLE) AS gq, {pick(('0,1', '1,0', '?,?', '0'), 4)} AS gt, p_partkey % 4 = 1 AS phased FROM part WHERE p_partkey % 3 < 2",
+        **{f"vcf_in_step_{c}": step.format(join) for c, join in (("none", "a.alt = b.alt"), ("any", "true"), ("snps", "(a.alt = b.alt OR a.alt <> 'GA' AND b.alt <> 'GA')"), ("indels", "a.alt = b.alt"), ("both", "(a.alt = 'GA') = (b.alt = 'GA')"))},
         "bed_rows": g + ' SELECT \'c\' || contig AS contig, beg, "end" FROM g',
         "mutation_rows": "SELECT '1' AS contig, p_partkey AS pos, 'A' AS inherited, CASE WHEN p_partkey % 2 = 0 THEN 'C' ELSE 'T' END AS variant FROM part",
         "reference_sites": "SELECT k, pos, CASE WHEN pos > 20000 THEN 'N' ELSE 'ACGTTGCAACGTACGTTGCA'[CAST((pos - 1) % 20 + 1 AS INT)] END AS ref_base FROM (SELECT p_partkey AS k, p_partkey * 37 % 21000 + 1 AS pos FROM part)",

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import file_type
@@ -63,6 +63,51 @@ def info_ints(name: str) -> Column:
     return F.when(F.map_contains_key("info", name), _ints(F.try_element_at("info", F.lit(name))))
 
 
+def format_numbers(name: str) -> Column:
+    """The same as doubles, so that fields of either type are read."""
+    at = F.array_position("format", name).cast("int")
+    return F.when(at > 0, F.transform("cells", lambda c: F.transform(F.split(F.coalesce(F.get(c, at - 1), F.lit(".")), ","), lambda v: v.try_cast("double"))))
+
+
+def info_numbers(name: str) -> Column:
+    return F.when(F.map_contains_key("info", name), F.transform(F.split(F.try_element_at("info", F.lit(name)), ","), lambda v: v.try_cast("double")))
+
+
+def genotypes() -> Column:
+    """Of each sample its alleles (null: missing) and if they are phased; null for the whole row without GT."""
+    at = F.array_position("format", "GT").cast("int")
+    told = lambda c: F.coalesce(F.get(c, at - 1), F.lit("."))
+    return F.when(at > 0, F.transform("cells", lambda c: F.struct(F.transform(F.split(told(c), "[/|]"), lambda v: v.try_cast("int")).alias("alleles"), F.contains(told(c), F.lit("|")).alias("phased"))))
+
+
+#: What makes records of several files one, beside their place.
+COLLAPSE = ("none", "snps", "indels", "both", "any")
+
+
+def in_step(files: list[DataFrame], collapse: str = "none") -> DataFrame:
+    """Records of several files of `read_vcf` side by side: contig, pos, and for each file a struct f0, f1, ... or null.
+
+    collapse: none joins records of the same alleles; snps, indels, both also records that are all SNPs, all indels, or of either
+    kind; any joins whatever is at a place. A file's records that are the same in this are numbered, and joined one by one in their alleles' order.
+    """
+    if collapse not in COLLAPSE:
+        raise ValueError(f"records can't be joined by '{collapse}'")
+    if not files:
+        raise ValueError("no file")
+    out = None
+    for i, df in enumerate(files):
+        own = F.concat_ws(",", "alleles")
+        snp = F.forall("alleles", lambda a: F.length(a) == 1)
+        key = {"none": own, "any": F.lit("")}.get(collapse)
+        if key is None:
+            key = F.when(snp & F.lit(collapse in ("snps", "both")), F.lit("snp")).when(~snp & F.lit(collapse in ("indels", "both")), F.lit("indel")).otherwise(own)
+        order = Window.partitionBy("contig", "pos", "key").orderBy(F.concat_ws(",", "alleles"))
+        rows = df.withColumn("key", key).withColumn("nth", F.row_number().over(order))
+        rows = rows.select("contig", "pos", "key", "nth", F.struct(*(c for c in df.columns if c not in ("contig", "pos"))).alias(f"f{i}"))
+        out = rows if out is None else out.join(rows, ["contig", "pos", "key", "nth"], "full_outer")
+    return out.drop("key", "nth")
+
+
 def is_snp_or_reference() -> Column:
     """All alleles are one base (or stand for any); mixtures with indels don't count."""
     one = lambda a: (F.length(a) == 1) | a.isin("<*>", "<X>", "<NON_REF>")

@@ -116,3 +116,19 @@ def test_shell(spark, files, capsys):
         shell.arguments(["call", "--ped", "x", "--arg-file", at("r.txt"), "a.vcf"])
     task, own = shell.arguments(["call", "--ped", "x", "--theta", "0.01", "--min-mapqual", "3", "--all", "a.sam", "b.sam"])
     assert own["p"].theta == 0.01 and own["least_mapq"] == 3 and own["everything"] is True and own["paths"] == ["a.sam", "b.sam"]
+
+
+def test_dnm_as_vcf(spark, files):
+    from kinfold.sources import variants
+
+    at = files(a_vcf=SITES, a_ped="f K D M\nf D K M\n")
+    commands.dnm(spark, at("a.vcf"), at("a.ped"), output=at("o.vcf"), contigs={"1": 100})
+    lines = [r["value"].split("\t") for r in spark.read.text(at("o.vcf")).collect()]
+    head = next(x for x in lines if x[0] == "#CHROM")
+    rows = [x for x in lines if not x[0].startswith("#")]
+    assert head[9:] == ["D", "K"] and [(x[1], x[3], x[4], x[6], x[9]) for x in rows if x[10] != "."] == [("7", "G", "T", "PASS", "."), ("20", "G", "GA", "PASS", ".")]
+    cells = dict(zip(rows[0][8].split(":"), next(x for x in rows if x[1] == "7" and x[10] != ".")[10].split(":")))
+    assert cells["DNM_CONFIG(child/mom/dad)"] == "GT/GG/GG" and cells["RD"] == "35" and 0.9 < float(cells["PP_DNM"]) <= 1
+    assert variants.read_vcf(spark, at("o.vcf")).count() == len(rows)
+    with pytest.raises(ValueError):
+        variants.in_step([], "none")
