@@ -311,6 +311,16 @@ def bed_rows(spark, folder):
     return tables.read_bed(spark, path)
 
 
+def genotype_call_rows(spark, folder):
+    """Calls of genotypes along a lineage, written and read again."""
+    k = F.col("k")
+    text = lambda x: x.cast("string")
+    line = F.concat_ws("\t", F.lit("c1"), text(k), F.lit("A"), F.lit("0.25"), F.concat(F.lit("1e-0"), text(k % 9)), F.lit("RR"), F.lit("0.5"), F.lit("RR"), F.lit("RA"), F.lit("0.125"), text(k % 4), F.concat(F.lit("s"), text(k % 3), F.lit(",s9")))
+    head = spark.createDataFrame([("\t".join(x.split()[0] for x in tables.GENOTYPE_CALLS.split(", ")),)], "value string")
+    read = tables.read_genotype_calls(spark, _written(head.union(_part(spark, folder).select(line)), _place(spark) + ".txt"))
+    return read.select("contig", "pos", F.round(-F.log10("mut_p"), 6).alias("mut_q"), "null_base", "mut_alt", "mut_loc", "mut_smpl")
+
+
 def mutation_rows(spark, folder):
     k = F.col("k")
     path = _written(_part(spark, folder).select(F.concat_ws("\t", F.lit("1"), k, F.lit("A"), F.when(k % 2 == 0, "C").otherwise("T"))), _place(spark) + ".txt")
@@ -325,7 +335,7 @@ def reference_sites(spark, folder):
     return tables.reference_bases(sites, tables.read_fasta(spark, path, 4096), 4096).select("k", "pos", "ref_base")
 
 
-QUERIES = (trio_statistics, pedigree_statistics, pedigree_call_filtered, pedigree_genotypes, pedigree_three_generations, tree_score, tree_placements, dnm_trio_snp_xd, dnm_trio_snp_found, dnm_counters, dnm_members, cigar_lengths, cigar_positions, aligned_bases, region_text, file_types, sex_and_inheritance, newick_trees, pedigree_rows, pedigree_models, site_tests, phred_family, substitutions, i16_fields, clean_alts, split_depths, kept_reads, genotype_texts, sample_distances, two_of_four, vcf_depths, vcf_getters, *map(_in_step, variants.COLLAPSE), bed_rows, mutation_rows, reference_sites)
+QUERIES = (trio_statistics, pedigree_statistics, pedigree_call_filtered, pedigree_genotypes, pedigree_three_generations, tree_score, tree_placements, dnm_trio_snp_xd, dnm_trio_snp_found, dnm_counters, dnm_members, cigar_lengths, cigar_positions, aligned_bases, region_text, file_types, sex_and_inheritance, newick_trees, pedigree_rows, pedigree_models, site_tests, phred_family, substitutions, i16_fields, clean_alts, split_depths, kept_reads, genotype_texts, sample_distances, two_of_four, vcf_depths, vcf_getters, *map(_in_step, variants.COLLAPSE), bed_rows, genotype_call_rows, mutation_rows, reference_sites)
 
 
 def oracle_sql(with_f: str, reads: str, depths: str) -> dict[str, str]:
@@ -384,6 +394,7 @@ def oracle_sql(with_f: str, reads: str, depths: str) -> dict[str, str]:
         "vcf_getters": f"SELECT CAST(p_partkey AS INT) AS pos, CAST(p_partkey % 9 AS DOUBLE) / 10 AS af, CAST(p_partkey % 7 + 0.5 AS DOUBLE) AS gq, {pick(('0,1', '1,0', '?,?', '0'), 4)} AS gt, p_partkey % 4 = 1 AS phased FROM part WHERE p_partkey % 3 < 2",
         **{f"vcf_in_step_{c}": step.format(join) for c, join in (("none", "a.alt = b.alt"), ("any", "true"), ("snps", "(a.alt = b.alt OR a.alt <> 'GA' AND b.alt <> 'GA')"), ("indels", "a.alt = b.alt"), ("both", "(a.alt = 'GA') = (b.alt = 'GA')"))},
         "bed_rows": g + ' SELECT \'c\' || contig AS contig, beg, "end" FROM g',
+        "genotype_call_rows": "SELECT 'c1' AS contig, CAST(p_partkey AS INT) AS pos, CAST(p_partkey % 9 AS DOUBLE) AS mut_q, 'RR' AS null_base, 'RA' AS mut_alt, CAST(p_partkey % 4 AS INT) AS mut_loc, 's' || p_partkey % 3 || ',s9' AS mut_smpl FROM part",
         "mutation_rows": "SELECT '1' AS contig, p_partkey AS pos, 'A' AS inherited, CASE WHEN p_partkey % 2 = 0 THEN 'C' ELSE 'T' END AS variant FROM part",
         "reference_sites": "SELECT k, pos, CASE WHEN pos > 20000 THEN 'N' ELSE 'ACGTTGCAACGTACGTTGCA'[CAST((pos - 1) % 20 + 1 AS INT)] END AS ref_base FROM (SELECT p_partkey AS k, p_partkey * 37 % 21000 + 1 AS pos FROM part)",
         "pedigree_models": "SELECT * FROM (VALUES (0, 'autosomal', 2, 2, 3), (1, 'x-linked', 2, 2, 3), (2, 'y-linked', 1, 1, 1), (3, 'maternal', 2, 1, 3), (4, 'paternal', 2, 1, 3)) v(k, model, roots, ploidy, libraries)",

@@ -42,6 +42,23 @@ def read_phasing_sites(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.csv(path, sep="\t", schema="contig string, pos long, gt_child string, gt_p1 string, gt_p2 string")
 
 
+#: Columns of genotype calls along a lineage, as `commands.genotype` makes them.
+GENOTYPE_CALLS = "contig string, pos int, ref string, null_p double, mut_p double, null_base string, null_base_p double, mut_base string, mut_alt string, mut_conf_p double, mut_loc int, mut_smpl string"
+
+
+def read_genotype_calls(spark: SparkSession, path: str) -> DataFrame:
+    """Rows of twelve columns between blanks or tabs, below one line of names; a number that isn't one fails."""
+    c = spark.read.text(path).select(F.split(F.trim("value"), "\\s+").alias("c"), F.col("value").startswith("contig").alias("names") | F.col("value").startswith("chrom"))
+    rows = c.where(~F.coalesce(F.col(c.columns[1]), F.lit(False))).where(F.size("c") >= 12)
+    return rows.select(*(F.get("c", F.lit(i)).cast(x.split()[1]).alias(x.split()[0]) for i, x in enumerate(GENOTYPE_CALLS.split(", "))))
+
+
+def read_labels(spark: SparkSession, path: str) -> dict[str, str]:
+    """New names of samples: of rows `old<tab>new`, or of one column by the rows' numbers from 0. The file is as small as its samples are few."""
+    rows = [r["value"].rstrip().split("\t") for r in spark.read.text(path, wholetext=True).select(F.explode(F.split(F.regexp_replace("value", "\n$", ""), "\n")).alias("value")).collect()]
+    return {(c[0] if len(c) > 1 else str(i)): c[1] if len(c) > 1 else c[0] for i, c in enumerate(rows)}
+
+
 def _fasta_lines(batches):
     """(path, start of the split, line) of record batches in their order."""
     for batch in batches:

@@ -146,3 +146,38 @@ def test_tables(spark, tmp_path):
     assert [m.name for m in tables.read_pedigree(spark, str(tmp_path / "x.ped"))] == ["M", "D", "K"]
     g = spark.createDataFrame([("0|1:3",), ("1/1",), (".",)], "gt string")
     assert [r[0] for r in g.select(variants.genotype_bases(F.lit("A"), F.lit("C"), F.col("gt"))).collect()] == ["AC", "CC", "NN"]
+
+
+def test_labels_and_genotype_calls(spark, tmp_path):
+    from kinfold.sources import tables
+
+    (tmp_path / "two.txt").write_text("a\tAnna\nb\tBert\n")
+    (tmp_path / "one.txt").write_text("Anna\nBert\n")
+    assert tables.read_labels(spark, str(tmp_path / "two.txt")) == {"a": "Anna", "b": "Bert"}
+    assert tables.read_labels(spark, str(tmp_path / "one.txt")) == {"0": "Anna", "1": "Bert"}
+    (tmp_path / "calls.txt").write_text("chrom pos ref null_p\n1 7 A 0.5 0.25 AA 0.5 AA AC 0.1 2 s1,s2\n")
+    r = tables.read_genotype_calls(spark, str(tmp_path / "calls.txt")).collect()
+    assert [(x.contig, x.pos, x.null_p, x.mut_loc, x.mut_smpl) for x in r] == [("1", 7, 0.5, 2, "s1,s2")]
+
+
+def test_fasta_across_splits(spark, tmp_path):
+    """Small splits that part lines and contigs; headers with a > inside, blank lines, small letters."""
+    import random
+
+    from kinfold.sources import tables
+
+    rnd = random.Random(6)
+    want, text = {}, ""
+    for name in ("c1", "c2", "c3"):
+        seq = "".join(rnd.choice("ACGTacgt") for _ in range(rnd.randrange(500, 2000)))
+        want[name] = seq.upper()
+        text += f">{name} some > text\n" + "\n".join(seq[i : i + 37] for i in range(0, len(seq), 37)) + "\n\n"
+    (tmp_path / "r.fa").write_text(text)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "400")
+    try:
+        got = tables.read_fasta(spark, str(tmp_path / "r.fa"), 64).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    for name, seq in want.items():
+        assert "".join(r.seq for r in sorted((r for r in got if r.contig == name), key=lambda r: r.block)) == seq
