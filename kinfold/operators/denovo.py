@@ -238,3 +238,24 @@ def vcf_lines(calls: DataFrame, children: list[str]) -> DataFrame:
     cells = [F.when(F.col("child") == c, cell).otherwise(F.lit(".")) for c in children]
     line = F.concat_ws("\t", "contig", F.col("pos").cast("string"), F.lit("."), "ref", clean_alt(F.col("alt")), F.lit("0"), F.lit("PASS"), info, F.lit(":".join(f[0] for f in _FIELDS)), *cells)
     return calls.select("contig", F.col("pos").cast("int").alias("pos"), line.alias("line"))
+
+
+#: Codes of sites that no call is made of; -1 to -3 tell how many members are missing.
+NO_PL, BAD_REFERENCE, NO_ALT = -6, 10, -11
+
+
+def site_codes(sites: DataFrame, trios: DataFrame) -> DataFrame:
+    """Sites (ref, alts, and cells: a map of samples to structs of pl) by the trios (child, dad, mom), each with `code`, 0 where a call can be made, and `message`.
+
+    The first of these counts: no sample has PL, the reference doesn't begin with a base, there is no other allele, members are missing.
+    """
+    rows = [(r["child"], r["dad"], r["mom"]) for r in trios.select("child", "dad", "mom").collect()]
+    if not rows:
+        raise ValueError("the pedigree has no trio")
+    each = sites.withColumn("trio", F.explode(F.array(*(F.struct(*(F.lit(v).alias(k) for k, v in zip(("child", "dad", "mom"), r, strict=True))) for r in rows))))
+    missing = sum((F.when(F.coalesce(F.map_contains_key("cells", F.col(f"trio.{who}")), F.lit(False)), 0).otherwise(1) for who in ("child", "dad", "mom")), F.lit(0))
+    no_pl = ~F.coalesce(F.exists(F.map_values("cells"), lambda c: c["pl"].isNotNull()), F.lit(False))
+    reference = F.coalesce(F.upper(F.substring("ref", 1, 1)).isin(*"ACGT"), F.lit(False))
+    code = F.when(no_pl, NO_PL).when(~reference, BAD_REFERENCE).when(F.coalesce(F.size("alts"), F.lit(0)) < 1, NO_ALT).otherwise(-missing).cast("int")
+    texts = F.when(F.col("code") == NO_PL, "PL is missing").when(F.col("code") == BAD_REFERENCE, "the reference is no base").when(F.col("code") == NO_ALT, "there is no other allele").when(F.col("code") < 0, F.concat(F.lit("members missing: "), F.abs("code").cast("string")))
+    return each.withColumn("code", code).withColumn("message", texts)

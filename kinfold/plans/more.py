@@ -117,6 +117,16 @@ def dnm_members(spark, folder):
     return denovo.trio_members(sites, trios).select("k", "child", "dad", "mom", F.get("child_pl", F.lit(0)).alias("child_pl"), F.get("dad_pl", F.lit(0)).alias("dad_pl"), F.get("mom_pl", F.lit(0)).alias("mom_pl"), "child_dp", "dad_dp", "mom_dp")
 
 
+def dnm_site_codes(spark, folder):
+    """Sites with every kind of fault, for a trio that has all members and one that hasn't."""
+    k = F.col("k")
+    pl = F.when(k % 7 == 0, F.lit(None).cast("array<int>")).otherwise(F.array(F.lit(1)))
+    cells = F.map_from_arrays(F.when(k % 4 == 0, F.array(F.lit("K"), F.lit("D"))).otherwise(F.array(F.lit("K"), F.lit("D"), F.lit("M"))), F.when(k % 4 == 0, F.array(*(F.struct(pl.alias("pl")) for _ in range(2)))).otherwise(F.array(*(F.struct(pl.alias("pl")) for _ in range(3)))))
+    sites = _part(spark, folder).select("k", F.when(k % 5 == 0, "N").otherwise("aT").alias("ref"), F.when(k % 3 == 0, F.array().cast("array<string>")).otherwise(F.array(F.lit("C"))).alias("alts"), cells.alias("cells"))
+    trios = spark.createDataFrame([("K", "D", "M"), ("K", "X", "Y")], "child string, dad string, mom string")
+    return denovo.site_codes(sites, trios).select("k", F.col("trio.dad").alias("dad"), "code", F.coalesce("message", F.lit("")).alias("message"))
+
+
 def _cigars(spark, folder):
     n = lambda a, b: (F.col("k") % a + b).cast("string")
     return _part(spark, folder).select("k", F.concat(n(5, 1), F.lit("S"), n(40, 1), F.lit("M"), n(3, 1), F.lit("D"), n(7, 1), F.lit("="), n(4, 1), F.lit("I"), n(6, 1), F.lit("N"), n(9, 1), F.lit("X"), n(2, 1), F.lit("H")).alias("x"))
@@ -335,7 +345,7 @@ def reference_sites(spark, folder):
     return tables.reference_bases(sites, tables.read_fasta(spark, path, 4096), 4096).select("k", "pos", "ref_base")
 
 
-QUERIES = (trio_statistics, pedigree_statistics, pedigree_call_filtered, pedigree_genotypes, pedigree_three_generations, tree_score, tree_placements, dnm_trio_snp_xd, dnm_trio_snp_found, dnm_counters, dnm_members, cigar_lengths, cigar_positions, aligned_bases, region_text, file_types, sex_and_inheritance, newick_trees, pedigree_rows, pedigree_models, site_tests, phred_family, substitutions, i16_fields, clean_alts, split_depths, kept_reads, genotype_texts, sample_distances, two_of_four, vcf_depths, vcf_getters, *map(_in_step, variants.COLLAPSE), bed_rows, genotype_call_rows, mutation_rows, reference_sites)
+QUERIES = (trio_statistics, pedigree_statistics, pedigree_call_filtered, pedigree_genotypes, pedigree_three_generations, tree_score, tree_placements, dnm_trio_snp_xd, dnm_trio_snp_found, dnm_counters, dnm_members, dnm_site_codes, cigar_lengths, cigar_positions, aligned_bases, region_text, file_types, sex_and_inheritance, newick_trees, pedigree_rows, pedigree_models, site_tests, phred_family, substitutions, i16_fields, clean_alts, split_depths, kept_reads, genotype_texts, sample_distances, two_of_four, vcf_depths, vcf_getters, *map(_in_step, variants.COLLAPSE), bed_rows, genotype_call_rows, mutation_rows, reference_sites)
 
 
 def oracle_sql(with_f: str, reads: str, depths: str) -> dict[str, str]:
@@ -364,6 +374,7 @@ def oracle_sql(with_f: str, reads: str, depths: str) -> dict[str, str]:
         "dnm_trio_snp_found": O.snp("auto", 1e-4),
         "dnm_counters": "SELECT count(*) AS interrogated, CAST(sum(CASE WHEN vec_id % 17 >= 10 AND vec_id % 23 >= 10 AND vec_id % 31 >= 10 THEN 1 ELSE 0 END) AS BIGINT) AS passing FROM embeddings",
         "dnm_members": "SELECT p_partkey AS k, 'K' AS child, dad, mom, CAST(p_partkey % 5 AS INT) AS child_pl, CAST(p_partkey % d AS INT) AS dad_pl, CAST(p_partkey % m AS INT) AS mom_pl, CAST(p_partkey % 8 AS INT) AS child_dp, CAST(p_partkey % (d + 3) AS INT) AS dad_dp, CAST(p_partkey % (m + 3) AS INT) AS mom_dp FROM part, (VALUES ('D', 'M', 7, 11), ('M', 'D', 11, 7)) t(dad, mom, d, m)",
+        "dnm_site_codes": "WITH c AS (SELECT p_partkey AS k, dad, CASE WHEN p_partkey % 7 = 0 THEN -6 WHEN p_partkey % 5 = 0 THEN 10 WHEN p_partkey % 3 = 0 THEN -11 WHEN dad = 'X' THEN -2 WHEN p_partkey % 4 = 0 THEN -1 ELSE 0 END AS code FROM part, (VALUES ('D'), ('X')) t(dad)) SELECT k, dad, CAST(code AS INT) AS code, CASE code WHEN -6 THEN 'PL is missing' WHEN 10 THEN 'the reference is no base' WHEN -11 THEN 'there is no other allele' WHEN 0 THEN '' ELSE 'members missing: ' || -code END AS message FROM c",
         "cigar_lengths": f"WITH {_CIGAR_SQL} SELECT k, CAST(s + m + e + i + x AS INT) AS query, CAST(m + d + e + n + x AS INT) AS target, 3 AS runs, CAST(m + d + e + n AS INT) AS last_target, CAST(s + m + e + i AS INT) AS last_query FROM c",
         "cigar_positions": f"WITH {_CIGAR_SQL} SELECT k, CAST(CASE WHEN 30 < m THEN s + 30 WHEN 30 < m + d THEN s + m WHEN 30 < m + d + e THEN s + 30 - d WHEN 30 < m + d + e + n THEN s + m + e + i WHEN 30 < m + d + e + n + x THEN s + 30 - d - n + i ELSE s + m + e + i + x END AS BIGINT) AS at, (30 >= m AND 30 < m + d) OR (30 >= m + d + e AND 30 < m + d + e + n) AS deleted FROM c",
         "aligned_bases": "SELECT 'L1' AS library, CAST(p_partkey % 50 + 1 + o AS INT) AS pos, CAST(base AS INT) AS base, count(*) AS n, CAST(sum(CASE WHEN p_partkey % 2 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS rev, CAST(sum(q) AS BIGINT) AS read_pos FROM part, (VALUES (0, 2, 2), (1, 3, 3), (4, 0, 5), (5, 2, 7)) v(o, base, q) WHERE p_partkey % 3 = 0 AND p_partkey % 61 >= 10 AND p_partkey % 11 <> 0 GROUP BY ALL",
