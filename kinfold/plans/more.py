@@ -215,6 +215,12 @@ def site_tests(spark, folder):
     return out.select("site", F.round("mq", 6).alias("mq"), F.round("fs", 5).alias("fs"))
 
 
+def site_ranks(spark, folder):
+    """Rank tests of the sites' mapping and base qualities; null without both kinds of reads or with fewer than 4."""
+    out = pileup.site_tests(derived._filtered(spark, folder).withColumn("read_pos", F.col("base_qual") % 7))
+    return out.select("site", F.round("mqta", 4).alias("mqta"), F.round("rpta", 4).alias("rpta"), F.round("bqta", 4).alias("bqta"))
+
+
 def phred_family(spark, folder):
     p = (F.col("k") + 1) / F.lit(1000000.0)
     q = (F.col("k") % 97).cast("double")
@@ -345,7 +351,7 @@ def reference_sites(spark, folder):
     return tables.reference_bases(sites, tables.read_fasta(spark, path, 4096), 4096).select("k", "pos", "ref_base")
 
 
-QUERIES = (trio_statistics, pedigree_statistics, pedigree_call_filtered, pedigree_genotypes, pedigree_three_generations, tree_score, tree_placements, dnm_trio_snp_xd, dnm_trio_snp_found, dnm_counters, dnm_members, dnm_site_codes, cigar_lengths, cigar_positions, aligned_bases, region_text, file_types, sex_and_inheritance, newick_trees, pedigree_rows, pedigree_models, site_tests, phred_family, substitutions, i16_fields, clean_alts, split_depths, kept_reads, genotype_texts, sample_distances, two_of_four, vcf_depths, vcf_getters, *map(_in_step, variants.COLLAPSE), bed_rows, genotype_call_rows, mutation_rows, reference_sites)
+QUERIES = (trio_statistics, pedigree_statistics, pedigree_call_filtered, pedigree_genotypes, pedigree_three_generations, tree_score, tree_placements, dnm_trio_snp_xd, dnm_trio_snp_found, dnm_counters, dnm_members, dnm_site_codes, cigar_lengths, cigar_positions, aligned_bases, region_text, file_types, sex_and_inheritance, newick_trees, pedigree_rows, pedigree_models, site_tests, site_ranks, phred_family, substitutions, i16_fields, clean_alts, split_depths, kept_reads, genotype_texts, sample_distances, two_of_four, vcf_depths, vcf_getters, *map(_in_step, variants.COLLAPSE), bed_rows, genotype_call_rows, mutation_rows, reference_sites)
 
 
 def oracle_sql(with_f: str, reads: str, depths: str) -> dict[str, str]:
@@ -388,6 +394,7 @@ def oracle_sql(with_f: str, reads: str, depths: str) -> dict[str, str]:
   n AS (SELECT *, a + b AS r1, c + d AS r2, a + c AS c1 FROM m),
   o AS (SELECT site, any_value(mq) AS mq, any_value(a + c > 0 AND b + d > 0) AS two, sum(CASE WHEN {weight('x')} <= {weight('a')} + 1e-9 THEN exp({weight('x')} - {weight('a')}) ELSE 0 END) / sum(exp({weight('x')} - {weight('a')})) AS p FROM n, LATERAL (SELECT unnest(range(greatest(0, c1 - r2), least(r1, c1) + 1)) AS x) GROUP BY site)
   SELECT site, round(mq, 6) AS mq, CASE WHEN two THEN round(-10 * log10(least(p, 1)) + 0.0, 5) END AS fs FROM o""",
+        "site_ranks": f"{with_f} SELECT e.site, round(x.t, 4) AS mqta, round(y.t, 4) AS rpta, round(z.t, 4) AS bqta FROM (SELECT DISTINCT site FROM f) e LEFT JOIN {O.rank_test(reads, 'map_qual')} x ON x.site = e.site LEFT JOIN {O.rank_test(reads, 'base_qual % 7')} y ON y.site = e.site LEFT JOIN {O.rank_test(reads, 'base_qual')} z ON z.site = e.site",
         "phred_family": "SELECT p_partkey AS k, round(-10 * log10(p), 6) AS phred, round(-10 * log10(1 - p), 9) AS phred1m, round(pow(10, -q / 10), 9) AS unphred, round(1 - pow(10, -q / 10), 9) AS unphred1m, CAST(least(round(-10 * log10(p)), 40) AS INT) AS rounded, CAST(least(round(-10 * log10(1 - p)), 1) AS INT) AS rounded1m FROM (SELECT p_partkey, (p_partkey + 1) / 1000000.0 AS p, CAST(p_partkey % 97 AS DOUBLE) AS q FROM part)",
         "substitutions": """WITH b AS (SELECT p_partkey AS k, 'ACGTN'[CAST(p_partkey % 7 % 5 + 1 AS INT)] AS a, 'ACGTN'[CAST(p_partkey % 11 % 5 + 1 AS INT)] AS b, 'ACGTN'[CAST(p_partkey % 13 % 5 + 1 AS INT)] AS d FROM part),
   c AS (SELECT *, CASE WHEN b <> d THEN b END AS was, CASE WHEN b <> d THEN d END AS "is" FROM b)

@@ -75,6 +75,21 @@ def tree(depths: str, reads: str, told: str, mu: float = 20.0, het: float = 30.0
     return f"WITH {reads}, d AS ({depths}), l AS (SELECT site, {leaves} FROM d), t AS (SELECT site, {none} AS none, {one} AS one, {every} AS every FROM l) {told}"
 
 
+def rank_test(reads: str, value: str) -> str:
+    """(site, t): Anderson and Darling's two-sample statistic of the reference's and other reads' values, with midranks, standardised as by Scholz and Stephens."""
+    harmonic = lambda n: f"list_sum(list_transform(range(1, {n} + 1), lambda i: 1.0 / i))"
+    w = "OVER (PARTITION BY site ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    return f"""(WITH {reads}, s AS (SELECT site, CAST(count(*) AS DOUBLE) AS n, CAST(sum(CASE WHEN base = ref_base THEN 1 ELSE 0 END) AS DOUBLE) AS n1, CAST(sum(CASE WHEN base <> ref_base THEN 1 ELSE 0 END) AS DOUBLE) AS n2 FROM f GROUP BY site),
+  v AS (SELECT site, {value} AS v, CAST(count(*) AS DOUBLE) AS l, sum(CASE WHEN base = ref_base THEN 1 ELSE 0 END) AS f1, sum(CASE WHEN base <> ref_base THEN 1 ELSE 0 END) AS f2 FROM f GROUP BY site, v),
+  b AS (SELECT site, l, coalesce(sum(l) {w}, 0) + l / 2 AS b, coalesce(sum(f1) {w}, 0) + f1 / 2.0 AS m1, coalesce(sum(f2) {w}, 0) + f2 / 2.0 AS m2 FROM v),
+  a AS (SELECT site, any_value(n) AS n, any_value(n1) AS n1, any_value(n2) AS n2,
+      coalesce(sum(CASE WHEN b * (n - b) - n * l / 4 > 0 THEN l / n * (pow(n * m1 - n1 * b, 2) / n1 + pow(n * m2 - n2 * b, 2) / n2) / (b * (n - b) - n * l / 4) END), 0) * (any_value(n) - 1) / any_value(n) AS a2
+    FROM b JOIN s USING (site) WHERE n1 > 0 AND n2 > 0 AND n >= 4 GROUP BY site),
+  h AS (SELECT *, 1 / n1 + 1 / n2 AS hh, {harmonic('CAST(n AS BIGINT) - 1')} AS h, list_sum(list_transform(range(1, CAST(n AS BIGINT) - 1), lambda k: list_sum(list_transform(range(k + 1, CAST(n AS BIGINT)), lambda j: 1.0 / j)) / (n - k))) AS g FROM a),
+  c AS (SELECT *, (4 * g - 6) + (10 - 6 * g) * hh AS ca, (2 * g - 4) * 4 + 16 * h + (2 * g - 14 * h - 4) * hh - 8 * h + 4 * g - 6 AS cb, (6 * h + 2 * g - 2) * 4 + (4 * h - 4 * g + 6) * 2 + (2 * h - 6) * hh + 4 * h AS cc, (2 * h + 6) * 4 - 8 * h AS cd FROM h)
+  SELECT site, (a2 - 1) / sqrt((ca * n * n * n + cb * n * n + cc * n + cd) / ((n - 1) * (n - 2) * (n - 3))) AS t FROM c)"""
+
+
 def trio(reads: str, depths: str, x_linked: bool = False, generations: int = 2) -> str:
     """`z`: a row a site and genotypes; `t`: a row a site with qual, mutq, mutx, lld, lls, llh, dnp, dp. reads: a CTE of filtered reads, f; depths: of the three libraries."""
     n = {"dad": 2 if x_linked else 3, "child": 3, "mom": 3}
