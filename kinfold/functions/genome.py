@@ -33,7 +33,8 @@ def genotype_alleles(gt: Column) -> tuple[Column, Column]:
 
 
 def phred(p: Column) -> Column:
-    return -10 * F.log10(p)
+    """Of 0 infinity, below 0 NaN; null of null alone."""
+    return F.when(p == 0, F.lit(math.inf)).when(p < 0, F.lit(math.nan)).otherwise(-10 * F.log10(p))
 
 
 def unphred(q: Column) -> Column:
@@ -41,8 +42,8 @@ def unphred(q: Column) -> Column:
 
 
 def phred1m(p: Column) -> Column:
-    """Of 1 - p, exact for small p."""
-    return -10 / F.lit(math.log(10)) * F.log1p(-p)
+    """Of 1 - p, exact for small p; of 1 infinity, above 1 NaN; null of null alone."""
+    return F.when(p == 1, F.lit(math.inf)).when(p > 1, F.lit(math.nan)).otherwise(-10 / F.lit(math.log(10)) * F.log1p(-p))
 
 
 def unphred1m(q: Column) -> Column:

@@ -224,7 +224,7 @@ def site_ranks(spark, folder):
 def phred_family(spark, folder):
     p = (F.col("k") + 1) / F.lit(1000000.0)
     q = (F.col("k") % 97).cast("double")
-    return _part(spark, folder).select("k", F.round(G.phred(p), 6).alias("phred"), F.round(G.phred1m(p), 9).alias("phred1m"), F.round(G.unphred(q), 9).alias("unphred"), F.round(G.unphred1m(q), 9).alias("unphred1m"), G.rounded_phred(p, 40).alias("rounded"), G.rounded_phred1m(p, 1).alias("rounded1m"))
+    return _part(spark, folder).select("k", (-F.round(-G.phred(p), 6)).alias("phred"), F.round(G.phred1m(p), 9).alias("phred1m"), F.round(G.unphred(q), 9).alias("unphred"), F.round(G.unphred1m(q), 9).alias("unphred1m"), G.rounded_phred(p, 40).alias("rounded"), G.rounded_phred1m(p, 1).alias("rounded1m"))
 
 
 def substitutions(spark, folder):

@@ -27,6 +27,30 @@ def test_same_as_sql(spark, con, name):
     assert rows(catalog.queries()[name](spark, FOLDER).toPandas()) == rows(con.sql(catalog.oracle_sql()[name]).df())
 
 
+def test_phred_family_of_all_chances(spark, tmp_path):
+    """Chances up to 1, which larger part tables have, and above it: infinity, NaN and the sign of zero as in SQL."""
+    keys = [0, 1, 96, 499_999, 500_000, 999_997, 999_998, 999_999, 1_000_000, 1_199_999]
+    spark.createDataFrame([(k,) for k in keys], "p_partkey long").write.parquet(f"{tmp_path}/part.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW part AS SELECT * FROM '{tmp_path}/part.parquet/*.parquet'")
+    got = catalog.queries()["phred_family"](spark, str(tmp_path))
+    want = con.sql(catalog.oracle_sql()["phred_family"])
+    assert got.columns == want.columns
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want.fetchall()))
+
+
+def test_phred_of_no_chances(spark):
+    from kinfold.functions import genome as G
+
+    df = spark.createDataFrame([(x,) for x in (None, float("nan"), -0.5, 0.0, 0.1, 1.0, 1.5)], "p double")
+    p = df["p"]
+    got = [tuple(r) for r in df.select(G.phred(p), G.phred1m(p)).collect()]
+    nan, inf = float("nan"), float("inf")
+    want = [(None, None), (nan, nan), (nan, -1.76091259), (inf, 0.0), (10.0, 0.45757491), (0.0, inf), (-1.76091259, nan)]
+    for g, w in zip(got, want, strict=True):
+        assert g == w or g == pytest.approx(w, abs=1e-7, nan_ok=True)
+
+
 def test_whole_overlaps(spark, con):
     """Against brute force over all ranges, contigs and ids."""
     import numpy as np
