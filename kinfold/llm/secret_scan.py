@@ -241,7 +241,7 @@ _SPAN = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end"
 
 def _work(model: Model, redact: bool) -> Callable:
     def work(batches):
-        for block in t.blocks(batches):
+        for block in t.blocks(batches, t.BLOCK_BYTES // 4):  # the scores of its pairs take 60 times a block
             suspect = model.suspects(block.data, block.offs)
             found = t.words(block.data, block.offs, _INSIDE)
             long = np.flatnonzero(found.ends - found.starts >= LEAST)  # what a fixed pattern without a hint finds is as long

@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructField, StructType
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 #: Bytes of text that are looked at together.
 BLOCK_BYTES = 2 << 20
@@ -69,10 +69,17 @@ def beside(docs: DataFrame, work: Callable, schema: str, id_col: str = "doc_id",
     """docs with further columns: those that `work`, a function of batches of (id, text) with a row for each row, gives after the id.
 
     schema: of all that `work` gives, the id first. prefix: of the new columns' names, where docs may have them. Rows meet what was made of them in the task itself, without a join.
+    They leave with each batch that `work` gives, so that what a task holds besides what it reads follows those; a text goes to the worker once.
     """
     own = len(docs.columns)
     made = [StructField(prefix + f.name, f.dataType) for f in StructType.fromDDL(schema).fields[1:]]
-    fed = docs.select("*", F.col(f"`{id_col}`").cast("long").alias("_kinfold_id"), F.col(f"`{text_col}`").cast("string").alias("_kinfold_text"))
+    fed, places = docs.select("*"), []
+    for name, kind in ((id_col, LongType()), (text_col, StringType())):
+        if docs.columns.count(name) == 1 and docs.schema[name].dataType == kind:
+            places.append(docs.columns.index(name))
+        else:
+            places.append(len(fed.columns))
+            fed = fed.select("*", F.col(f"`{name}`").cast(kind).alias(f"_kinfold_{len(places)}"))
     out = StructType([*docs.schema.fields, *made])
 
     def run(batches):
@@ -82,19 +89,16 @@ def beside(docs: DataFrame, work: Callable, schema: str, id_col: str = "doc_id",
             for batch in batches:
                 if batch.num_rows:
                     waiting.append(batch)
-                    yield pa.RecordBatch.from_arrays(batch.columns[own:], names=["doc_id", "text"])
+                    yield pa.RecordBatch.from_arrays([batch.column(p) for p in places], names=["doc_id", "text"])
 
-        parts, have = [], 0
+        at = 0
         for part in work(feed()):
-            parts.append(part)
-            have += part.num_rows
-            if have == waiting[0].num_rows:
-                batch = waiting.pop(0)
-                new = pa.Table.from_batches(parts).combine_chunks()
-                columns = batch.columns[:own] + [new.column(c).combine_chunks() for c in new.column_names[1:]]
-                columns = [c.chunk(0) if isinstance(c, pa.ChunkedArray) else c for c in columns]
-                yield pa.RecordBatch.from_arrays(columns, names=out.names)
-                parts, have = [], 0
+            rows = waiting[0].slice(at, part.num_rows)
+            yield pa.RecordBatch.from_arrays([*rows.columns[:own], *part.columns[1:]], names=out.names)
+            at += part.num_rows
+            if at == waiting[0].num_rows:
+                waiting.pop(0)
+                at = 0
 
     return fed.mapInArrow(run, out)
 

@@ -102,3 +102,28 @@ def test_tables_of_stages_are_deleted(spark):
     before = {p.name for p in folder.glob("table-*")}
     assert corpus_pipeline.run(spark, FOLDER).count() > 100
     assert len({p.name for p in folder.glob("table-*")} - before) <= 2  # the last stage's input, and what near-dedup numbers where ids repeat
+
+
+def test_secrets_hold_little_of_a_large_batch(spark, docs, monkeypatch):
+    """A text goes to the worker once, and what is made of a batch leaves in pieces that follow blocks, not batches."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    model = secret_scan.fit([])
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, work, schema: (self, work))
+    fed, work = secret_scan.cleaned(docs, model, prefix="_kinfold_")
+    assert fed.columns == docs.columns
+    table = pa.concat_tables([fed.toArrow()] * 12).combine_chunks()
+    batch = table.to_batches()[0]
+    assert batch.num_rows == table.num_rows and batch.nbytes > 4 * t.BLOCK_BYTES // 2
+    tracemalloc.start()
+    pieces = []
+    for piece in work([batch]):
+        pieces.append((piece.num_rows, piece.nbytes))
+        own = batch.slice(sum(n for n, _ in pieces[:-1]), piece.num_rows)
+        assert piece.column(0).equals(own.column(0)) and piece.column(1).equals(own.column(1))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(n for n, _ in pieces) == batch.num_rows and len(pieces) > 4
+    assert max(n for _, n in pieces) < 2 * t.BLOCK_BYTES and peak < 40 * t.BLOCK_BYTES
